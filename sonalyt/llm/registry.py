@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, packing, pii, simhash
+from . import ogg, packing, pii, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_substrings": substrings.op2_substrings,
     "op6_ogg": ogg.op6_ogg,
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
