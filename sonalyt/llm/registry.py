@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, packing, pii, simhash, substrings
+from . import lines, mixing, ogg, packing, pii, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_substrings": substrings.op2_substrings,
     "op6_ogg": ogg.op6_ogg,
+    "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
+    "op10_lines": lines.op10_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {}
