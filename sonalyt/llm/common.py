@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,14 +21,28 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that all executors share (spark.checkpoint.dir); a folder is made only where it is unset, as in tests."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); one is made only where it is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder, without lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict[str, object] | None], schema: str) -> DataFrame:
     """fn gets the columns of each Arrow batch and returns the columns of the output, in the order of the schema."""
 

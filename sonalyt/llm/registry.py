@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, ogg, packing, pii, simhash, substrings
+from . import embeddings, lines, mixing, ogg, packing, pii, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_substrings": substrings.op2_substrings,
+    "op3_quality": quality.op3_quality,
+    "op4_embeddings": embeddings.op4_embeddings,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_ogg": ogg.op6_ogg,
     "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
