@@ -197,10 +197,10 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held=Non
     held = held_out(5, 0) if held is None else held
     rows = cut(featured(docs))
     learned = sample(rows, labels, label, held, most).orderBy("doc_id").toPandas()
-    model = train(np.array(learned["x"].tolist()).reshape(len(learned), -1), learned["y"].to_numpy())
+    model = train(np.array(learned["x"].tolist()).reshape(len(learned), len(NAMES)), learned["y"].to_numpy())
 
     def one(c):
-        x = np.asarray(c["x"].flatten()).reshape(len(c["doc_id"]), -1)
+        x = np.asarray(c["x"].flatten()).reshape(len(c["doc_id"]), len(NAMES))
         return {"doc_id": c["doc_id"], "score": model.score(x)}
 
     scored = map_batches(rows, one, "doc_id long, score double")
