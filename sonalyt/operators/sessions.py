@@ -67,11 +67,11 @@ def islands(rows: DataFrame, session: str, start: str, end: str) -> DataFrame:
 
 def complement(intervals: DataFrame, bounds: DataFrame, session: str, least: float = 0.0) -> DataFrame:
     """What of each session's bounds (session, from_s, to_s) merged intervals (start_s, end_s) leave, if longer than least: silences to speech."""
-    merged = intervals.join(bounds, session).select(session, F.greatest("start_s", "from_s").alias("s"), F.least("end_s", "to_s").alias("e"), "from_s", "to_s").where("s < e")
-    edges = merged.select(session, "s", "e").unionByName(bounds.select(session, F.col("to_s").alias("s"), F.col("to_s").alias("e")))
-    w = Window.partitionBy(session).orderBy("s", "e")
-    gaps = edges.join(bounds, session).withColumn("start_s", F.coalesce(F.lag("e").over(w), F.col("from_s")))
-    return gaps.select(session, "start_s", F.col("s").alias("end_s")).where(F.col("end_s") - F.col("start_s") > least)
+    inside = intervals.join(bounds, session).select(session, F.greatest("start_s", "from_s").alias("__s"), F.least("end_s", "to_s").alias("__e")).where("__s < __e")
+    edges = inside.unionByName(bounds.select(session, F.col("to_s").alias("__s"), F.col("to_s").alias("__e")))
+    w = Window.partitionBy(session).orderBy("__s", "__e")
+    gaps = edges.join(bounds, session).withColumn("start_s", F.coalesce(F.lag("__e").over(w), F.col("from_s")))
+    return gaps.select(session, "start_s", F.col("__s").alias("end_s")).where(F.col("end_s") - F.col("start_s") > least)
 
 
 def runs(rows: DataFrame, session: str, order: list[str], flag: str) -> DataFrame:
