@@ -1,0 +1,91 @@
+"""English as spoken brought to one written form, so that spellings of a number or a contraction don't count as errors.
+
+A row's text is handled by itself in a small helper; Spark deals the rows out in Arrow batches.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+UNITS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(20), strict=True))
+TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10), strict=True))
+SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+ORDINALS = dict(zip("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split(), range(1, 13), strict=True))
+CONTRACTIONS = {"won't": "will not", "can't": "can not", "n't": " not", "'re": " are", "'ve": " have", "'ll": " will", "'m": " am", "let's": "let us", "it's": "it is", "that's": "that is", "what's": "what is"}
+CURRENCIES = {"$": "dollars", "€": "euros", "£": "pounds", "¥": "yen"}
+_AMOUNT = re.compile(r"([$€£¥])\s?(\d[\d,]*(?:\.\d+)?)")
+_AFTER = re.compile(r"(\d[\d,]*(?:\.\d+)?)\s?([$€£¥])")
+_ORDINAL = re.compile(r"\b(\d+)(?:st|nd|rd|th)\b")
+_DROPPED = ("Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Sm", "Sk")
+
+
+def numbers(words: list[str]) -> list[str]:
+    """Number words as digits. A word joins the number before it only where the language lets it: a unit after tens, anything smaller after a
+    scale, 'and' after a scale; two units in a row are two numbers."""
+    out: list[str] = []
+    whole, part, room = 0, 0, 0  # finished thousands; the group being built; below which value another word may be added
+    active, least = False, 1 << 62  # least: the smallest scale so far; only smaller ones may follow
+
+    def flush() -> None:
+        nonlocal whole, part, room, active, least
+        if active:
+            out.append(str(whole + part))
+        whole, part, room, active, least = 0, 0, 0, False, 1 << 62
+
+    for i, w in enumerate(words):
+        value = UNITS.get(w, TENS.get(w))
+        if value is not None:
+            if active and not (0 < value < room):
+                flush()
+            part, room, active = part + value, 10 if w in TENS else 0, True
+        elif w == "hundred" and active and 0 < part < 100:
+            part, room = part * 100, 100
+        elif w in SCALES and w != "hundred" and active and part and SCALES[w] < least:
+            whole, part, room, least = whole + part * SCALES[w], 0, SCALES[w], SCALES[w]
+        elif w == "and" and active and room >= 100 and i + 1 < len(words) and (words[i + 1] in UNITS or words[i + 1] in TENS):
+            continue
+        else:
+            flush()
+            out.append(w)
+    flush()
+    return out
+
+
+def digits_joined(words: list[str]) -> list[str]:
+    """Two or more single digits in a row are one number said digit by digit."""
+    out: list[str] = []
+    run: list[str] = []
+    for w in [*words, ""]:
+        if len(w) == 1 and w.isdigit():
+            run.append(w)
+            continue
+        if run:
+            out.append("".join(run))
+            run = []
+        if w:
+            out.append(w)
+    return out
+
+
+def english(text: str) -> str:
+    t = unicodedata.normalize("NFKC", text).lower().replace("’", "'")
+    t = re.sub(r"(?<=\w)-(?=\w)", " ", t)
+    for short, long in CONTRACTIONS.items():
+        t = t.replace(short, long)
+    t = _AMOUNT.sub(lambda m: f"{m[2]} {CURRENCIES[m[1]]}", t)
+    t = _AFTER.sub(lambda m: f"{m[1]} {CURRENCIES[m[2]]}", t)
+    t = re.sub(r"(?<=\d),(?=\d{3})", "", t)
+    t = "".join(c for c in t if unicodedata.category(c) not in _DROPPED)
+    t = _ORDINAL.sub(r"\1", t)
+    words = [str(ORDINALS[w]) if w in ORDINALS else w for w in t.split()]
+    return " ".join(digits_joined(numbers(words)))
+
+
+@F.pandas_udf(T.StringType())
+def normalize_english(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else english(t))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -162,3 +163,36 @@ def separated(scores: DataFrame) -> DataFrame:
     """Pairs of systems whose intervals don't overlap, the better first; scores has a row for each system."""
     a, b = scores.select(F.col("system").alias("better"), "low"), scores.select(F.col("system").alias("worse"), "high")
     return a.join(b, F.col("low") > F.col("high")).select("better", "worse")
+
+
+def spearman(rows: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
+    """Correlation of average ranks; null where either has no variance."""
+    ranked = average_rank(average_rank(rows, groups, a, name="__a"), groups, b, name="__b")
+    spread = F.stddev_pop("__a") * F.stddev_pop("__b")
+    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), (F.covar_pop("__a", "__b") / F.nullif(spread, F.lit(0.0))).alias("rho"))
+
+
+def permutation_p(a: list[float], b: list[float], most: int = 8, draws: int = 10_000, seed: int = 0) -> float:
+    """Share of orders of b that correlate with a at least as well: all orders of up to `most`, else random ones."""
+    x, y = np.array(a, float), np.array(b, float)
+    x = x - x.mean()
+    if len(x) <= most:
+        orders = np.array(list(permutations(y)))
+    else:
+        r = np.random.default_rng(seed)
+        orders = np.array([r.permutation(y) for _ in range(draws)] + [y])
+    return float((orders @ x >= y @ x - 1e-12).mean())
+
+
+def gate(rows: DataFrame, system: str, a: str, b: str, threshold: float = 0.8, most: int = 1000) -> DataFrame:
+    """One row: systems, rank correlation of two scores, p value, and whether the gate passes; pending below three systems. rows has one row a system."""
+    ranked = average_rank(average_rank(rows.withColumn("__g", F.lit(0)), ["__g"], a, name="__a"), ["__g"], b, name="__b")
+    got = ranked.orderBy(system).select("__a", "__b").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} systems")
+    x, y = [r[0] for r in got], [r[1] for r in got]
+    flat = len(set(x)) < 2 or len(set(y)) < 2
+    rho = None if flat else float(np.corrcoef(x, y)[0, 1])
+    verdict = "pending" if len(got) < 3 else "uncomputable" if rho is None else "pass" if rho >= threshold else "fail"
+    p = None if rho is None else permutation_p(x, y)
+    return rows.sparkSession.createDataFrame([(len(got), rho, p, verdict)], "systems long, rho double, p double, verdict string")

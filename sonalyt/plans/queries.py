@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import pcm, similarity, spoken, tags
 from ..functions import text as X
 from ..operators import lanes, ranking, sessions
 from ..sources import runs as R
@@ -68,7 +69,7 @@ def keep_last_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{WITH_TTS}, {PRICES}, g as (select provider, case when load_n > 1 then concat(mode, ' x', cast(load_n as varchar)) else mode end as mode, count(*) as prompts, count(*) filter (where error is not null) as failures,
-  sum(chars) filter (where error is null) as chars, sum(audio_s) filter (where error is null) as audio_s, quantile_cont(ttfb_s, 0.5) filter (where error is null and not cold) as ttfb_p50,
+  cast(sum(chars) filter (where error is null) as bigint) as chars, sum(audio_s) filter (where error is null) as audio_s, quantile_cont(ttfb_s, 0.5) filter (where error is null and not cold) as ttfb_p50,
   quantile_cont(ttfb_s, 0.95) filter (where error is null and not cold) as ttfb_p95, quantile_cont(ttfa_s, 0.5) filter (where error is null and not cold) as ttfa_p50 from t group by all)
   select g.provider, mode, prompts, failures, chars, round(audio_s, 4) as audio_s, round(ttfb_p50, 4) as ttfb_p50, round(ttfb_p95, 4) as ttfb_p95, round(ttfa_p50, 4) as ttfa_p50, coalesce(family, g.provider) as family,
   round(coalesce(chars * usd_per_million_chars / 1e6, audio_s * usd_per_hour / 3600), 4) as cost_usd from g left join prices using (provider)"""
@@ -95,7 +96,7 @@ def spend_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{WITH_STT}, l as (select provider, mode, snr_level, sum(edits) filter (where error is null) / nullif(sum(reference_length) filter (where error is null), 0) as error_rate,
   quantile_cont(finalize_s, 0.5) filter (where error is null) as p50, count(*) filter (where error is not null) as failures from s group by all),
   a as (select *, (error_rate + lead(error_rate) over w) / 2 * (lead(snr_level) over w - snr_level) as area from l window w as (partition by provider, mode order by snr_level))
-  select provider, mode, count(*) as levels, sum(failures) as failures, round(case when count(*) >= 2 then sum(area) / nullif(max(snr_level) - min(snr_level), 0) end, 6) as auc,
+  select provider, mode, count(*) as levels, cast(sum(failures) as bigint) as failures, round(case when count(*) >= 2 then sum(area) / nullif(max(snr_level) - min(snr_level), 0) end, 6) as auc,
   round(arg_min_null(p50, snr_level) - arg_max_null(p50, snr_level), 6) as degradation_s from a group by all"""
 )
 def snr_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +144,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("h", said).select("clip_id", "language", "reference", "h.lane", "h.text")
 
 
-@query(f"{HEARD} select lane, language, count(*) as clips, sum(levenshtein(reference, text)) as errors, sum(length(reference)) as characters, round(sum(levenshtein(reference, text)) / nullif(sum(length(reference)), 0), 6) as error_rate from heard group by all")
+@query(f"{HEARD} select lane, language, count(*) as clips, cast(sum(levenshtein(reference, text)) as bigint) as errors, cast(sum(length(reference)) as bigint) as characters, round(sum(levenshtein(reference, text)) / nullif(sum(length(reference)), 0), 6) as error_rate from heard group by all")
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transcripts(spark, sf_dir).withColumn("e", F.levenshtein("reference", "text"))
     return rounded(rows.groupBy("lane", "language").agg(F.count("*").alias("clips"), F.sum("e").alias("errors"), F.sum(F.length("reference")).alias("characters")).withColumn("error_rate", F.col("errors") / F.nullif(F.col("characters"), F.lit(0))))
@@ -158,7 +159,7 @@ def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{HEARD} select a.lane as lane_a, b.lane as lane_b, a.language, count(*) as clips, sum(levenshtein(a.text, b.text)) as edits, sum(length(a.text) + length(b.text)) as characters,
+    f"""{HEARD} select a.lane as lane_a, b.lane as lane_b, a.language, count(*) as clips, cast(sum(levenshtein(a.text, b.text)) as bigint) as edits, cast(sum(length(a.text) + length(b.text)) as bigint) as characters,
   round(2 * sum(levenshtein(a.text, b.text)) / nullif(sum(length(a.text) + length(b.text)), 0), 6) as disagreement from heard a join heard b on a.clip_id = b.clip_id and a.lane < b.lane
   where trim(a.text) <> '' and trim(b.text) <> '' group by grouping sets ((a.lane, b.lane), (a.lane, b.lane, a.language))"""
 )
@@ -184,7 +185,7 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with lines as (select doc_id, lang, trim(unnest(string_split(text, chr(10)))) as line from documents), kept as (select line, lang, len(list_filter(string_split(line, ' '), lambda w: w <> '')) as n, row_number() over (partition by line order by doc_id, lang) as r from lines)
-  select lang, count(*) as sentences, sum(n) as words from kept where r = 1 and n between 4 and 40 group by lang"""
+  select lang, count(*) as sentences, cast(sum(n) as bigint) as words from kept where r = 1 and n between 4 and 40 group by lang"""
 )
 def sentence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sentences, the first of each kept, of 4 to 40 words."""
@@ -215,7 +216,7 @@ def partial_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{EVENTS}, p as (select user_id, event_id as pause_id, t_s as start_s, t_s + value * 60 as end_s from e where event_type = 'error'), c as (select user_id, t_s from e where event_type in ('click', 'view'))
-  select user_id, count(*) as pauses, count(*) filter (where hits > 0) as cut_off, sum(hits) as points from (select p.user_id, p.pause_id, count(c.t_s) as hits from p left join c on p.user_id = c.user_id and c.t_s >= start_s and c.t_s < end_s group by all) group by user_id"""
+  select user_id, count(*) as pauses, count(*) filter (where hits > 0) as cut_off, cast(sum(hits) as bigint) as points from (select p.user_id, p.pause_id, count(c.t_s) as hits from p left join c on p.user_id = c.user_id and c.t_s >= start_s and c.t_s < end_s group by all) group by user_id"""
 )
 def pause_cut_offs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join: pauses that an endpoint falls into; a pause counts once."""
@@ -409,3 +410,97 @@ def bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of events into session counters as a stream, state kept between micro-batches; tests/ holds it against the batch form."""
     return streaming.fold_stored(spark, f"{sf_dir}/events.parquet")
+
+
+# more scalars over the tables -----------------------------------------------------------------------------------------
+
+_LOOPS = " or ".join(
+    f"regexp_matches(array_to_string(list_transform(range(1, greatest(len(w) - {n} + 1, 1)), lambda i: case when w[i] = w[i + {n}] then '1' else '0' end), ''), '1{{{n * (max(3, -(-6 // n)) - 1)}}}')" for n in range(1, 6)
+)
+
+
+@query(f"with d as (select doc_id, lang, list_filter(string_split(text, ' '), lambda x: x <> '') as w from documents) select lang, count(*) as texts, count(*) filter (where {_LOOPS}) as looping, cast(sum(len(w)) as bigint) as words from d group by lang")
+def looping_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that say an n-gram again and again, as decoders do when they lose the audio."""
+    w = table(spark, sf_dir, "documents").select("lang", X.words(F.col("text")).alias("w"))
+    return w.groupBy("lang").agg(F.count("*").alias("texts"), F.count(F.when(tags.loops(F.col("w")), 1)).alias("looping"), F.sum(F.size("w")).alias("words"))
+
+
+@query(
+    """select page_id, len(regexp_extract_all(html, '<p>([^<]*)</p>', 1)) as paragraphs, md5(array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), '|')) as texts, length(regexp_replace(html, '</?(?:p|b|li)>', '', 'g')) as stripped from pages"""
+)
+def tagged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    p = tags.tagged(html, "p")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(p).alias("paragraphs"), F.md5(F.array_join(p, "|")).alias("texts"), F.length(tags.strip_tags(html, ["p", "b", "li"])).alias("stripped"))
+
+
+@query()
+def spoken_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns brought to the written form that scoring compares; tests/ holds the rules against examples."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", F.md5(spoken.normalize_english("text")).alias("normalized"))
+
+
+@query()
+def pcm_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech bounds and pauses of each document's bytes taken as samples; tests/ holds the measures against made signals."""
+    found = table(spark, sf_dir, "documents").select("doc_id", pcm.speech_bounds(16_000)(F.col("text").cast("binary")).alias("b"))
+    return rounded(found.select("doc_id", "b.*"))
+
+
+@query(
+    f"""{EVENTS}, g as (select user_id % 40 as lane, t_s, t_s - lag(t_s) over (partition by user_id % 40 order by t_s, event_id) as gap from e)
+  select lane, count(*) as chunks, round(min(t_s), 3) as first_s, round(quantile_cont(gap, 0.99), 3) as gap_p99, round(max(gap), 3) as longest from g group by lane"""
+)
+def chunk_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First arrival and the 99th percentile of gaps between chunks of a lane."""
+    e = events(spark, sf_dir).withColumn("lane", F.col("user_id") % 40)
+    gap = F.col("t_s") - F.lag("t_s").over(Window.partitionBy("lane").orderBy("t_s", "event_id"))
+    g = e.withColumn("gap", gap).groupBy("lane")
+    return rounded(g.agg(F.count("*").alias("chunks"), F.min("t_s").alias("first_s"), lanes.exact("gap", 0.99).alias("gap_p99"), F.max("gap").alias("longest")), 3)
+
+
+@query(
+    """with x as (select vec_id, label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings), c as (select label, i, avg(cast(v as double)) as m from x group by all)
+  select label, count(*) as vectors, round(avg(cos), 4) as mean_cosine, round(min(cos), 4) as least from (select vec_id, x.label, sum(v * m) / sqrt(sum(cast(v as double) * v) * sum(m * m)) as cos from x join c on x.label = c.label and x.i = c.i group by all) group by label"""
+)
+def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each vector with the mean of its label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    mean = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("c"))
+    both = vectors.join(mean, "label").withColumn("cos", similarity.cosine(F.col("v"), F.col("c")))
+    return rounded(both.groupBy("label").agg(F.count("*").alias("vectors"), F.avg("cos").alias("mean_cosine"), F.min("cos").alias("least")), 4)
+
+
+@query(
+    f"""{SUMMARY}, r as (select language, rank() over (partition by language order by error_rate) + (count(*) over (partition by language, error_rate) - 1) / 2.0 as a, rank() over (partition by language order by rtf_p50) + (count(*) over (partition by language, rtf_p50) - 1) / 2.0 as b
+  from summary where error_rate is not null and rtf_p50 is not null) select language, count(*) as lanes, round(corr(a, b), 6) as rho from r group by language"""
+)
+def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman's correlation of accuracy and speed over a language's lanes."""
+    s = lanes.stt_summary(R.stt_runs(spark, sf_dir)).where("error_rate is not null and rtf_p50 is not null")
+    return rounded(ranking.spearman(s, "error_rate", "rtf_p50", ["language"]).select("language", F.col("n").alias("lanes"), "rho"))
+
+
+@query()
+def ranking_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the composite ranking orders providers as their share of unedited clips does, with an exact permutation test."""
+    runs = R.stt_runs(spark, sf_dir)
+    composite = ranking.composite(lanes.stt_summary(runs), "provider", ["language", "mode"], {"error_rate": False})
+    success = runs.groupBy("provider").agg(F.avg((F.col("error").isNull() & (F.col("edits") == 0)).cast("double")).alias("success"))
+    return rounded(ranking.gate(composite.join(success, "provider").withColumn("failure", 1 - F.col("success")), "provider", "mean_rank", "failure"))
+
+
+@query("select cast(time_bucket(interval '1 hour', ts) as varchar) as window_start, event_type, count(*) as events from events where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events) group by all")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour as a stream with a watermark: a window is returned once it is closed."""
+    return streaming.windows_stored(spark, f"{sf_dir}/events.parquet")
+
+
+@query(f"with u as (select doc_id, lang, text from documents), a as ({TURNS}) select language, count(*) as texts, cast(sum(length(text)) as bigint) as characters from (select lang as language, text from u union all select language, reference from a) group by language")
+def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several sources as one corpus, each with its own language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "text")
+    turns = spark.sql(TURNS_SQL.format(clean=_CLEAN.format(g=""), conversations="{conversations}"), conversations=table(spark, sf_dir, "conversations")).select("language", F.col("reference").alias("text"))
+    return docs.unionByName(turns).groupBy("language").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("characters"))

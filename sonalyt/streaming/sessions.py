@@ -34,13 +34,35 @@ def fold(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def fold_stored(spark: SparkSession, path: str) -> DataFrame:
-    """Runs the fold over stored events as a stream until they are used up, and returns each session's last counters."""
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, since the source takes no path of a single file
+
+
+def _drain(stream: DataFrame, schema: str) -> DataFrame:
+    """Writes a stream out until its input is used up and returns what was written; the shared folder holds its log and rows."""
+    spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     out = f"{base}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, since the source takes no path of a single file
-    rows = rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value", (F.col("event_type") == "purchase").alias("is_final")).where("user_id is not null and ts is not null")
-    stream = fold(rows).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows")
-    stream.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{out}/rows").groupBy("user_id").agg(*[F.max_by(c, "seq").alias(c) for c in ("events", "finals", "longest_gap_us")], F.round(F.max_by("total_value", "seq"), 4).alias("total_value"))
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+def fold_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Runs the fold over stored events as a stream and returns each session's last counters."""
+    rows = _stream(spark, path).where("user_id is not null and ts is not null")
+    rows = rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value", (F.col("event_type") == "purchase").alias("is_final"))
+    last = _drain(fold(rows), OUT).groupBy("user_id")
+    return last.agg(*[F.max_by(c, "seq").alias(c) for c in ("events", "finals", "longest_gap_us")], F.round(F.max_by("total_value", "seq"), 4).alias("total_value"))
+
+
+def windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Counts by window and event type of a stream with ts; a window is given out when the watermark has passed it."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"))
+
+
+def windows_stored(spark: SparkSession, path: str, **how) -> DataFrame:
+    """Runs windows() over stored events as a stream until they are used up."""
+    rows = _stream(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counted = windows(rows, **how).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events")
+    return _drain(counted, "window_start string, event_type string, events long")

@@ -143,3 +143,68 @@ def test_library_does_not_import_the_training_data_operators():
 
     root = pathlib.Path(R.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if root / "llm" not in p.parents and re.search(r"import .*\bllm\b|from .*\bllm\b", p.read_text())]
+
+
+def test_spoken_english():
+    from sonalyt.functions.spoken import english
+
+    cases = {
+        "Twenty-three items, don't": "23 items do not", "one hundred and five": "105", "two thousand three hundred": "2300", "one two three": "123", "three million two hundred thousand and one": "3200001", "salt and pepper": "salt and pepper",
+        "$1,420 or 5 €": "1420 dollars or 5 euros", "the third, 21st": "the 3 21", "twenty twenty": "20 20", "five hundred": "500", "hundred": "hundred", "zero": "0", "": "", "nineteen eighty four": "19 84", "one thousand and": "1000 and", "It’s": "it is",
+    }
+    for said, written in cases.items():
+        assert english(said) == written, said
+
+
+def test_loops_against_a_scan(spark):
+    r = random.Random(4)
+
+    def scan(w):
+        for n in range(1, 6):
+            for s in range(len(w)):
+                k = 1
+                while w[s + k * n : s + (k + 1) * n] == w[s : s + n]:
+                    k += 1
+                if k >= 3 and k * n >= 6:
+                    return True
+        return False
+
+    from sonalyt.functions import tags
+
+    rows = [([r.choice("ab" if i % 2 else "abcd") for _ in range(r.randrange(16))],) for i in range(300)]
+    got = spark.createDataFrame(rows, "w array<string>").select("w", tags.loops(F.col("w")).alias("l")).collect()
+    assert all(x.l == scan(x.w) for x in got) and {x.l for x in got} == {True, False}
+
+
+def test_tags_and_prefixes(spark):
+    from sonalyt.functions import tags
+
+    df = spark.createDataFrame([("a <date>1 May</date> <b>x</b> <date>2</date>", "snr+05-c1", "tel8k-c2")], "t string, c string, d string")
+    r = df.select(tags.tagged(F.col("t"), "date"), tags.strip_tags(F.col("t"), ["date"]), tags.snr_level(F.col("c")), tags.condition(F.col("d")), tags.condition(F.col("c")), tags.snr_level(F.col("d")), tags.pieces(F.lit(" a  b ")), tags.same_text(F.lit(" a  b"), F.lit("a b "))).first()
+    assert tuple(r) == (["1 May", "2"], "a 1 May <b>x</b> 2", 5, "telephony", "speech", None, ["a  ", "b "], True)
+
+
+def test_speech_bounds(spark):
+    from sonalyt.functions import pcm
+
+    rate = 16_000
+    tone = (np.sin(np.arange(rate // 2) / 5) * 20000).astype("<i2")
+    quiet = np.zeros(rate // 4, "<i2")
+    signal = np.concatenate([quiet, tone, quiet, tone, quiet]).tobytes()
+    df = spark.createDataFrame([(signal,), (b"",), (None,), (quiet.tobytes() + b"x",)], "b binary").select(pcm.speech_bounds(rate)("b").alias("s")).select("s.*")
+    a, b, c, d = df.collect()
+    assert (round(a.onset_s, 2), round(a.speech_end_s, 2), a.pauses) == (0.24, 1.5, 1) and abs(a.longest_pause_s - 0.24) < 0.03 and a.duration_s == 1.75
+    assert (b.duration_s, b.onset_s, b.pauses) == (0.0, None, 0) and c.duration_s is None and (d.onset_s, d.speech_end_s) == (None, 0.25)
+    x, noise = np.frombuffer(signal, "<i2") / 32768.0, np.random.default_rng(0).normal(size=8000)
+    for level in (20, 0):
+        mixed = pcm.mix(x * 0.2, noise, level, rate) - x * 0.2
+        assert abs(10 * np.log10(((x[rate // 4 : 3 * rate // 4] * 0.2) ** 2).mean() / (mixed**2).mean()) - level) < 1.5
+
+
+def test_gate_and_permutations(spark):
+    assert ranking.permutation_p([1, 2, 3, 4], [1, 2, 3, 4]) == pytest.approx(1 / 24)
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 3.0, 3.0), ("d", 4.0, 4.0)], "s string, x double, y double")
+    g = ranking.gate(df, "s", "x", "y").first()
+    assert (g.systems, g.verdict) == (4, "pass") and g.rho == pytest.approx(1)
+    assert ranking.gate(df.limit(2), "s", "x", "y").first().verdict == "pending"
+    assert ranking.gate(df.withColumn("x", F.lit(1.0)), "s", "x", "y").first().verdict == "uncomputable"
