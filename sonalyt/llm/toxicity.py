@@ -4,9 +4,9 @@ A unit is a word without anything but letters, or single letters in a row that s
 units counts the three-letter subsequences that they share, each weighted by DECAY to the power of its span, for spans up to SPAN, so letters
 may be inserted between; a mark before the first letter counts as one. It is divided by the units' own weights.
 
-Sentences of labelled documents train it: a sentence is clean if any clean document holds it. Units that distinct toxic
-sentences hold far more often than clean ones (G statistic) are examples of label 1, units of clean sentences of label 0, twice
-joined by the clean ones that the machine takes for insults. Examples nearest the classes' middle are the landmarks; the Nyström map of the kernel
+Sentences of labelled documents train it: a sentence is clean if any clean document holds it. A unit counts once for each word that
+comes before it, so copies and near copies of a document don't add up. Units that toxic sentences hold far more often than clean ones (G
+statistic) are examples of label 1, units of clean sentences of label 0, twice joined by the clean ones that the machine takes for insults. Examples nearest the classes' middle are the landmarks; the Nyström map of the kernel
 to them goes into a linear machine with squared hinge loss. The machine's weights, taken back through the map, are one number for
 each landmark, so a unit's value is one sum over a table of subsequences, looked up for all new words of a batch at once.
 A document's value is its units' largest, brought to a probability by logistic calibration on labelled rows.
@@ -31,8 +31,8 @@ from .common import cut, map_batches, pieces, table, texts
 from .quality import held_out, sample
 
 DECAY, SPAN = 0.6, 6
+LETTERS = 40
 DOCS, UNITS, LANDMARKS, SAMPLE = 2500, 12_000, 96, 20_000
-EVIDENCE = 15.0  # G statistic of an example of label 1 at least
 FLOOR = -3.0
 THRESHOLD = 0.7
 _REMEMBERED = 500_000
@@ -46,17 +46,19 @@ def unit(word: str) -> str:
     return _LETTERS.sub("", word)
 
 
-def units(text: str) -> set[str]:
+def units(text: str) -> set[tuple[str, str]]:
+    """The units of a text, each with the word before it."""
     low = text.lower()
-    return {u for w in set(low.split()) if len(u := unit(w)) > 2} | {unit(x) for x in _APART.findall(low)}
+    words = [unit(w) for w in low.split()]
+    return {(u, b) for b, u in zip(["", *words], words) if len(u) > 2} | {(unit(x), "") for x in _APART.findall(low)}
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Letters as 1 to 25 and up to 30 for others; 31 begins a unit, 0 fills up."""
+    """a to z as 0 to 25, other letters as 26 to 38; 39 begins a unit, 99 fills up."""
     wide = max(map(len, words)) + 1
     x = np.frombuffer("".join(w.ljust(wide - 1, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), wide - 1)
     plain = (x >= 97) & (x <= 122)
-    return np.hstack([np.full((len(words), 1), 31), np.where(plain, x - 97, np.where(x > 0, 26 + x % 5, 99))]).astype(np.int64)
+    return np.hstack([np.full((len(words), 1), LETTERS - 1), np.where(plain, x - 97, np.where(x > 0, 26 + x % 13, 99))]).astype(np.int64)
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if wide > i + j:
             a, b, d = c[:, : wide - i - j], c[:, i : wide - j], c[:, i + j :]
             real = d < 99
-            places.append(np.where(real, a << 10 | b << 5 | d, 0))
+            places.append(np.where(real, (a * LETTERS + b) * LETTERS + d, 0))
             weights.append(real * DECAY ** (i + j + 1))
     if not places:
         return np.zeros((len(words), 0), np.int64), np.zeros((len(words), 0)), np.ones(len(words))
@@ -91,7 +93,7 @@ def _grouped(words: list[str], most: int = 200_000):
 
 def mapped(words: list[str]) -> np.ndarray:
     """The explicit feature maps as rows of a dense array; for landmarks only."""
-    out = np.zeros((len(words), 1 << 15), np.float32)
+    out = np.zeros((len(words), LETTERS**3), np.float32)
     for group in _grouped(words):
         place, weight, norm = subsequences([words[i] for i in group])
         for k, i in enumerate(group):
@@ -122,7 +124,7 @@ class Machine:
         return out
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3, steps: int = 30) -> np.ndarray:
+def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2e-5, steps: int = 60) -> np.ndarray:
     """Squared hinge loss by Newton steps over the rows within the margin; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], strength)
@@ -138,7 +140,8 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1
     return w
 
 
-def _fit(bad: list[str], good: list[str], landmarks: int) -> Machine:
+def _fit(bad: list[str], good: list[str], landmarks: int, counts: dict[str, int], hard: int = 0) -> Machine:
+    """counts: how often an example of label 1 was seen; it weighs by the root of that. The first of good that are hard weigh as much as the others."""
     marks = [*bad[: landmarks * 2 // 3], *good[: landmarks - min(len(bad), landmarks * 2 // 3)]]
     maps = mapped(marks)
     gram = kernel(marks, maps)
@@ -147,32 +150,35 @@ def _fit(bad: list[str], good: list[str], landmarks: int) -> Machine:
     project = vecs[:, keep] / np.sqrt(vals[keep])
     x = np.hstack([kernel([*bad, *good], maps) @ project, np.ones((len(bad) + len(good), 1))])
     y = np.array([1.0] * len(bad) + [-1.0] * len(good))
-    weight = np.array([0.5 / len(bad)] * len(bad) + [0.5 / len(good)] * len(good))
+    share = np.sqrt([counts.get(u, 1) for u in bad])
+    weight = np.concatenate([0.5 * share / share.sum(), np.full(hard, 0.25 / max(hard, 1)), np.full(len(good) - hard, (0.25 if hard else 0.5) / max(len(good) - hard, 1))])
     w = _hinge(x, y, weight)
     return Machine((project @ w[:-1]) @ maps, float(w[-1]))
 
 
-def train(counted: list[tuple[str, int, int]], share: float, landmarks: int = LANDMARKS) -> Machine | None:
-    """counted: unit, toxic and clean sentences that hold it; share: of toxic ones among all sentences."""
+def train(counted: list[tuple[str, int, int]], share: float, tested: int, landmarks: int = LANDMARKS) -> Machine | None:
+    """counted: unit, how often toxic and clean sentences hold it; share: of toxic ones among all; tested: units from which counted is chosen."""
+    evidence = max(15.0, 2 * np.log(tested))  # so large a G statistic is less likely by chance than one unit among those tested
     scored = []
     for u, bad, good in counted:
         n = bad + good
         if bad > n * share:
             scored.append((2 * (bad * np.log(bad / (n * share)) + (good * np.log(good / (n * (1 - share))) if good else 0.0)), u))
-    bad = [u for g, u in sorted(scored, reverse=True) if g >= EVIDENCE]
-    if len(bad) > 4:
-        bad = [u for u in bad if u in {x for x, b, g in counted if g <= 0.1 * b}] or bad
+    bad = [u for g, u in sorted(scored, reverse=True) if g >= evidence]
+    clear = {u for u, b, g in counted if g <= 0.1 * b}
+    bad = [u for u in bad if u in clear] or bad
     good = [u for u, b, g in counted if g > b or b == 0]
     if not bad or not good:
         return None
     good.sort(key=xxhash.xxh3_64_intdigest)
     chosen = good[:3000]
-    machine = _fit(bad[:1500], chosen, landmarks)
+    counts = {u: b for u, b, _ in counted}
+    machine = _fit(bad[:1500], chosen, landmarks, counts)
     for _ in range(2):
         values = machine.values(good)
         hard = [good[i] for i in np.argsort(-values)[:300] if values[i] > -0.9]
         chosen = [*hard, *(u for u in chosen if u not in set(hard))]
-        machine = _fit(bad[:1500], chosen, landmarks)
+        machine = _fit(bad[:1500], chosen, landmarks, counts, len(hard))
     return machine
 
 
@@ -185,25 +191,25 @@ def _sentences(c):
                 if found := units(s):
                     out["sentence"].append(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")))
                     out["y"].append(y[i])
-                    out["units"].append(sorted(found))
-    return {"sentence": np.array(out["sentence"], np.uint64).view(np.int64), "y": pa.array(out["y"], pa.float64()), "units": pa.array(out["units"], pa.list_(pa.string()))}
+                    out["units"].append([{"unit": u, "before": b} for u, b in sorted(found)])
+    return {"sentence": np.array(out["sentence"], np.uint64).view(np.int64), "y": pa.array(out["y"], pa.float64()), "units": pa.array(out["units"], pa.list_(pa.struct([("unit", pa.string()), ("before", pa.string())])))}
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, held, most: int = DOCS) -> Machine | None:
     source = texts(docs)
     ids = source.select("doc_id")
     some = reduce(DataFrame.union, [sample(ids, labels.where(F.col(label) == k), label, held, most) for k in (0, 1)])
-    told = map_batches(source.join(F.broadcast(some), "doc_id"), _sentences, "sentence long, y double, units array<string>")
+    told = map_batches(source.join(F.broadcast(some), "doc_id"), _sentences, "sentence long, y double, units array<struct<unit: string, before: string>>")
     once = cut(told.groupBy("sentence").agg(F.min("y").alias("y"), F.first("units").alias("units")))
-    total, bad = once.agg(F.count("*"), F.sum("y")).first()
-    if not total or not 0 < bad < total:
+    told = once.select("y", F.explode("units").alias("u")).groupBy("u.unit", "u.before").agg(F.min("y").alias("y"))
+    counted = cut(told.groupBy("unit").agg(F.sum("y").cast("long").alias("bad"), F.sum(1 - F.col("y")).cast("long").alias("good")))
+    bad, good, tested = counted.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
+    if not bad or not good:
         return None
-    share = bad / total
-    counted = once.select("y", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("y").cast("long").alias("bad"), F.sum(1 - F.col("y")).cast("long").alias("good"))
-    counted = cut(counted.where("length(unit) < 64"))
+    share = bad / (bad + good)
     top = counted.where(F.col("bad") * (1 - share) > F.col("good") * share).orderBy(F.desc(F.col("bad") - (F.col("bad") + F.col("good")) * share), "unit").limit(UNITS // 3)
     rest = counted.where("good > bad").orderBy(F.xxhash64("unit"), "unit").limit(UNITS // 3).union(counted.where("good > bad").orderBy(F.desc("good"), "unit").limit(UNITS // 3)).distinct()
-    return train([tuple(r) for r in top.union(rest).collect()], share)
+    return train([tuple(r) for r in top.union(rest).distinct().orderBy("unit").collect()], share, tested)
 
 
 class _Values(dict):

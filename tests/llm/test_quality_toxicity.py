@@ -116,9 +116,10 @@ def test_kernel_is_that_of_gapped_subsequences():
 
 def test_folded_machine_equals_its_landmarks():
     bad, good = ["zuggle", "zugglex", "blorf"], ["thing", "other", "stone", "plain"]
-    m = toxicity._fit(bad, good, 7)
+    m = toxicity._fit(bad, good, 7, {})
     assert m.values(bad).min() > m.values(good).max()
 
 
 def test_spaced_letters_are_one_unit():
-    assert "idiot" in toxicity.units("you i d i o t there") and "idiot" in toxicity.units("you i-d-i-o-t!") and "idiot" in toxicity.units("i.d.i.o.t")
+    for text in ("you i d i o t there", "you i-d-i-o-t!", "i.d.i.o.t"):
+        assert "idiot" in {u for u, _ in toxicity.units(text)}
