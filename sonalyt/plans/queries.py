@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pcm, similarity, spoken, tags
 from ..functions import text as X
-from ..operators import lanes, ranking, sessions
+from ..operators import judging, lanes, ranking, sessions
 from ..sources import runs as R
 from ..streaming import sessions as streaming
 
@@ -504,3 +504,149 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "text")
     turns = spark.sql(TURNS_SQL.format(clean=_CLEAN.format(g=""), conversations="{conversations}"), conversations=table(spark, sf_dir, "conversations")).select("language", F.col("reference").alias("text"))
     return docs.unionByName(turns).groupBy("language").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("characters"))
+
+
+# judges --------------------------------------------------------------------------------------------------------------
+
+JUDGED_SQL = """select concat('tts', cast(l_suppkey % 5 as string)) as provider, concat('stt', cast(l_partkey % 4 as string)) as judge, concat('clip', cast(l_orderkey % 500 as string)) as clip_id, case when l_linestatus = 'O' then 'stream' else 'batch' end as mode,
+  l_linenumber - 1 + l_suppkey % 3 as edits, cast(l_quantity as int) as reference_length, case l_returnflag when 'A' then 'entity' when 'N' then 'meaning' else 'harmless' end as label, 3.0 + l_discount * 10 - l_tax * (l_suppkey % 5) * 3 as score from {lineitem}"""
+JUDGED = f"with j as ({JUDGED_SQL.format(lineitem='lineitem')})"
+FAMILIES = [("tts0", "vendor0"), ("tts1", "vendor1"), ("stt0", "vendor0"), ("stt1", "vendor1"), ("stt2", "vendor0")]
+FAMILIES_SQL = "families as (select * from (values " + ", ".join(f"('{k}', '{f}')" for k, f in FAMILIES) + ") as f(key, family))"
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(JUDGED_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+
+
+def families(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FAMILIES, "key string, family string")
+
+
+@query(
+    f"""{JUDGED}, {FAMILIES_SQL}, s as (select provider, judge, sum(edits) as e, sum(reference_length) as n from j group by all),
+  b as (select s.*, coalesce(f.family, provider) <> coalesce(g.family, judge) as other from s left join families f on f.key = provider left join families g on g.key = judge)
+  select provider, count(*) as judges, round(sum(e) filter (where other) / nullif(sum(n) filter (where other), 0), 6) as pooled_rate, count(*) >= 2 and max(e / n) - min(e / n) > 0.02 as diverges from b group by provider"""
+)
+def cross_family_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(judging.cross_family_rate(judged(spark, sf_dir), families(spark)))
+
+
+@query(f"{JUDGED}, {FAMILIES_SQL}, c as (select distinct provider as key, coalesce(family, provider) as f from j left join families on key = provider), g as (select distinct coalesce(family, judge) as f from j left join families on key = judge where judge in ('stt0', 'stt2')) select key from c where not exists (select 1 from g where g.f <> c.f)")
+def unjudged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that two judges of one family leave without a judge of another."""
+    j = judged(spark, sf_dir)
+    return judging.unjudged(j.select(F.col("provider").alias("key")).distinct(), j.where("judge in ('stt0', 'stt2')").select(F.col("judge").alias("key")).distinct(), families(spark))
+
+
+@query(
+    f"""{JUDGED}, c as (select provider, mode, clip_id, label, count(*) as n, case label when 'entity' then 0 when 'meaning' then 1 else 2 end as s from j group by all),
+  m as (select provider, mode, clip_id, arg_max(label, (n, -s)) as majority, count(*) = 1 as unanimous from c group by all)
+  select provider, mode, count(*) as items, count(*) filter (where majority = 'entity') as n_entity, count(*) filter (where majority = 'meaning') as n_meaning, count(*) filter (where majority = 'harmless') as n_harmless, round(avg(cast(unanimous as int)), 6) as unanimity from m group by all"""
+)
+def semantic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(judging.label_summary(judged(spark, sf_dir), ["provider", "mode"], ["clip_id"], SEVERITY))
+
+
+_CONSENSUS = """select aspect, prompt_id, least(first, second) as a, greatest(first, second) as b, count(winner) as usable, case when count(winner) >= 2 and count(distinct winner) = 1 then max(winner) end as outcome from {v} group by all"""
+
+
+@query(f"{VERDICTS} {_CONSENSUS.format(v='v')}")
+def consensus_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.consensus(verdicts(spark, sf_dir))
+
+
+@query(
+    f"""{VERDICTS}, x as ({_CONSENSUS.format(v="(select * from v where aspect = 'F')")}), y as ({_CONSENSUS.format(v="(select * from v where aspect = 'O')")})
+  select count(*) as keys, count(*) filter (where x.a is null or y.a is null) as one_sided, count(*) filter (where x.outcome is not null and y.outcome is not null) as compared, count(*) filter (where x.outcome = y.outcome) as agree from x full join y on x.prompt_id = y.prompt_id and x.a = y.a and x.b = y.b"""
+)
+def cross_family_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of two judge panels over the same pairs."""
+    c = judging.consensus(verdicts(spark, sf_dir))
+    return judging.compare(c.where("aspect = 'F'"), c.where("aspect = 'O'"), ["prompt_id", "a", "b"], "outcome")
+
+
+@query(
+    f"""{JUDGED}, h as (select provider, clip_id, max(label) as human from j where clip_id like 'clip1%' group by all), f as (select * from (select *, row_number() over (partition by provider, clip_id order by case when mode = 'stream' then 0 else 1 end, label) as n from j) where n = 1)
+  select provider, label, human, count(*) as clips from f join h using (provider, clip_id) group by all"""
+)
+def human_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = judged(spark, sf_dir)
+    anchor = j.where("clip_id like 'clip1%'").groupBy("provider", "clip_id").agg(F.max("label").alias("human"))
+    return judging.against_anchor(j.select("provider", "clip_id", "mode", "label"), anchor).groupBy("provider", "label", "human").agg(F.count("*").alias("clips"))
+
+
+@query(
+    f"""{JUDGED}, n as (select provider, count(*) as clips, avg(score) as mean from j where mode = 'stream' group by all), b as (select provider, avg(score) + 0.25 * cast(substr(provider, 4) as int) as mean from j where mode = 'batch' and provider <> 'tts1' group by provider)
+  select provider, clips, round(n.mean, 4) as mean, round(b.mean, 4) as baseline, round(n.mean - b.mean, 4) as delta, coalesce(n.mean - b.mean < -0.3, false) as alert from n left join b using (provider)"""
+)
+def quality_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = judged(spark, sf_dir)
+    before = j.where("mode = 'batch' and provider != 'tts1'").groupBy("provider").agg((F.avg("score") + 0.25 * F.substring("provider", 4, 9).cast("int")).alias("mean"))
+    return rounded(judging.mean_score_alerts(j.where("mode = 'stream'"), before), 4)
+
+
+# selection -----------------------------------------------------------------------------------------------------------
+
+_ENTITY = (("currency", r"[$€£]\s?[0-9]+"), ("date", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"), ("address", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("year", r"\b(?:19|20)[0-9]{2}\b"), ("digits", r"[0-9]{3,}"))
+
+
+def _entity_sql() -> str:
+    left, columns = "text", []
+    for name, p in _ENTITY:
+        columns.append(f"cast(sum(len(regexp_extract_all({left}, '{p}'))) as bigint) as n_{name}")
+        left = f"regexp_replace({left}, '{p}', ' ', 'g')"
+    return f"select lang, count(*) as texts, {', '.join(columns)} from documents group by lang"
+
+
+@query(_entity_sql())
+def entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by class; a class takes its spans before the ones after it, so none is counted twice."""
+    left, columns = F.col("text"), []
+    for name, p in _ENTITY:
+        columns.append(F.sum(F.regexp_count(left, F.lit(p))).alias(f"n_{name}"))
+        left = F.regexp_replace(left, p, " ")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("texts"), *columns)
+
+
+@query(
+    f"""{MERGED}, b as (select user_id, min(t_s) as from_s, max(t_s) as to_s from e group by 1), c as (select user_id, sum(least(end_s, to_s) - greatest(start_s, from_s)) / (to_s - from_s) as share from m join b using (user_id) where greatest(start_s, from_s) < least(end_s, to_s) and to_s > from_s group by user_id, from_s, to_s)
+  select user_id, round(least(share, 1.0), 6) as share, case when share < 0.45 then 'agent' when share > 0.55 then 'user' else 'mixed' end as class from c"""
+)
+def session_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered share of a session's time, in three classes."""
+    b = events(spark, sf_dir).groupBy("user_id").agg(F.min("t_s").alias("from_s"), F.max("t_s").alias("to_s")).where("to_s > from_s")
+    inside = _silences(spark, sf_dir).join(b, "user_id").withColumn("s", F.greatest("start_s", "from_s")).withColumn("e", F.least("end_s", "to_s")).where("s < e")
+    c = inside.groupBy("user_id", "from_s", "to_s").agg(F.sum(F.col("e") - F.col("s")).alias("d")).withColumn("share", F.col("d") / (F.col("to_s") - F.col("from_s")))
+    return c.select("user_id", F.round(F.least("share", F.lit(1.0)), 6).alias("share"), F.when(F.col("share") < 0.45, "agent").when(F.col("share") > 0.55, "user").otherwise("mixed").alias("class"))
+
+
+@query(
+    """with s as (select distinct user_id from events where event_type = 'purchase' and value > 45), m as (select event_type, user_id in (select user_id from s) as video from events) select event_type, video, count(*) as events from m group by all"""
+)
+def session_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of sessions that a set of sessions holds, and the others."""
+    e = table(spark, sf_dir, "events")
+    chosen = e.where("event_type = 'purchase' and value > 45").select("user_id")
+    inside = e.join(chosen, "user_id", "left_semi").withColumn("video", F.lit(True))
+    outside = e.join(chosen, "user_id", "left_anti").withColumn("video", F.lit(False))
+    return inside.union(outside).groupBy("event_type", "video").agg(F.count("*").alias("events"))
+
+
+@query(
+    f"""{WITH_STT}, c as (select provider, mode, case snr_level when 0 then 'silence' when 1 then 'noise' when 2 then 'low snr' when 3 then 'telephony' else 'speech' end as condition, edits, reference_length, error from s)
+  select provider, mode, condition, count(*) as clips, count(*) filter (where error is not null) as failures, count(*) filter (where error is null and edits >= 3) as fabricated, cast(coalesce(sum(edits) filter (where error is null), 0) as bigint) as inserted from c group by all"""
+)
+def hallucination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fabricated clips by lane and condition; the condition is read from the clip id's prefix."""
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("silence-", "noise-", "lowsnr-", "tel8k-", "", "")]), F.col("snr_level").cast("int") + 1)
+    runs = R.stt_runs(spark, sf_dir).withColumn("condition", tags.condition(F.concat(prefix, "clip_id")))
+    ok = F.col("error").isNull()
+    return runs.groupBy("provider", "mode", "condition").agg(
+        F.count("*").alias("clips"), F.count(F.when(~ok, 1)).alias("failures"), F.count(F.when(ok & (F.col("edits") >= 3), 1)).alias("fabricated"), F.coalesce(F.sum(F.when(ok, F.col("edits"))), F.lit(0)).cast("long").alias("inserted")
+    )
+
+
+@query(f"{WITH_STT} select provider, mode, count(*) as clips, count(distinct language) as languages, count(distinct clip_id) as distinct_clips from s group by all")
+def lane_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.stt_runs(spark, sf_dir).groupBy("provider", "mode").agg(F.count("*").alias("clips"), F.count_distinct("language").alias("languages"), F.count_distinct("clip_id").alias("distinct_clips"))
