@@ -4,7 +4,7 @@ Equal vectors become one, with the number of its copies. A label's vectors are d
 Yashunin, 2016): every layer links a vector to near ones that are not nearer to each other, a layer above holds one in
 M of those below. Every shard's vectors search every shard of their label, a block of queries at a time. A query whose beam is filled with
 hits is searched again with a beam twice as wide, until it isn't; an audit of AUDIT queries against all vectors of the shard
-widens the beam for the block until RECALL is reached, and from a beam as wide as the shard the block is compared in full.
+widens the beam for the block until RECALL is reached, and queries whose beam of WIDEST is still filled are compared with the shard in full.
 What is found is verified by cosine in double precision.
 
 A block returns each vector's number of links and a star of links, never its pairs, so a group of thousands of near copies costs rows in
@@ -27,6 +27,7 @@ from .common import components, cut, lowest, table
 COSINE, SHARD = 0.93, 4096
 M, BUILD, BEAM, AUDIT, RECALL = 12, 40, 32, 48, 0.99
 _BLOCK = 256
+WIDEST = 256  # a beam that is still filled with hits belongs to a dense group, which is compared in full
 
 
 def _select(x: np.ndarray, own: np.ndarray, cand: np.ndarray, most: int) -> np.ndarray:
@@ -187,7 +188,7 @@ def hits(queries: np.ndarray, x: np.ndarray, graph: Graph, cosine: float) -> np.
             again.append(own[ok.all(axis=1)])
         full = np.concatenate(again)
         recall = (found[audit] & truth).sum() / max(1, truth.sum())
-        if beam >= n or beam >= 1024:
+        if beam >= n or beam >= WIDEST:
             if recall < RECALL:  # parts of the graph that no beam reaches
                 full = np.arange(len(queries))
             for at in range(0, len(full), _BLOCK):
