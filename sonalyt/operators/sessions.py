@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,39 @@ def runs(rows: DataFrame, session: str, order: list[str], flag: str) -> DataFram
     n = F.row_number().over(Window.partitionBy(session).orderBy(*order))
     m = F.row_number().over(Window.partitionBy(session, flag).orderBy(*order))
     return rows.withColumn("__n", n).withColumn("__m", m).where(F.col(flag)).groupBy(session, (F.col("__n") - F.col("__m")).alias("__run")).agg(F.count("*").alias("length"), F.min("__n").alias("first")).drop("__run")
+
+
+def merge_short(segments: DataFrame, session: str, short: float = 2.0, longest: float = 30.0) -> DataFrame:
+    """Segments (session, start_s, end_s) below `short` go to the one after them where both span at most `longest`, else to the one before, else out.
+
+    The rule looks at what the last step left, so a session's segments, a few numbers each, pass in order through one task.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["start_s"], pdf["end_s"], strict=True))
+        out: list[tuple[float, float]] = []
+        held = None
+        for a, b in rows:
+            if held is not None:
+                if b - held[0] <= longest:
+                    a = held[0]
+                elif out and held[1] - out[-1][0] <= longest:
+                    out[-1] = (out[-1][0], held[1])
+                held = None
+            if b - a < short:
+                held = (a, b)
+            else:
+                out.append((a, b))
+        if held is not None and out and held[1] - out[-1][0] <= longest:
+            out[-1] = (out[-1][0], held[1])
+        return pd.DataFrame({session: pdf[session].iloc[0], "start_s": [a for a, _ in out], "end_s": [b for _, b in out]})
+
+    return segments.select(session, "start_s", "end_s").groupBy(session).applyInPandas(fold, segments.select(session, F.col("start_s").cast("double"), F.col("end_s").cast("double")).schema)
+
+
+def split_long(segments: DataFrame, longest: float = 30.0, tail: float = 2.0) -> DataFrame:
+    """Segments in pieces of at most `longest`; a last piece below `tail` is dropped, unless it is the only one."""
+    n = F.greatest(F.ceil((F.col("end_s") - F.col("start_s")) / longest), F.lit(1)).cast("int")
+    cut = segments.withColumn("__k", F.explode(F.sequence(F.lit(0), n - 1)))
+    start, end = F.col("start_s") + F.col("__k") * longest, F.least(F.col("end_s"), F.col("start_s") + (F.col("__k") + 1) * longest)
+    return cut.withColumn("__s", start).withColumn("__e", end).where((F.col("__k") == 0) | (F.col("__e") - F.col("__s") >= tail)).select(*[c for c in segments.columns if c not in ("start_s", "end_s")], F.col("__s").alias("start_s"), F.col("__e").alias("end_s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pcm, similarity, spoken, tags
+from ..functions import align, pcm, similarity, spoken, tags
 from ..functions import text as X
 from ..operators import judging, lanes, ranking, sessions
 from ..sources import runs as R
@@ -650,3 +650,36 @@ def hallucination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH_STT} select provider, mode, count(*) as clips, count(distinct language) as languages, count(distinct clip_id) as distinct_clips from s group by all")
 def lane_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stt_runs(spark, sf_dir).groupBy("provider", "mode").agg(F.count("*").alias("clips"), F.count_distinct("language").alias("languages"), F.count_distinct("clip_id").alias("distinct_clips"))
+
+
+# alignments ----------------------------------------------------------------------------------------------------------
+
+
+def _long_words(tokens: list[str]) -> list[tuple[str, int, int]]:
+    """Marks of the query: names of one long word, and of two together."""
+    long = [len(t) >= 9 for t in tokens]
+    return [("pair", i, i + 2) if long[i] and i + 1 < len(tokens) and long[i + 1] else ("single", i, i + 1) for i in range(len(tokens)) if long[i] and not (i and long[i - 1])]
+
+
+@query()
+def marked_span_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors within marked spans of the references, by lane and class; tests/ holds the alignment against word distances."""
+    rows = transcripts(spark, sf_dir).select("lane", F.explode(align.marked_errors(_long_words)(X.words(F.col("reference")), X.words(F.col("text")))).alias("s"))
+    return rows.groupBy("lane", "s.class").agg(*[F.sum(f"s.{c}").alias(c) for c in align.SCORE.names[1:]])
+
+
+@query()
+def inserted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that lane d has and lane c doesn't, by length."""
+    said = transcripts(spark, sf_dir).where("lane in ('c', 'd')").groupBy("clip_id").agg(F.max(F.when(F.col("lane") == "c", F.col("text"))).alias("c"), F.max(F.when(F.col("lane") == "d", F.col("text"))).alias("d"))
+    runs = said.select(F.explode(align.alignment(X.words(F.col("c")), X.words(F.col("d")))).alias("s")).where("s.kind = 'insert'")
+    return runs.groupBy((F.col("s.hyp_to") - F.col("s.hyp_from")).alias("length")).agg(F.count("*").alias("runs"))
+
+
+@query()
+def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech segments of sessions, short ones merged and long ones split; in hours where recordings have seconds."""
+    bounds = events(spark, sf_dir).groupBy("user_id").agg(F.min("t_s").alias("from_s"), F.max("t_s").alias("to_s"))
+    gaps = sessions.complement(_silences(spark, sf_dir), bounds, "user_id").select("user_id", (F.col("start_s") / 3600).alias("start_s"), (F.col("end_s") / 3600).alias("end_s"))
+    clips = sessions.split_long(sessions.merge_short(gaps, "user_id"))
+    return rounded(clips.groupBy("user_id").agg(F.count("*").alias("clips"), F.sum(F.col("end_s") - F.col("start_s")).alias("hours")), 4)

@@ -208,3 +208,39 @@ def test_gate_and_permutations(spark):
     assert (g.systems, g.verdict) == (4, "pass") and g.rho == pytest.approx(1)
     assert ranking.gate(df.limit(2), "s", "x", "y").first().verdict == "pending"
     assert ranking.gate(df.withColumn("x", F.lit(1.0)), "s", "x", "y").first().verdict == "uncomputable"
+
+
+def test_alignment_costs_and_spans():
+    from sonalyt.functions import align
+
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = [r.choice("abcd") for _ in range(r.randrange(10))], [r.choice("abcd") for _ in range(r.randrange(10))]
+        way = align.steps(a, b)
+        assert sum(k != "equal" for k, _, _ in way) == distance(a, b)
+        assert [i for k, i, _ in way if k != "insert"] == list(range(len(a))) and [j for k, _, j in way if k != "delete"] == list(range(len(b)))
+        at = (0, 0)
+        for kind, i, i2, j, j2 in align.spans(a, b):
+            assert (i, j) == at and (kind != "equal" or a[i:i2] == b[j:j2])
+            at = (i2, j2)
+        assert at == (len(a), len(b))
+    assert align.marked(list("abc"), [("x", 0, 2), ("x", 2, 3)], list("azbc")) == [("x", 2, 1, 0, 0, 1, 3)]
+    assert align.marked(list("ab"), [("x", 0, 1)], list("zab")) == [("x", 1, 1, 0, 0, 0, 1)]
+
+
+def test_segments_are_merged_and_split(spark):
+    df = spark.createDataFrame([("s", 0.0, 1.0), ("s", 5.0, 10.0), ("s", 50.0, 51.0), ("s", 90.0, 121.0), ("t", 0.0, 0.5), ("u", 0.0, 95.0), ("v", 0.0, 61.0)], "k string, start_s double, end_s double")
+    merged = sessions.merge_short(df, "k")
+    assert sorted(map(tuple, merged.collect())) == [("s", 0.0, 10.0), ("s", 90.0, 121.0), ("u", 0.0, 95.0), ("v", 0.0, 61.0)]
+    assert sorted(map(tuple, sessions.split_long(merged).collect())) == [("s", 0.0, 10.0), ("s", 90.0, 120.0), ("u", 0.0, 30.0), ("u", 30.0, 60.0), ("u", 60.0, 90.0), ("u", 90.0, 95.0), ("v", 0.0, 30.0), ("v", 30.0, 60.0)]
+
+
+def test_judging(spark):
+    from sonalyt.operators import judging
+
+    rows = spark.createDataFrame([("a", "x", 1, 10), ("a", "y", 5, 10), ("b", "x", 0, 0)], "provider string, judge string, edits int, reference_length int")
+    families = spark.createDataFrame([("a", "f"), ("x", "f")], "key string, family string")
+    got = {r.provider: (r.judges, r.pooled_rate, r.diverges) for r in judging.cross_family_rate(rows, families).collect()}
+    assert got == {"a": (2, 0.5, True), "b": (1, None, False)}
+    alerts = judging.mean_score_alerts(spark.createDataFrame([("a", 3.0), ("b", 3.0)], "provider string, score double"), spark.createDataFrame([("a", 3.5)], "provider string, mean double")).collect()
+    assert {r.provider: r.alert for r in alerts} == {"a": True, "b": False}
