@@ -67,49 +67,57 @@ def pieces(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[
         at = to
 
 
-def runs(keys: list[str], numbers: list[str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray] | None], most: int = 1 << 18):
+def runs(keys: list[str], numbers: list[str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray] | None], over: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None = None, most: int = 1 << 18):
     """For mapInArrow over rows sorted by keys (integers): fn gets starts of whole runs and the columns as numpy arrays.
 
-    The rows of a run that a batch cuts wait for its end, so fn sees each run once and whole. Only integer columns pass.
+    The rows of a run that a batch cuts wait for its end, so fn sees each run once and whole. With over, no more than about `most` rows wait:
+    a run longer than that goes to over in parts instead. Only integer columns pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         n = 0
+        flowing: dict[str, int] | None = None  # the key of a run that goes to over
 
-        def flush(parts: list[dict[str, np.ndarray]]):
-            cols = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        def given(out: dict[str, np.ndarray] | None):
+            if out is not None and len(next(iter(out.values()))):
+                yield pa.RecordBatch.from_pydict(out)
+
+        def flush(cols: dict[str, np.ndarray]):
             size = len(cols[keys[0]])
             if size:
                 new = np.ones(size, dtype=bool)
                 new[1:] = np.logical_or.reduce([cols[k][1:] != cols[k][:-1] for k in keys])
-                if (out := fn(np.flatnonzero(new), cols)) is not None and len(next(iter(out.values()))):
-                    yield pa.RecordBatch.from_pydict(out)
+                yield from given(fn(np.flatnonzero(new), cols))
 
         for b in batches:
-            if not b.num_rows:
-                continue
             cols = {k: b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in [*keys, *numbers]}
+            if flowing is not None and b.num_rows:
+                same = np.logical_and.reduce([cols[k] == flowing[k] for k in keys])
+                stop = len(same) if same.all() else int(np.argmin(same))
+                if stop:
+                    yield from given(over({k: v[:stop] for k, v in cols.items()}))
+                    cols = {k: v[stop:] for k, v in cols.items()}
+                if stop < len(same):
+                    flowing = None
+            if not len(cols[keys[0]]):
+                continue
             held.append(cols)
-            n += b.num_rows
+            n += len(cols[keys[0]])
             if n < most:
                 continue
-            last = {k: cols[k][-1] for k in keys}
-            same = np.logical_and.reduce([cols[k] == last[k] for k in keys])
-            first = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if first == 0 and all(all(h[k][0] == last[k] for k in keys) for h in held):
-                continue  # one run so far
-            if first == 0:
-                cols = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-                same = np.logical_and.reduce([cols[k] == last[k] for k in keys])
-                first = len(same) - int(np.argmin(same[::-1]))
-                held = [cols]
-            tail = {k: v[first:] for k, v in cols.items()}
-            held[-1] = {k: v[:first] for k, v in cols.items()}
-            yield from flush(held)
+            whole = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            same = np.logical_and.reduce([whole[k] == whole[k][-1] for k in keys])
+            first = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            yield from flush({k: v[:first] for k, v in whole.items()})
+            tail = {k: v[first:] for k, v in whole.items()}
             held, n = [tail], len(tail[keys[0]])
+            if over is not None and n >= most:
+                flowing = {k: tail[k][0] for k in keys}
+                yield from given(over(tail))
+                held, n = [], 0
         if held:
-            yield from flush(held)
+            yield from flush({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
     return run
 

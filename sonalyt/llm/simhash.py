@@ -91,24 +91,27 @@ def _star(fp: np.ndarray, distances: np.ndarray, bits: int) -> tuple[np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (rest[:0], rest[:0])
 
 
+def _again(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows of a key that is to be dealt out again."""
+    n = len(cols["fp"])
+    return {"kind": np.ones(n, np.int64)} | {k: cols[k] for k in ("ways", "k1", "k2", "fp", "rep")} | {"other": np.zeros(n, np.int64)}
+
+
 def _compare(bits: int, hot: int | None):
     refs = np.array(pivots(), np.uint64)
 
     def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
         n = len(cols["fp"])
         size = np.diff(np.append(starts, n))
-        out = {"kind": [], "ways": [], "k1": [], "k2": [], "fp": [], "rep": [], "other": []}
+        out = {k: [] for k in ("kind", "ways", "k1", "k2", "fp", "rep", "other")}
 
-        def put(kind, at, other):
-            for k in ("ways", "k1", "k2", "fp", "rep"):
-                out[k].append(cols[k][at])
-            out["kind"].append(np.full(len(at), kind, np.int64))
-            out["other"].append(np.asarray(other, np.int64))
+        def put(part):
+            for k, v in part.items():
+                out[k].append(v)
 
         rep = cols["rep"]
-        if hot:
-            for s, m in zip(starts[size > hot], size[size > hot], strict=True):
-                put(1, np.arange(s, s + m), np.full(m, m))
+        if hot and (size > hot).any():
+            put(_again({k: v[np.repeat(size > hot, size)] for k, v in cols.items()}))
         keep = (size > 1) & (size <= hot) if hot else size > 1
         at = np.repeat(keep, size).nonzero()[0]
         if len(at):
@@ -132,7 +135,7 @@ def _compare(bits: int, hot: int | None):
             a, b = np.concatenate(a) if a else np.zeros(0, int), np.concatenate(b) if b else np.zeros(0, int)
             label = lowest(len(fp), a, b)
             linked = np.flatnonzero(label != np.arange(len(fp)))
-            put(0, at[linked], rep[label[linked]])
+            put({k: cols[k][at[linked]] for k in ("ways", "k1", "k2", "fp", "rep")} | {"kind": np.zeros(len(linked), np.int64), "other": rep[label[linked]]})
         return {k: np.concatenate(v) for k, v in out.items()} if out["fp"] else None
 
     return fn
@@ -164,14 +167,13 @@ def links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     keyed = map_batches(fps.where("rep is not null"), _keys, "ways long, k1 long, k2 long, fp long, rep long")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(n, "ways", "k1", "k2").sortWithinPartitions("ways", "k1", "k2", "fp")
-    found = cut(dealt.mapInArrow(runs(["ways", "k1", "k2"], ["fp", "rep"], _compare(bits, hot)), SCHEMA))
+    found = cut(dealt.mapInArrow(runs(["ways", "k1", "k2"], ["fp", "rep"], _compare(bits, hot), _again), SCHEMA))
     near = found.where("kind = 0").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     again = found.where("kind = 1")
     if again.isEmpty():
         return near
-    groups = F.ceil(F.col("other") * 2 / hot).cast("long")
-    block = F.pmod(F.xxhash64("fp"), groups)
-    blocks = again.withColumn("g", groups).withColumn("x", block).select("ways", "k1", "k2", "fp", "rep", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("y"))
+    sizes = again.groupBy("ways", "k1", "k2").agg(F.ceil(F.count("*") * 2 / hot).cast("long").alias("g"))
+    blocks = again.join(sizes, ["ways", "k1", "k2"]).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("g"))).select("ways", "k1", "k2", "fp", "rep", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("y"))
     blocks = blocks.select("ways", "k1", "k2", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "fp", "rep")
     keys = ["ways", "k1", "k2", "x", "y"]
     more = blocks.repartition(n, *keys).sortWithinPartitions(*keys, "fp").mapInArrow(runs(keys, ["fp", "rep"], _compare(bits, None)), SCHEMA)

@@ -65,3 +65,32 @@ def test_keep_one_keeps_every_group(docs, rows):
 
 def test_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
+
+
+def test_runs_over_cut_batches():
+    import pyarrow as pa
+
+    from sonalyt.llm.common import runs
+
+    r = np.random.default_rng(0)
+    for over in (False, True):
+        for size in (1, 3, 7, 50):
+            key = np.sort(r.integers(0, 12, 120))
+            key[20:75] = key[20]
+            key = np.sort(key)
+            batches = [pa.RecordBatch.from_pydict({"k": key[i : i + size], "v": np.arange(len(key))[i : i + size]}) for i in range(0, len(key), size)]
+            seen, parts = [], []
+
+            def fn(starts, cols):
+                seen.extend((int(cols["k"][s]), e - s, int(cols["v"][s])) for s, e in zip(starts, [*starts[1:], len(cols["k"])]))
+
+            def to_over(cols):
+                parts.append(cols)
+                return cols
+
+            list(runs(["k"], ["v"], fn, to_over if over else None, most=16)(iter(batches)))
+            far = np.concatenate([p["v"] for p in parts]) if parts else np.zeros(0, int)
+            assert set(key[far]).isdisjoint(k for k, _, _ in seen) and len(set(far)) == len(far)
+            assert sorted(seen) == sorted((int(k), int((key == k).sum()), int(np.argmax(key == k))) for k in set(key) - set(key[far]))
+            assert {k for k in set(key) if (key == k).sum() >= 16 + size} <= set(key[far]) or not over
+            assert len(far) == sum((key == k).sum() for k in set(key[far]))
