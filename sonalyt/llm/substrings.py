@@ -7,8 +7,8 @@ others the documents give the stretches of words around them, and a shard's task
 automaton of an anchor's stretches; each document streams through the automaton of those before it, and maximal
 matches of WINDOW or more words are removed. Words are compared as such, hashes only bring them together.
 
-An anchor with more than HOT documents is split: its windows travel one by one under their own hash, so a passage that very many
-documents share, each within its own context, is dealt over all tasks and an automaton's size stays bounded.
+An anchor with more than HOT documents is split: its windows travel one by one under their own hash, as 128-bit digests, so a passage
+that very many documents share, each within its own context, is dealt over all tasks and an automaton's size stays bounded.
 
 Nulls: a null text has no words. A row without doc_id is neither reference nor judged. Repeated rows of one doc_id are one
 document and get the same result each. Empty table: empty result.
@@ -30,6 +30,7 @@ from .common import map_batches, pieces, table, texts
 
 WINDOW, GRAM = 13, 6
 HOT = 1000  # documents of an anchor above which its windows are dealt out one by one
+DIGEST = 16  # bytes of a window's digest; a stretch of words is longer
 _REMEMBERED = 400_000
 
 
@@ -157,11 +158,12 @@ def _anchors(window: int, gram: int):
         doc, ids, hashes = c["doc_id"].to_numpy(zero_copy_only=False), [], []
         for at, part in pieces(c["text"]):
             s = Stretches([t.encode("utf-8", "surrogatepass").split() for t in part], window, gram)
-            own = doc[at + s.doc]
+            order = np.lexsort((s.anchor, s.doc))  # an anchor counts once for a document
+            own, anchor = s.doc[order], s.anchor[order]
             new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (s.anchor[1:] != s.anchor[:-1])
-            ids.append(own[new])
-            hashes.append(s.anchor[new])
+            new[1:] = (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1])
+            ids.append(doc[at + own[new]])
+            hashes.append(anchor[new])
         return {"anchor": np.concatenate(hashes), "doc_id": np.concatenate(ids).astype(np.int64)}
 
     return one
@@ -210,10 +212,10 @@ def _shared(hot: int):
 
 
 def _cut(window: int, gram: int):
-    """The stretches, or for hot anchors the windows, around the document's shared anchors."""
+    """The stretches, or for hot anchors the windows, around the document's shared anchors; one that the document repeats is one row with its starts."""
 
     def one(c):
-        out = {k: [] for k in ("key", "doc_id", "start", "words")}
+        out: dict[str, list] = {"key": [], "doc_id": [], "starts": [], "words": []}
         doc, cold, hot = c["doc_id"].to_pylist(), c["cold"].to_pylist(), c["hot"].to_pylist()
         for at, part in pieces(c["text"]):
             own = [i for i in range(at, at + len(part)) if cold[i] or hot[i]]
@@ -221,65 +223,75 @@ def _cut(window: int, gram: int):
             s = Stretches(words, window, gram)
             bounds = np.searchsorted(s.doc, np.arange(len(own) + 1))
             for k, i in enumerate(own):
-                if bounds[k] == bounds[k + 1]:
-                    continue
                 here = slice(bounds[k], bounds[k + 1])
                 anchor = s.anchor[here]
                 w, base = words[k], int(s.begin[k])
                 for shared, single in ((cold[i], False), (hot[i], True)):
-                    if not shared:
+                    if not shared or not len(anchor):
                         continue
+                    held: dict[bytes, list[int]] = {}
+                    keys: dict[bytes, int] = {}
                     for j in np.flatnonzero(np.isin(anchor, np.array(shared, np.int64))) + bounds[k]:
                         first, last = int(s.first[j]) - base, int(s.last[j]) - base
                         for b, e in [(x, x + window) for x in range(first, last + 1)] if single else [(first, last + window)]:
                             stretch = b" ".join(w[b:e])
-                            out["key"].append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(stretch)))) if single else int(s.anchor[j]))
-                            out["doc_id"].append(doc[i])
-                            out["start"].append(b)
-                            out["words"].append(stretch)
-        return {"key": pa.array(out["key"], pa.int64()), "doc_id": pa.array(out["doc_id"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "words": pa.array(out["words"], pa.binary())}
+                            starts = held.setdefault(stretch, [])
+                            if not starts:
+                                keys[stretch] = xxhash.xxh3_64_intdigest(stretch) if single else int(s.anchor[j]) & (1 << 64) - 1
+                            starts.append(b)
+                    for stretch, starts in held.items():
+                        out["key"].append(keys[stretch])
+                        out["doc_id"].append(doc[i])
+                        out["starts"].append(starts)
+                        out["words"].append(xxhash.xxh3_128_digest(stretch) if single else stretch)
+        key = np.array(out["key"], np.uint64).view(np.int64)
+        return {"key": key, "doc_id": pa.array(out["doc_id"], pa.int64()), "starts": pa.array(out["starts"], pa.list_(pa.int32())), "words": pa.array(out["words"], pa.binary())}
 
     return one
 
 
 def _match(window: int):
-    """Of stretches sorted by key, doc_id and start: the spans that a smaller doc_id has too, word ends exclusive."""
+    """Of stretches sorted by key and doc_id: the spans that a smaller doc_id has too, word ends exclusive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = doc = None
         known: set[bytes] = set()  # stretches of smaller documents under this key
         own: dict[bytes, list[tuple[int, int]]] = {}  # this document's other stretches and their matches
         waiting: list[bytes] = []  # known, but not yet in the automaton
-        automaton = Automaton()
+        automaton = None
         for b in batches:
             ids, begins, ends = [], [], []
-            for k, d, start, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, d, starts, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if k != key:
-                    key, doc, known, own, waiting = k, d, set(), {}, []
-                    automaton = None
+                    key, doc, known, own, waiting, automaton = k, d, set(), {}, [], None
                 elif d != doc:
                     doc = d
                     known.update(own)
                     waiting += own
                     own = {}
                 if words in known:
-                    ids.append(d)
-                    begins.append(start)
-                    ends.append(start + words.count(b" ") + 1)
-                    continue
-                if words not in own:
+                    spans = [(0, window if len(words) == DIGEST else words.count(b" ") + 1)]
+                elif words in own:
+                    spans = own[words]
+                else:
                     spans = []
-                    if known:
+                    if known and len(words) != DIGEST:
                         automaton = automaton or Automaton()
                         for x in waiting:
                             automaton.add(x.split(b" "))
                         waiting = []
                         spans = automaton.matches(words.split(b" "), window)
                     own[words] = spans
-                for x, y in own[words]:
-                    ids.append(d)
-                    begins.append(start + x)
-                    ends.append(start + y)
+                for x, y in spans:
+                    end = -1
+                    for start in starts:  # in order; spans that touch are one
+                        if start + x > end:
+                            ids.append(d)
+                            begins.append(start + x)
+                            ends.append(start + y)
+                        else:
+                            ends[-1] = start + y
+                        end = start + y
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "begin", "end"])
 
@@ -294,8 +306,8 @@ def repeated_spans(source: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     anchors = map_batches(source.where("doc_id is not null"), _anchors(window, gram), "anchor long, doc_id long")
     shared = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shared(hot), "anchor long, doc_id long, hot boolean")
     marks = shared.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    cut = map_batches(source.join(marks, "doc_id", "left"), _cut(window, gram), "key long, doc_id long, start int, words binary")
-    spans = cut.repartition(n, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_match(window), "doc_id long, begin int, end int")
+    cut = map_batches(source.join(marks, "doc_id", "left"), _cut(window, gram), "key long, doc_id long, starts array<int>, words binary")
+    spans = cut.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_match(window), "doc_id long, begin int, end int")
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
