@@ -251,10 +251,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD)
     reps = cut(own.groupBy("grp", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     sizes = reps.groupBy("grp").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     dealt = reps.join(sizes, "grp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    graphs = cut(dealt.groupBy("grp", "shard").applyInPandas(_build, "grp string, shard int, shards int, reps binary, copies binary, vectors binary, graph binary"))
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are small in bytes and long in work, so they aren't left to be coalesced
+    graphs = cut(dealt.repartition(n, "grp", "shard").groupBy("grp", "shard").applyInPandas(_build, "grp string, shard int, shards int, reps binary, copies binary, vectors binary, graph binary"))
     paired = graphs.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     paired = paired.withColumn("a", F.least("shard", "peer")).withColumn("b", F.greatest("shard", "peer")).withColumn("role", (F.col("shard") == F.col("b")).cast("int"))
-    blocks = cut(paired.groupBy("grp", "a", "b").applyInPandas(_block(cosine), "rep long, links long, other long"))
+    blocks = cut(paired.repartition(n, "grp", "a", "b").groupBy("grp", "a", "b").applyInPandas(_block(cosine), "rep long, links long, other long"))
     roots = components(blocks.where("other is not null").select(F.col("rep").alias("x"), F.col("other").alias("y")), "x", "y")
     counts = blocks.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.join(counts, "rep").join(roots, F.col("rep") == F.col("node"), "left")
