@@ -28,9 +28,9 @@ STEPS, CLOSE = 40, 1e-7
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def words_of(docs: DataFrame) -> DataFrame:
+def words_of(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for each word; a document without words has one row with an empty word."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPACE)).alias("word"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPACE)).alias("word"))
 
 
 def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int = LABELLED, vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[float]]:
@@ -40,7 +40,8 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], most:
     have = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(have.values())
     priors = [math.log((have.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    counts = words_of(docs).join(F.broadcast(some), "doc_id").where("word != ''")
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
+    counts = words_of(told, "domain").where("word != ''")
     counts = counts.groupBy("word").agg(F.count("*").alias("n"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
     counts = cut(counts.orderBy(F.desc("n"), "word").limit(vocabulary))
     sums = counts.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(domains))]).first()
