@@ -43,15 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict[str, object] | None], schema: str) -> DataFrame:
-    """fn gets the columns of each Arrow batch and returns the columns of the output, in the order of the schema."""
+def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict[str, object] | Iterator[dict[str, object]]], schema: str) -> DataFrame:
+    """fn gets the columns of each Arrow batch and returns the columns of the output, in the order of the schema, or an iterator of such parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 out = fn(dict(zip(b.schema.names, b.columns, strict=True)))
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+                for part in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_pydict(part)
 
     return df.mapInArrow(run, schema)
 

@@ -215,9 +215,9 @@ def _cut(window: int, gram: int):
     """The stretches, or for hot anchors the windows, around the document's shared anchors; one that the document repeats is one row with its starts."""
 
     def one(c):
-        out: dict[str, list] = {"key": [], "doc_id": [], "starts": [], "words": []}
         doc, cold, hot = c["doc_id"].to_pylist(), c["cold"].to_pylist(), c["hot"].to_pylist()
         for at, part in pieces(c["text"]):
+            out: dict[str, list] = {"key": [], "doc_id": [], "starts": [], "words": []}
             own = [i for i in range(at, at + len(part)) if cold[i] or hot[i]]
             words = [part[i - at].encode("utf-8", "surrogatepass").split() for i in own]
             s = Stretches(words, window, gram)
@@ -244,8 +244,8 @@ def _cut(window: int, gram: int):
                         out["doc_id"].append(doc[i])
                         out["starts"].append(starts)
                         out["words"].append(xxhash.xxh3_128_digest(stretch) if single else stretch)
-        key = np.array(out["key"], np.uint64).view(np.int64)
-        return {"key": key, "doc_id": pa.array(out["doc_id"], pa.int64()), "starts": pa.array(out["starts"], pa.list_(pa.int32())), "words": pa.array(out["words"], pa.binary())}
+            key = np.array(out["key"], np.uint64).view(np.int64)
+            yield {"key": key, "doc_id": pa.array(out["doc_id"], pa.int64()), "starts": pa.array(out["starts"], pa.list_(pa.int32())), "words": pa.array(out["words"], pa.binary())}
 
     return one
 
