@@ -1,5 +1,7 @@
+import pickle
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -89,35 +91,64 @@ def test_additive_score_is_the_sum_of_its_tables():
 
 
 def brute_kernel(s, t):
-    """Three-letter subsequences of span up to SPAN, each with its letters' places."""
+    """The mean over sizes of normalised sums of gap-weighted subsequences, the norm over summed features."""
 
-    def explicit(w):
-        letters = ["^", *w]
-        out = {}
-        norm = 0.0
-        for i in range(len(letters)):
-            for j in range(i + 1, len(letters)):
-                for k in range(j + 1, min(len(letters), i + toxicity.SPAN)):
-                    v = toxicity.DECAY ** (k - i + 1)
-                    key = letters[i] + letters[j] + letters[k]
-                    out[key] = out.get(key, 0) + v
-                    norm += v * v
-        return out, max(norm**0.5, 1e-9)
+    def explicit(word, size):
+        letters, out = ["begin", *word, "stop"], {}
+        for places in combinations(range(len(letters)), size):
+            if places[-1] - places[0] < toxicity.SPAN:
+                key = tuple(letters[i] for i in places)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (places[-1] - places[0] + 1)
+        return out, sum(v * v for v in out.values()) ** 0.5
 
-    (a, n), (b, m) = explicit(s), explicit(t)
-    return sum(v * b.get(k, 0) for k, v in a.items()) / (n * m)
+    total = 0.0
+    for size in toxicity.SIZES:
+        (a, n), (b, m) = explicit(s, size), explicit(t, size)
+        total += sum(v * b.get(k, 0) for k, v in a.items()) / (n * m) / len(toxicity.SIZES)
+    return total
 
 
 def test_kernel_is_that_of_gapped_subsequences():
-    words, marks = ["idiot", "idxiot", "banana", "ab", "thequickbrownfox"], ["idiot", "nab", "quick"]
-    got = toxicity.kernel(words, toxicity.mapped(marks))
-    assert np.allclose(got, [[brute_kernel(w, m) for m in marks] for w in words], atol=1e-5)
+    words = ["idiot", "idxiot", "banana", "abc", "thequickbrownfox", "achlichlich", "ababab"]
+    got = toxicity.Maps(words).kernel(words)
+    assert np.allclose(got, [[brute_kernel(w, m) for m in words] for w in words], atol=1e-4) and np.allclose(np.diag(got), 1, atol=1e-4)
 
 
 def test_folded_machine_equals_its_landmarks():
     bad, good = ["zuggle", "zugglex", "blorf"], ["thing", "other", "stone", "plain"]
-    m = toxicity._fit(bad, good, 7, {})
+    m = toxicity._fit(bad, good, {}, landmarks=7)
     assert m.values(bad).min() > m.values(good).max()
+    w = ["zuggly", "stoner"]
+    assert np.allclose(m.values(w), pickle.loads(pickle.dumps(m)).values(w))
+
+
+def test_clean_stems_of_insults_stay_clean_in_each_language(spark):
+    r = random.Random(8)
+    stems = {"en": ("idiot", "moron", "scum"), "de": ("achlich", "keitung"), "fr": ("reeuxan", "quement")}
+    ends = ("er", "te", "ung", "sch", "pf")
+    insults = {x: [s + e for s in w for e in ends] if x != "en" else list(w) for x, w in stems.items()}
+    rows, labels, plain = [], [], {x: [w + e for w in ("ver", "lich", "ment", "tion", "aux") for e in ("ge", "be", "on", x)] for x in stems}
+    for i in range(1500):
+        lang, toxic = r.choice(list(stems)), r.random() < 0.25
+        words = [r.choice(plain[lang]) for _ in range(r.randrange(10, 60))]
+        if lang != "en" and r.random() < 0.5:
+            words.insert(r.randrange(len(words)), r.choice(stems[lang]))
+        for _ in range(r.randrange(2, 5) if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(insults[lang]))
+        rows.append((i, " ".join(words) + ".", lang, "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [x for x in toxicity.toxicity(docs, known).collect() if x.held_out]
+    for lang in stems:
+        own = [x for x in got if rows[x.doc_id][2] == lang]
+        assert np.mean([x.predicted for x in own if labels[x.doc_id][2]]) >= 0.95 and np.mean([x.predicted for x in own if not labels[x.doc_id][2]]) <= 0.01
+
+
+def test_calibration_never_lowers_a_score_by_an_insult():
+    r = np.random.default_rng(1)
+    x = np.hstack([np.sort(r.uniform(-1, 1.5, (400, toxicity.TOP)), axis=1)[:, ::-1], r.uniform(0, 9, (400, 1))])
+    y = (x[:, 0] - x[:, 1] + r.normal(0, 0.3, 400) > 0.5).astype(float)
+    assert toxicity.calibrate(x, y)[: toxicity.TOP].min() >= 0
 
 
 def test_spaced_letters_are_one_unit():
