@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import records, timings  # noqa: F401  register their queries
 from .plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
