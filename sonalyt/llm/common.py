@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,11 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one is made only where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset one is made if all run on this machine, as in tests; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -36,11 +39,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet to the shared folder and read again."""
+def written(df: DataFrame) -> str:
+    """The path of df as Parquet in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read again."""
+    return df.sparkSession.read.parquet(written(df))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes what written() wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict[str, object] | Iterator[dict[str, object]]], schema: str) -> DataFrame:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 TARGETS = {"en": 0.50, "fr": 0.20, "de": 0.18, "es": 0.12}
 LABELLED = 4000  # labelled documents that the classifier counts at most, the first by a hash of doc_id
@@ -118,9 +118,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
 def remix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, **how) -> DataFrame:
     """The rows of docs, each as often as mix() says."""
-    often = mix(docs, labelled, targets, **how).select(F.col("doc_id").alias("__doc"), F.col("copies").alias("__copies"))
-    both = docs.join(often, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")))
-    return both.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    key, times, copy = (fresh(docs, x) for x in ("mixed_doc", "mixed_times", "mixed_copy"))
+    often = mix(docs, labelled, targets, **how).select(F.col("doc_id").alias(key), F.col("copies").alias(times))
+    both = docs.join(often, F.col("doc_id").cast("long").eqNullSafe(F.col(key))).where(F.col(times) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, pieces, table, texts
+from .common import cut, fresh, map_batches, pieces, table, texts
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -209,8 +209,9 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held=Non
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that the classifier doesn't reject."""
-    good = quality(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    key = fresh(docs, "good_doc")
+    good = quality(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

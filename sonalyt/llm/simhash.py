@@ -8,11 +8,14 @@ distances to all pivots, is above 4 (triangle inequality), and what survives is
 Distances to whole pivots alone cannot deal pairs out: between unlike fingerprints they differ by 4 or less more often than
 not, so every pair would have to meet. With the windows no pair within the limit is lost and few others meet.
 
+near_copies(), which the pipeline's stage uses, links by the similarity of whole texts instead (five-word shingles, Jaccard 0.8 or more); see there.
+
 Copies are gone before this: a fingerprint is one row, whatever the number of its documents. A key with very many
 fingerprints is dealt out again as pairs of blocks, and each task returns a star of links, not its pairs.
 
 Nulls: a null text is empty; a text without words has fingerprint zero, which links like any other. A null doc_id gets its
-fingerprint's component but never names one. Repeated rows give repeated rows. Empty table: empty result.
+fingerprint's component but never names one. Ties: a bit set in just half of the hashes is 0. Repeated rows give repeated rows. Very long texts are
+hashed whole, in parts of bounded size. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .common import components, cut, lowest, map_batches, pieces, runs, table, t
 SHINGLE, BITS, SEED = 4, 4, 42
 WINDOWS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS, KEYED = 16, 8  # reference fingerprints; those whose distances make the keys
+BANDS, ROWS, FAR = 16, 5, 28  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks
 SMALL, HOT = 48, 8192  # a run up to SMALL is compared by shifts; one above HOT is dealt out again
 
 
@@ -37,23 +41,31 @@ def pivots() -> list[int]:
     return [xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in range(PIVOTS)]
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes, repeats included."""
+def hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included: words lower-cased in A-Z, joined by a space; fewer words than a shingle has are one."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     whole = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, n)
     end = np.cumsum(size + 1) - 1
     begin = (end - size)[: n - shingle + 1].tolist()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [whole[s:e] for s, e in zip(begin, end[shingle - 1 :].tolist(), strict=True)], repeat(SEED)), np.uint64, len(begin))
+    return np.fromiter(map(xxhash.xxh64_intdigest, [whole[s:e] for s, e in zip(begin, end[shingle - 1 :].tolist(), strict=True)], repeat(SEED)), np.uint64, len(begin))
+
+
+def _majority(found: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(found), 1 << 15):
+        ones += np.unpackbits(found[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return _majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -189,11 +201,120 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, h
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sketch(shingle: int):
+    """For each text: what tells its set of shingles from others, fingerprint, keys of bands of least hashes, and those hashes' lowest bytes."""
+    factors = (np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
+    names = ("n", "total", "mix", "fp")
+
+    def one(c):
+        out: dict[str, list] = {k: [] for k in (*names, "keys", "sketch")}
+        for _, part in pieces(c["text"]):
+            for text in part:
+                found = hashes(text, shingle)
+                u = np.unique(found)
+                v = u ^ u >> np.uint64(29)
+                least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
+                for at in range(0, len(v), 4096):
+                    np.minimum(least, (v[None, at : at + 4096] * factors).min(axis=1), out=least)
+                key = np.arange(BANDS, dtype=np.uint64)
+                for row in least.reshape(ROWS, BANDS):
+                    key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(32)
+                values = (len(u), u.sum(dtype=np.uint64), np.bitwise_xor.reduce(v * np.uint64(0xBF58476D1CE4E5B9), initial=np.uint64(0)), np.uint64(_majority(found)))
+                for k, x in zip(names, values, strict=True):
+                    out[k].append(int(np.uint64(x).view(np.int64)))
+                out["keys"].append(key.view(np.int64) if len(u) else [])
+                out["sketch"].append(least.astype(np.uint8).view(np.int64))
+        return {"doc_id": c["doc_id"]} | {k: pa.array(out[k], pa.list_(pa.int64()) if k in ("keys", "sketch") else pa.int64()) for k in out}
+
+    return one
+
+
+def _candidates(similarity: float):
+    """Of runs of fingerprints and sketches that share a band: pairs that survive the pivots' table and whose sketches agree enough.
+
+    Up to SMALL rows every pair is looked at. In a longer run a row is held against the leaders so far, and leads itself if it is like none."""
+    refs = np.array(pivots(), np.uint64)
+    enough = similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+    words = [f"s{i}" for i in range(BANDS * ROWS // 8)]
+
+    def alike(sketch, fp, distances, i, j):
+        ok = np.abs(distances[i].astype(np.int16) - distances[j]).max(axis=1) <= FAR
+        ok &= np.bitwise_count(fp[i] ^ fp[j]) <= FAR
+        same = np.zeros(len(i))
+        same[ok] = (sketch[i[ok]] == sketch[j[ok]]).mean(axis=1)
+        return same
+
+    def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
+        n = len(starts)
+        size = np.diff(np.append(starts, len(cols["rep"])))
+        fp, rep = cols["fp"].view(np.uint64), cols["rep"]
+        sketch = np.stack([cols[w] for w in words], axis=1).view(np.uint8)
+        distances = np.bitwise_count(fp[:, None] ^ refs)
+        run, sizes = np.repeat(np.arange(n), size), np.repeat(size, size)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=1)))):
+            i = np.flatnonzero((run[d:] == run[:-d]) & (sizes[d:] <= SMALL))
+            i = i[alike(sketch, fp, distances, i, i + d) >= enough]
+            a.append(i)
+            b.append(i + d)
+        for s in starts[size > SMALL]:
+            rest = np.arange(s, s + sizes[s])
+            while len(rest) > 1:
+                lead, others = rest[0], rest[1:]
+                same = alike(sketch, fp, distances, np.full(len(others), lead), others)
+                near = others[same >= enough]
+                a.append(np.full(len(near), lead))
+                b.append(near)
+                rest = others[same < similarity]
+        i, j = np.concatenate(a), np.concatenate(b)
+        return {"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}
+
+    return fn
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+    """doc_id, component_id for rows with a doc_id: linked are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+
+    So wide a link leaves about ten of a fingerprint's 64 bits different, more than windows of bits can find. Candidates therefore meet where the
+    least hashes of their shingles agree (BANDS keys of ROWS hashes each: 0.998 of pairs at 0.8, more above), a key with over `hot` texts in salted
+    parts that share its smallest doc_id. The pivots' table discards pairs of fingerprints more than FAR bits apart, a sketch of least hashes those
+    far below the similarity, and what is left is verified on the whole sets. Equal sets are one text before all this.
+    """
+    each = map_batches(texts(docs).where("doc_id is not null"), _sketch(shingle), "doc_id long, n long, total long, mix long, fp long, keys array<long>, sketch array<long>")
+    kind = ["n", "total", "mix"]
+    each = cut(each)
+    reps = cut(each.groupBy(*kind).agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    keys = reps.select("rep", F.explode("keys").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("lead")).where("many > 1"))
+    met = cut(keys.join(shared, "key"))
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * ROWS // 8)]
+    rows = met.join(reps.select("rep", "fp", *words), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / hot)).cast("long"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.drop("many", "lead").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "rep")
+    pairs = dealt.mapInArrow(runs(["key", "salt"], ["rep", "fp", *(f"s{i}" for i in range(BANDS * ROWS // 8))], _candidates(similarity)), "a long, b long")
+    pairs = cut(pairs.union(met.where(f"many > {hot} and rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct())
+    used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", *kind), "rep")
+
+    def whole(c):
+        found = [np.unique(hashes(t, shingle)) for _, part in pieces(c["text"]) for t in part]
+        return {"rep": c["doc_id"], "total": c["total"], "own": pa.array([int(u.sum(dtype=np.uint64).view(np.int64)) for u in found]), "members": pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))}
+
+    sets = texts(docs).join(used.select(F.col("rep").alias("doc_id"), "total"), "doc_id")
+    sets = cut(map_batches(sets, whole, "rep long, total long, own long, members array<long>").where("own = total").groupBy("rep").agg(F.first("members").alias("members")))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-12)).select("a", "b")
+    named = reps.join(components(links), F.col("rep") == F.col("node"), "left").select(*kind, F.coalesce("root", "rep").alias("component_id"))
+    return each.join(named, kind).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, once each. Rows without doc_id can't be judged and stay."""
-    stay = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is the smallest of its group of near copies, once each. Rows without doc_id can't be judged and stay."""
+    stay = near_copies(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+    known = F.col("doc_id").cast("long").isNotNull()
+    kept = docs.where(known).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where(~known))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -6,6 +7,8 @@ import xxhash
 
 from sonalyt.llm import simhash
 
+from .conftest import SCHEMA, sentence
+
 
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -58,8 +61,8 @@ def test_clusters_of_near_fingerprints_lose_no_link(spark):
 
 def test_keep_one_keeps_every_group(docs, rows):
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
-    comps = groups([(r[0], brute(r[1])) for r in rows])
-    assert sorted(x for x in kept if x is not None) == sorted({c for c, r in zip(comps, rows, strict=True) if r[0] is not None and c == r[0]})
+    comps = jaccard_components([r[:2] for r in rows if r[0] is not None])
+    assert sorted(x for x in kept if x is not None) == sorted(set(comps.values()))
     assert kept.count(None) == 2
 
 
@@ -94,3 +97,53 @@ def test_runs_over_cut_batches():
             assert sorted(seen) == sorted((int(k), int((key == k).sum()), int(np.argmax(key == k))) for k in set(key) - set(key[far]))
             assert {k for k in set(key) if (key == k).sum() >= 16 + size} <= set(key[far]) or not over
             assert len(far) == sum((key == k).sum() for k in set(key[far]))
+
+
+def jaccard_components(rows, least=0.8):
+    """Every pair of rows by the sets of their five-word shingles."""
+    sets = {}
+    for d, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[d] = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    low = {d: d for d in sets}
+
+    def root(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                x, y = sorted((root(a), root(b)))
+                low[y] = x
+    return {d: root(d) for d in sets}
+
+
+def changed(r, words, n):
+    words = list(words)
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"new{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_by_brute_force(spark):
+    r = random.Random(11)
+    rows = [(i, sentence(r, r.randrange(1, 60))) for i in range(60)]
+    for g in range(12):
+        words = sentence(r, 150).split()
+        rows += [(1000 + 20 * g + k, changed(r, words, k % 6)) for k in range(12)]
+    rows += [(2000, None), (2001, ""), (2002, " \t"), (2003, "one two"), (2004, "One two"), (2005, "the " * 4000), (2006, "the " * 3000)]
+    df = spark.createDataFrame([(*x, "en", "s", 0) for x in rows], SCHEMA)
+    for hot in (simhash.HOT, 4):
+        got = {x.doc_id: x.component_id for x in simhash.near_copies(df, hot=hot).collect()}
+        assert got == jaccard_components(rows)
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    r = random.Random(12)
+    words = sentence(r, 200).split()
+    rows = [(i, changed(r, words, 2)) for i in range(300)]
+    df = spark.createDataFrame([(*x, "en", "s", 0) for x in rows], SCHEMA)
+    assert {x.component_id for x in simhash.near_copies(df).collect()} == {0}
+    assert [x.doc_id for x in simhash.keep_one(df).collect()] == [0]
