@@ -42,14 +42,6 @@ def loops(words: Column, longest: int = 5, times: int = 3, least: int = 6) -> Co
     return found
 
 
-def condition(clip_id: Column) -> Column:
-    """A clip's condition by the prefix of its id (fixed values)."""
-    return (
-        F.when(clip_id.startswith("silence-"), "silence").when(clip_id.startswith("noise-"), "noise").when(clip_id.startswith("trailsil-"), "trailing silence")
-        .when(clip_id.startswith("lowsnr-"), "low snr").when(clip_id.startswith("tel8k-"), "telephony").otherwise("speech")
-    )
-
-
 def snr_level(clip_id: Column) -> Column:
     """The level in a prefix as snr+05- or snr-10-, null for other clips."""
     return F.nullif(F.regexp_extract(clip_id, r"^snr([+-]\d{2})-", 1), F.lit("")).cast("int")

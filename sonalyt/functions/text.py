@@ -52,9 +52,10 @@ def characters(text: Column) -> Column:
 def token_distance(reference: Column, hypothesis: Column) -> Column:
     """Edits between two arrays of tokens, with Spark's own levenshtein(): each distinct token becomes one character of a private code.
 
-    Up to 50,000 distinct tokens in a pair have codes of their own, from U+0100 on without the surrogates; more would not be one utterance.
+    Up to 60,000 distinct tokens in a pair have codes of their own, from U+0100 on without the surrogates; a pair with more is no utterance and fails the job.
     """
-    known = F.array_distinct(F.concat(reference, hypothesis))
+    both = F.array_distinct(F.concat(reference, hypothesis))
+    known = F.when(F.size(both) <= 60_000, both).otherwise(F.raise_error(F.lit("more than 60,000 distinct tokens in a pair")))
 
     def coded(tokens: Column) -> Column:
         place = F.transform(tokens, lambda t: F.array_position(known, t))

@@ -11,11 +11,11 @@ from .ranking import majority
 def cross_family_rate(rows: DataFrame, families: DataFrame, threshold: float = 0.02) -> DataFrame:
     """Error rate of each provider pooled over judges of other families, and whether all its judges' rates lie further apart than threshold.
 
-    rows: provider, judge, edits, reference_length; families: key, family (one row a key, so it is broadcast). A key without family is its own.
+    rows: provider, judge, edits, reference_length; families: key, family (one row a key). A key without family is its own.
     """
     own, other = (families.select(F.col("key").alias(k), F.col("family").alias(f"{k}_family")) for k in ("provider", "judge"))
     sums = rows.groupBy("provider", "judge").agg(F.sum("edits").alias("e"), F.sum("reference_length").alias("n"))
-    both = sums.join(F.broadcast(own), "provider", "left").join(F.broadcast(other), "judge", "left")
+    both = sums.join(own, "provider", "left").join(other, "judge", "left")
     foreign = F.coalesce("provider_family", "provider") != F.coalesce("judge_family", "judge")
     rate = F.col("e") / F.nullif(F.col("n"), F.lit(0))
     return both.groupBy("provider").agg(
@@ -26,7 +26,7 @@ def cross_family_rate(rows: DataFrame, families: DataFrame, threshold: float = 0
 
 def unjudged(candidates: DataFrame, judges: DataFrame, families: DataFrame) -> DataFrame:
     """Candidates (key) without a judge of another family."""
-    named = lambda df, k: df.select(F.col("key").alias(k)).join(F.broadcast(families.select(F.col("key").alias(k), F.col("family").alias(f"{k}_family"))), k, "left").withColumn(f"{k}_family", F.coalesce(f"{k}_family", k))
+    named = lambda df, k: df.select(F.col("key").alias(k)).join(families.select(F.col("key").alias(k), F.col("family").alias(f"{k}_family")), k, "left").withColumn(f"{k}_family", F.coalesce(f"{k}_family", k))
     a, b = named(candidates, "key"), named(judges, "judge").select("judge_family").distinct()
     return a.join(b, F.col("key_family") != F.col("judge_family"), "left_anti").select("key")
 

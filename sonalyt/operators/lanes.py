@@ -44,19 +44,22 @@ def stt_summary(rows: DataFrame, fallback: str = "en-US") -> DataFrame:
 
 def supersede(rows: DataFrame, ordinal: str = "file_ordinal") -> DataFrame:
     """Of files given in order, the last with a lane replaces all of the lane's earlier rows, in every language."""
-    last = rows.groupBy(*LANE).agg(F.max(ordinal).alias("__last"))  # a row for each lane, joined by broadcast or not as its size allows
-    return rows.join(last, list(LANE)).where(F.col(ordinal) == F.col("__last")).drop("__last")
+    last = rows.groupBy(*LANE).agg(F.max(ordinal).alias(ordinal))  # a row for each lane, joined by broadcast or not as its size allows
+    return rows.join(last, [*LANE, ordinal], "left_semi")
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by arrival."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    place = "place"
+    while place in rows.columns:
+        place += "_"
+    return rows.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def with_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Left join to the dated price list (a few rows for each provider); a provider without a family is its own."""
-    both = rows.join(F.broadcast(prices), "provider", "left")
+    """Left join to the dated price list; a provider without a family is its own. Spark broadcasts the list if its size allows."""
+    both = rows.join(prices, "provider", "left")
     return both.withColumn("family", F.coalesce("family", "provider"))
 
 

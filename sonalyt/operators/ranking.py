@@ -92,6 +92,27 @@ def kappa(pairs: DataFrame, a: str, b: str, groups: list[str] | None = None) ->
     return joined.select(*groups, "n", "observed", value.alias("kappa"))
 
 
+def kappa_interval(pairs: DataFrame, a: str, b: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """n, kappa, low, high: the 95 % interval of a bootstrap over items. An item counts only by its pair of labels, so resampling items is a multinomial draw
+    over the pairs' counts, which are as many as there are labels, squared."""
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["x"], *pdf["y"]})
+        cells = np.zeros((len(names), len(names)))
+        cells[pdf["x"].map(names.index), pdf["y"].map(names.index)] = pdf["n"]
+        n = int(cells.sum())
+
+        def value(c: np.ndarray) -> np.ndarray:
+            seen, chance = np.trace(c, axis1=-2, axis2=-1) / n, (c.sum(-1) * c.sum(-2)).sum(-1) / n**2
+            return np.where(chance >= 1, (seen >= 1) * 1.0, (seen - chance) / np.where(chance >= 1, 1, 1 - chance))
+
+        draws = value(np.random.default_rng(seed).multinomial(n, cells.ravel() / n, replicates).reshape(replicates, *cells.shape))
+        return pd.DataFrame({"n": [n], "kappa": [float(value(cells))], "low": [np.percentile(draws, 2.5)], "high": [np.percentile(draws, 97.5)]})
+
+    counted = pairs.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")).where("x is not null and y is not null")
+    return counted.groupBy(F.lit(0).alias("all")).applyInPandas(drawn, "n long, kappa double, low double, high double")
+
+
 def rater_agreement(votes: DataFrame, item: list[str], rater: str, label: str) -> DataFrame:
     """Percent agreement and kappa for each pair of raters over the items that both judged."""
     left = votes.select(*item, F.col(rater).alias("rater_a"), F.col(label).alias("label_a"))

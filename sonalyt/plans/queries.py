@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import align, pcm, similarity, spoken, tags
+from ..functions import align, labels, languages, pcm, similarity, tags
 from ..functions import text as X
-from ..operators import judging, lanes, ranking, sessions
+from ..operators import judging, lanes, quantiles, ranking, sessions
 from ..sources import runs as R
 from ..streaming import sessions as streaming
 
@@ -112,19 +112,19 @@ def common_clip_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.common_clips(R.stt_runs(spark, sf_dir), 25).groupBy("provider", "mode", "language").agg(F.count("*").alias("clips"))
 
 
-@query(f"{WITH_STT} select provider, mode, lower(error) as reason, regexp_matches(lower(error), 'timeout|timed out|429|503|temporar|connection reset') as transient, count(*) as clips from s where error is not null group by all")
+@query(f"{WITH_STT} select provider, mode, lower(error) as reason, regexp_matches(lower(error), 'concurrent|concurrency|too many|rate limit|rate_limit|quota|429|503|temporarily unavailable') as transient, count(*) as clips from s where error is not null group by all")
 def transient_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = R.stt_runs(spark, sf_dir).where("error is not null").withColumn("reason", F.lower("error"))
-    return bad.groupBy("provider", "mode", "reason", F.col("reason").rlike("timeout|timed out|429|503|temporar|connection reset").alias("transient")).agg(F.count("*").alias("clips"))
+    return bad.groupBy("provider", "mode", "reason", labels.transient(F.col("reason")).alias("transient")).agg(F.count("*").alias("clips"))
 
 
 @query(
-    f"""{WITH_TTS}, a as (select distinct provider, prompt_id from t where mode = 'batch'), b as (select distinct provider, prompt_id from t where mode = 'stream')
+    f"""{WITH_TTS}, p as (select provider, concat(prompt_id, '-', chars) as prompt_id, mode from t), a as (select distinct provider, prompt_id from p where mode = 'batch'), b as (select distinct provider, prompt_id from p where mode = 'stream')
   select provider, prompt_id, case when a.provider is null then 'stream' else 'batch' end as only_in from a full join b using (provider, prompt_id) where a.provider is null or b.provider is null"""
 )
 def one_sided_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symmetric difference of the two modes' prompts."""
-    rows = R.tts_runs(spark, sf_dir).groupBy("provider", "prompt_id").agg(F.count_distinct("mode").alias("n"), F.min("mode").alias("only_in"))
+    """Symmetric difference of the two modes' prompts, a prompt being told by its length too."""
+    rows = R.tts_runs(spark, sf_dir).withColumn("prompt_id", F.concat_ws("-", "prompt_id", "chars")).groupBy("provider", "prompt_id").agg(F.count_distinct("mode").alias("n"), F.min("mode").alias("only_in"))
     return rows.where("n = 1").drop("n")
 
 
@@ -146,7 +146,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{HEARD} select lane, language, count(*) as clips, cast(sum(levenshtein(reference, text)) as bigint) as errors, cast(sum(length(reference)) as bigint) as characters, round(sum(levenshtein(reference, text)) / nullif(sum(length(reference)), 0), 6) as error_rate from heard group by all")
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transcripts(spark, sf_dir).withColumn("e", F.levenshtein("reference", "text"))
+    rows = transcripts(spark, sf_dir).withColumn("e", F.when(F.col("reference") == F.col("text"), 0).otherwise(F.levenshtein("reference", "text")))
     return rounded(rows.groupBy("lane", "language").agg(F.count("*").alias("clips"), F.sum("e").alias("errors"), F.sum(F.length("reference")).alias("characters")).withColumn("error_rate", F.col("errors") / F.nullif(F.col("characters"), F.lit(0))))
 
 
@@ -169,7 +169,7 @@ def lane_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     A clip's lanes are gathered first, so the text is shuffled once and pairs are made within a clip, whose lanes are few.
     """
     rows = transcripts(spark, sf_dir).where("trim(text) != ''").groupBy("clip_id", "language").agg(F.array_sort(F.collect_list(F.struct("lane", "text"))).alias("h"))
-    pairs = F.flatten(F.transform("h", lambda a: F.transform(F.filter("h", lambda b: a.lane < b.lane), lambda b: F.struct(a.lane.alias("lane_a"), b.lane.alias("lane_b"), F.levenshtein(a.text, b.text).alias("e"), (F.length(a.text) + F.length(b.text)).alias("n")))))
+    pairs = F.flatten(F.transform("h", lambda a: F.transform(F.filter("h", lambda b: a.lane < b.lane), lambda b: F.struct(a.lane.alias("lane_a"), b.lane.alias("lane_b"), F.when(a.text == b.text, 0).otherwise(F.levenshtein(a.text, b.text)).alias("e"), (F.length(a.text) + F.length(b.text)).alias("n")))))
     each = rows.select("language", F.explode(pairs).alias("p")).select("language", "p.*")
     sets = each.groupingSets([["lane_a", "lane_b"], ["lane_a", "lane_b", "language"]], "lane_a", "lane_b", "language")
     total = sets.agg(F.count("*").alias("clips"), F.sum("e").alias("edits"), F.sum("n").alias("characters"))
@@ -244,8 +244,9 @@ def first_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FIRST} select user_id % 10 as lane, count(latency_s) as found, round(avg(case when latency_s <= 86400 then 1.0 when latency_s is not null then 0.0 end), 6) as within_day, round(quantile_cont(latency_s, 0.5), 3) as latency_p50 from f group by all")
 def endpoint_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _first(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("lane"))
-    return f.agg(F.count("latency_s").alias("found"), F.round(sessions.within("latency_s", 86400.0), 6).alias("within_day"), F.round(lanes.exact("latency_s", 0.5), 3).alias("latency_p50"))
+    f = _first(spark, sf_dir).withColumn("lane", F.col("user_id") % 10)
+    counts = f.groupBy("lane").agg(F.count("latency_s").alias("found"), F.round(sessions.within("latency_s", 86400.0), 6).alias("within_day"))
+    return rounded(counts.join(quantiles.percentiles(f, ["lane"], "latency_s", {"latency_p50": 0.5}), "lane", "left").withColumn("latency_p50", F.round("latency_p50", 3)))
 
 
 MERGED = f"""{EVENTS}, i as (select user_id, t_s as s, t_s + value * 3600 as e from e where event_type = 'view'),
@@ -406,7 +407,10 @@ def bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.bradley_terry(verdicts(spark, sf_dir)))
 
 
-@query()
+@query(
+    """with e as (select user_id, event_id, epoch_us(ts) as us, value, event_type = 'purchase' as f from events where user_id is not null and ts is not null), g as (select *, us - lag(us) over (partition by user_id order by us, event_id) as gap from e)
+  select user_id, count(*) as events, count(*) filter (where f) as finals, coalesce(max(gap), 0) as longest_gap_us, round(sum(value), 4) as total_value from g group by user_id"""
+)
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of events into session counters as a stream, state kept between micro-batches; tests/ holds it against the batch form."""
     return streaming.fold_stored(spark, f"{sf_dir}/events.parquet")
@@ -439,7 +443,7 @@ def tagged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spoken_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns brought to the written form that scoring compares; tests/ holds the rules against examples."""
     turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", F.md5(spoken.normalize_english("text")).alias("normalized"))
+    return turns.select("conv_id", "turn", F.md5(languages.normalize(F.col("text"), F.lit("en-US"))).alias("normalized"))
 
 
 @query()
@@ -450,15 +454,16 @@ def pcm_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{EVENTS}, g as (select user_id % 40 as lane, t_s, t_s - lag(t_s) over (partition by user_id % 40 order by t_s, event_id) as gap from e)
+    f"""{EVENTS}, g as (select user_id as lane, t_s, t_s - lag(t_s) over (partition by user_id order by t_s, event_id) as gap from e)
   select lane, count(*) as chunks, round(min(t_s), 3) as first_s, round(quantile_cont(gap, 0.99), 3) as gap_p99, round(max(gap), 3) as longest from g group by lane"""
 )
 def chunk_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First arrival and the 99th percentile of gaps between chunks of a lane."""
-    e = events(spark, sf_dir).withColumn("lane", F.col("user_id") % 40)
+    e = events(spark, sf_dir).withColumnRenamed("user_id", "lane")
     gap = F.col("t_s") - F.lag("t_s").over(Window.partitionBy("lane").orderBy("t_s", "event_id"))
-    g = e.withColumn("gap", gap).groupBy("lane")
-    return rounded(g.agg(F.count("*").alias("chunks"), F.min("t_s").alias("first_s"), lanes.exact("gap", 0.99).alias("gap_p99"), F.max("gap").alias("longest")), 3)
+    g = e.withColumn("gap", gap)
+    counts = g.groupBy("lane").agg(F.count("*").alias("chunks"), F.min("t_s").alias("first_s"), F.max("gap").alias("longest"))
+    return rounded(counts.join(quantiles.percentiles(g, ["lane"], "gap", {"gap_p99": 0.99}), "lane", "left"), 3)
 
 
 @query(
@@ -498,6 +503,16 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.windows_stored(spark, f"{sf_dir}/events.parquet")
 
 
+@query(
+    """with g as (select user_id, ts, event_id, value, case when ts - lag(ts) over w <= interval '6 hours' then 0 else 1 end as new from events where ts is not null window w as (partition by user_id order by ts, event_id)),
+  s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
+  select user_id, cast(min(ts) as varchar) as began, count(*) as events, round(sum(value), 4) as total from s group by user_id, k having max(ts) + interval '6 hours' <= (select max(ts) - interval '10 minutes' from events)"""
+)
+def timed_out_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as a stream: one ends when its user has been silent for six hours, is given out when the watermark is past that, and leaves the state."""
+    return rounded(streaming.sessions_stored(spark, f"{sf_dir}/events.parquet"), 4)
+
+
 @query(f"with u as (select doc_id, lang, text from documents), a as ({TURNS}) select language, count(*) as texts, cast(sum(length(text)) as bigint) as characters from (select lang as language, text from u union all select language, reference from a) group by language")
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several sources as one corpus, each with its own language."""
@@ -634,13 +649,13 @@ def session_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{WITH_STT}, c as (select provider, mode, case snr_level when 0 then 'silence' when 1 then 'noise' when 2 then 'low snr' when 3 then 'telephony' else 'speech' end as condition, edits, reference_length, error from s)
+    f"""{WITH_STT}, c as (select provider, mode, case snr_level when 0 then 'silence' when 1 then 'noise' when 2 then 'low_snr' else 'speech' end as condition, edits, reference_length, error from s)
   select provider, mode, condition, count(*) as clips, count(*) filter (where error is not null) as failures, count(*) filter (where error is null and edits >= 3) as fabricated, cast(coalesce(sum(edits) filter (where error is null), 0) as bigint) as inserted from c group by all"""
 )
 def hallucination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fabricated clips by lane and condition; the condition is read from the clip id's prefix."""
     prefix = F.element_at(F.array(*[F.lit(x) for x in ("silence-", "noise-", "lowsnr-", "tel8k-", "", "")]), F.col("snr_level").cast("int") + 1)
-    runs = R.stt_runs(spark, sf_dir).withColumn("condition", tags.condition(F.concat(prefix, "clip_id")))
+    runs = R.stt_runs(spark, sf_dir).withColumn("condition", F.coalesce(labels.condition(F.concat(prefix, "clip_id")), F.lit("speech")))
     ok = F.col("error").isNull()
     return runs.groupBy("provider", "mode", "condition").agg(
         F.count("*").alias("clips"), F.count(F.when(~ok, 1)).alias("failures"), F.count(F.when(ok & (F.col("edits") >= 3), 1)).alias("fabricated"), F.coalesce(F.sum(F.when(ok, F.col("edits"))), F.lit(0)).cast("long").alias("inserted")

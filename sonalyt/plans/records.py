@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.text import by_character
-from ..operators import lanes, records
+from ..operators import lanes, ranking, records
 from ..sources import runs as R
 from .queries import JUDGED, SUMMARY, WITH_STT, WITH_TTS, judged, query, rounded, table
 
@@ -32,9 +32,7 @@ def kept_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{SAID}, p as (select distinct said from u where length(said) between 60 and 120) select said from p order by md5('5:' || said), said limit 60")
 def prompt_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of a band of lengths, sampled by a seeded hash."""
-    from ..operators.ranking import sample
-
-    return sample(utterances(spark, sf_dir).where(F.length("said").between(60, 120)).select("said").distinct(), 60, 5, "said")
+    return ranking.sample(utterances(spark, sf_dir).where(F.length("said").between(60, 120)).select("said").distinct(), 60, 5, "said")
 
 
 @query(
@@ -261,6 +259,13 @@ def semantic_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(records.semantic_rates(v, by_character(F.col("language"))))
 
 
+@query()
+def kappa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of judges' labels with people's, with an interval; tests/ holds kappa against rater_kappa and the interval against plain resampling."""
+    j = judged(spark, sf_dir).groupBy("provider", "clip_id").agg(F.min("label").alias("judge"), F.max("label").alias("human"))
+    return rounded(ranking.kappa_interval(j, "human", "judge"), 4)
+
+
 @query("with v as (select concat('r', l_suppkey % 4) as rater from lineitem), p as (select rater, count(*) as n from v group by 1) select count(*) as raters, min(n) as fewest, count(*) >= 2 and min(n) >= 100 as ok from p")
 def panel_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.panel_ok(table(spark, sf_dir, "lineitem").select(F.concat(F.lit("r"), F.col("l_suppkey") % 4).alias("rater")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.folders import new_path
+
 OUT = "user_id long, seq long, events long, finals long, total_value double, longest_gap_us long"
 STATE = "seq long, events long, finals long, total_value double, longest_gap_us long, last_us long"
 
@@ -42,8 +42,7 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
 def _drain(stream: DataFrame, schema: str) -> DataFrame:
     """Writes a stream out until its input is used up and returns what was written; the shared folder holds its log and rows."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
@@ -66,3 +65,16 @@ def windows_stored(spark: SparkSession, path: str, **how) -> DataFrame:
     rows = _stream(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     counted = windows(rows, **how).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events")
     return _drain(counted, "window_start string, event_type string, events long")
+
+
+def timed_out(events: DataFrame, grace: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """Sessions of a stream with user_id, ts and value that end when nothing came for `grace`; each is given out and its state let go when the watermark is past its end."""
+    ended = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", grace).alias("w")).agg(F.count("*").alias("events"), F.sum("value").alias("total"))
+    return ended.select("user_id", F.col("w.start").alias("began"), "events", "total")
+
+
+def sessions_stored(spark: SparkSession, path: str, **how) -> DataFrame:
+    """Runs timed_out() over stored events as a stream until they are used up."""
+    rows = _stream(spark, path).where("ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    told = timed_out(rows, **how).withColumn("began", F.date_format("began", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return _drain(told, "user_id long, began string, events long, total double")

@@ -145,15 +145,36 @@ def test_library_does_not_import_the_training_data_operators():
     assert not [p for p in root.rglob("*.py") if root / "llm" not in p.parents and re.search(r"import .*\bllm\b|from .*\bllm\b", p.read_text())]
 
 
-def test_spoken_english():
-    from sonalyt.functions.spoken import english
+SPOKEN = {
+    "en": {
+        "Hello, World!": "hello world", "I can't won't don't": "i cannot will not do not", "ＨＥＬＬＯ": "hello", "Room 101.": "room 101", "four hundred and twenty": "420", "twenty five dollars": "25 dollars", "$25": "25 dollars", "1,234": "1234",
+        "one thousand two hundred thirty four": "1234", "one million two hundred thousand": "1200000", "February third": "february 3", "February 3rd": "february 3", "nine one seven three": "9173", "nineteen eighty four": "19 84",
+        "cats and dogs": "cats and dogs", "hundred": "hundred", "one thousand and": "1000 and", "five and twenty": "5 20", "the fiftieth, I'd": "the 50 i would", "twenty-one": "twentyone", "zero": "0", "": "",
+    },
+    "de": {"vierhundertzwanzig Euro": "420 euro", "420 €": "420 euro", "einundzwanzig": "21", "achtung elfmeter": "achtung elfmeter", "To-do-Liste": "to do liste", "E-Mail ge-emailt": "email geemailt", "zweitausendsechsundzwanzig": "2026", "hundert": "100", "schwarz und weiß": "schwarz und weiß"},
+    "fr": {"quatre-vingt-dix-sept": "97", "soixante et onze": "71", "cent vingt": "120", "mille neuf cent": "1900", "20 €": "20 euros", "vingt euros": "20 euros", "chats et chiens": "chats et chiens", "quatre-vingts": "80"},
+    "es": {"ciento veintiuno": "121", "treinta y cinco": "35", "mil quinientos": "1500", "$25": "25 dólares", "veinticinco dólares": "25 dólares", "blanco y negro": "blanco y negro", "un e-mail": "1 email", "dos millones": "2000000"},
+    "ko": {"삼월": "3월", "이십삼 명": "23명", "세 시": "3시", "30 분": "30분", "사이": "사이", "유월": "6월", "이천이십육년": "2026년", "스물네 시간": "24시간"},
+    "ja": {"こんにちは、世界。": "こんにちは世界", "今日 は いい": "今日はいい", "ｱｲｳ": "アイウ", "ABC": "ABC"},
+    "nl": {"Één, twee!": "één twee"},
+}
 
-    cases = {
-        "Twenty-three items, don't": "23 items do not", "one hundred and five": "105", "two thousand three hundred": "2300", "one two three": "123", "three million two hundred thousand and one": "3200001", "salt and pepper": "salt and pepper",
-        "$1,420 or 5 €": "1420 dollars or 5 euros", "the third, 21st": "the 3 21", "twenty twenty": "20 20", "five hundred": "500", "hundred": "hundred", "zero": "0", "": "", "nineteen eighty four": "19 84", "one thousand and": "1000 and", "It’s": "it is",
-    }
-    for said, written in cases.items():
-        assert english(said) == written, said
+
+def test_normal_forms_by_language(spark):
+    from sonalyt.functions import languages
+
+    rows = [(f"{k.upper()}-XX", said, want) for k, cases in SPOKEN.items() for said, want in cases.items()] + [(None, "Ab, c", "ab c"), ("en", None, None)]
+    got = spark.createDataFrame(rows, "language string, said string, want string").select("*", languages.normalize(F.col("said"), F.col("language")).alias("got")).collect()
+    assert [(r.said, r.got) for r in got] == [(r.said, r.want) for r in got]
+    tokens = spark.createDataFrame([("ja-JP", "コーヒー です"), ("en", "a  b"), ("zh", "你 好"), ("en", "")], "l string, t string").select(languages.tokens(F.col("t"), F.col("l")).alias("x")).collect()
+    assert [r.x for r in tokens] == [list("こーひーです"), ["a", "b"], ["你", "好"], []]
+
+
+def test_numbers_below_a_hundred_come_back():
+    from sonalyt.functions import languages
+
+    for k in languages.RULES:
+        assert [languages.NORMALIZERS[k](languages.spell(n, k)) for n in range(100)] == [str(n) for n in range(100)], k
 
 
 def test_loops_against_a_scan(spark):
@@ -177,11 +198,11 @@ def test_loops_against_a_scan(spark):
 
 
 def test_tags_and_prefixes(spark):
-    from sonalyt.functions import tags
+    from sonalyt.functions import labels, tags
 
     df = spark.createDataFrame([("a <date>1 May</date> <b>x</b> <date>2</date>", "snr+05-c1", "tel8k-c2")], "t string, c string, d string")
-    r = df.select(tags.tagged(F.col("t"), "date"), tags.strip_tags(F.col("t"), ["date"]), tags.snr_level(F.col("c")), tags.condition(F.col("d")), tags.condition(F.col("c")), tags.snr_level(F.col("d")), tags.pieces(F.lit(" a  b ")), tags.same_text(F.lit(" a  b"), F.lit("a b "))).first()
-    assert tuple(r) == (["1 May", "2"], "a 1 May <b>x</b> 2", 5, "telephony", "speech", None, ["a  ", "b "], True)
+    r = df.select(tags.tagged(F.col("t"), "date"), tags.strip_tags(F.col("t"), ["date"]), tags.snr_level(F.col("c")), labels.telephony(F.col("d")), labels.condition(F.col("c")), tags.snr_level(F.col("d")), tags.pieces(F.lit(" a  b ")), tags.same_text(F.lit(" a  b"), F.lit("a b "))).first()
+    assert tuple(r) == (["1 May", "2"], "a 1 May <b>x</b> 2", 5, True, None, None, ["a  ", "b "], True)
 
 
 def test_speech_bounds(spark):
@@ -244,3 +265,92 @@ def test_judging(spark):
     assert got == {"a": (2, 0.5, True), "b": (1, None, False)}
     alerts = judging.mean_score_alerts(spark.createDataFrame([("a", 3.0), ("b", 3.0)], "provider string, score double"), spark.createDataFrame([("a", 3.5)], "provider string, mean double")).collect()
     assert {r.provider: r.alert for r in alerts} == {"a": True, "b": False}
+
+
+def fails(df):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises((PySparkException, ValueError)):
+        df().collect()
+
+
+def test_readers_refuse_what_they_must(spark, tmp_path):
+    from sonalyt.sources import corpus as C
+
+    def lines(name, *rows):
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+        return str(tmp_path / name)
+
+    spark.createDataFrame([(1, "a")], "id long, utt string").write.parquet(str(tmp_path / "c.parquet"))
+    assert C.read_corpus(spark, str(tmp_path / "c.parquet"), {"clip_id": "id"}, "fr-FR").first() == (1, "fr-FR")
+    fails(lambda: C.read_corpus(spark, str(tmp_path / "c.parquet"), {"clip_id": "name"}))
+    fails(lambda: C.read_manifest(spark, lines("m", '{"id": "x"}'), "/b"))
+    fails(lambda: C.read_votes(spark, lines("v", '{"rater": "r", "winner": "third"}')))
+    fails(lambda: C.read_realdata(spark, lines("r", '{"clip": "a.wav", "duration_s": 10.0, "measured_s": 10.3}')))
+    fails(lambda: C.read_anchor(spark, lines("a.csv", "clip_id,label", "c,entity"), ("entity",)))
+    fails(lambda: C.read_anchor(spark, lines("b.csv", "clip_id,provider,label", "c,p,entity", "c,p,entity"), ("entity",)))
+    fails(lambda: C.read_anchor(spark, lines("d.csv", "clip_id,provider,label", "c,p,odd"), ("entity",)))
+    fails(lambda: C.read_arena(spark, lines("s", '{"systems": ["x", "x"], "model": "m", "pairs": [{"prompt_id": "1"}]}'), ["x"]))
+    fails(lambda: C.read_arena_prompts(spark, [("/a/p.txt", 1), ("/b/p.txt", 1)], 1))
+    assert C.manifest_shape(spark, lines("k", "", '{"clip": "c", "session_id": "s", "duration_s": 1, "more": 2}')) == "realdata"
+    fails(lambda: C.manifest_shape(spark, lines("o", '{"x": 1}')))
+    got = C.read_arena_prompts(spark, [(lines("one.txt", "a", "", " b "), None), (lines("two.txt", "c", "d", "e"), 2)], 1).collect()
+    assert [(r.prompt_id, r.text) for r in got][:2] == [("one-000", "a"), ("one-002", "b")] and len(got) == 4
+    (tmp_path / "n" / "m").mkdir(parents=True)
+    for f in ("b.wav", "m/a.flac", "c.txt"):
+        (tmp_path / "n" / f).write_bytes(b"1")
+    assert [r.path[-6:] for r in C.audio_files(spark, str(tmp_path / "n")).collect()] == ["/b.wav", "a.flac"]
+
+
+def test_records_refuse_what_they_must(spark):
+    from sonalyt.functions import labels
+    from sonalyt.operators import records, transcripts
+
+    one = spark.range(1)
+    fails(lambda: one.select(labels.family(F.lit("llama"))))
+    fails(lambda: one.select(labels.label(F.lit("nothing"))))
+    fails(lambda: records.within_cap(spark.createDataFrame([(3.0,), (4.0,)], "usd double"), 5.0))
+    clips = "clip_path string, session_id string, language string, duration double, source string, start_offset string"
+    fails(lambda: records.clip_candidates(spark.createDataFrame([("c", "s", "en", 3.0, "tape", None)], clips)))
+    fails(lambda: records.clip_candidates(spark.createDataFrame([("c", None, "en", 3.0, "user", None)], clips)))
+    assert records.clip_candidates(spark.createDataFrame([("c", "s", "en", 3.0, None, "x"), ("c", "s", "de", 3.0, "tape", None)], clips)).collect() == [("c", "s", "en", 3.0, "merged", 0.0)]
+    said = "lane string, clip_id string, language string, text string, error string, seq long"
+    fails(lambda: transcripts.agreement(spark.createDataFrame([("a", "c", "en", "x", None, 1), ("b", "c", "ja", "x", None, 1)], said)))
+    got = transcripts.agreement(spark.createDataFrame([("a", "c", None, "x y", None, 1), ("b", "c", None, "x z", None, 1), ("d", "e", "en", "x", None, 1)], said)).collect()
+    assert sorted((r.lane_a, r.lane_b, r.language, r.disagreement) for r in got if r.clips) == [("a", "b", "und", 0.5)] and len(got) == 3
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from sonalyt.sources.folders import shared_folder
+
+    far = N(conf=N(get=lambda *_: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(far)
+
+
+def test_percentiles_without_a_group_in_one_buffer(spark):
+    from sonalyt.operators.quantiles import percentiles
+
+    r = random.Random(7)
+    rows = [(g, r.choice((r.uniform(0, 9), float(r.randrange(4))))) for g in "aab" for _ in range(997)] + [("c", 5.0), ("d", None), ("b", None)]
+    got = percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p50": 0.5, "p99": 0.99, "p0": 0.0, "p100": 1.0}, 16).collect()
+    for x in got:
+        own = [v for g, v in rows if g == x.g and v is not None]
+        assert np.allclose([x.p50, x.p99, x.p0, x.p100], np.percentile(own, [50, 99, 0, 100]))
+    assert sorted(x.g for x in got) == ["a", "b", "c"]
+
+
+def test_kappa_interval_by_resampling(spark):
+    r = random.Random(5)
+    pairs = [(a, a if r.random() < 0.7 else r.choice("xyz")) for a in (r.choice("xyz") for _ in range(150))]
+    got = ranking.kappa_interval(spark.createDataFrame(pairs, "a string, b string"), "a", "b").first()
+
+    def kappa(p):
+        n = len(p)
+        chance = sum(sum(x == c for x, _ in p) * sum(y == c for _, y in p) for c in "xyz") / n**2
+        return (sum(x == y for x, y in p) / n - chance) / (1 - chance)
+
+    draws = [kappa([r.choice(pairs) for _ in pairs]) for _ in range(1000)]
+    assert got.n == 150 and abs(got.kappa - kappa(pairs)) < 1e-9 and abs(got.low - np.percentile(draws, 2.5)) < 0.03 and abs(got.high - np.percentile(draws, 97.5)) < 0.03
