@@ -8,12 +8,15 @@ totals the problem's largest eigenvalue is at most 1, so a step of 1 converges.
 
 Nulls: a null text has no tokens and gets the classifier's prior. A row without doc_id forms one document with the others
 without. Repeated rows of one doc_id are one document with the tokens of all. A domain without labelled rows keeps a prior near
-zero. No labelled rows: posteriors are equal. Empty table: empty result.
+zero; one that holds less than LEAST of all tokens can't be brought to a target by any sane rate, so the others share its weight.
+No labelled rows: posteriors are equal. Ties in the choice of words go by the word. Very long texts count all their words; tokens are words
+here, told by white space. Empty table: empty result. Other columns aren't read, and clash with nothing.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ LABELLED = 4000  # labelled documents that the classifier counts at most, the fi
 VOCABULARY = 2000  # words that it knows, the most frequent in that sample; this bounds what is broadcast
 EVIDENCE = 30  # a document's words weigh together as so many at most, so that posteriors stay soft
 STEPS, CLOSE = 40, 1e-7
+LEAST, FAR = 1e-4, 0.01  # share of tokens below which a domain is out of reach; share by which a target may be missed without a warning
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -78,14 +82,19 @@ def fit(members: DataFrame, targets: list[float], steps: int = STEPS, close: flo
 
     start = totals(F.lit(1.0))
     whole = sum(start)
-    aims = [t / sum(targets) * whole for t in targets]
+    within = [s > LEAST * whole for s in start]
+    sought = sum(t for t, w in zip(targets, within, strict=True) if w)
+    aims = [t / sought * whole if w and sought else s for t, w, s in zip(targets, within, start, strict=True)]
     history: list[list[float]] = []
     now = start
     for _ in range(steps):
-        if whole == 0 or max(abs(a - g) for a, g in zip(aims, now, strict=True)) <= close * whole:
+        if whole == 0 or max(abs(a - g) for a, g, w in zip(aims, now, within, strict=True) if w) <= close * whole:
             break
-        history.append([(a - g) / s if s > 0 else 0.0 for a, g, s in zip(aims, now, start, strict=True)])
+        history.append([(a - g) / s if w else 0.0 for a, g, s, w in zip(aims, now, start, within, strict=True)])
         now = totals(rate(history))
+    off = max((abs(a - g) for a, g, w in zip(aims, now, within, strict=True) if w), default=0.0)
+    if whole and off > FAR * whole:
+        warnings.warn(f"after {len(history)} steps a domain is {off / whole:.1%} of all tokens away from its target", stacklevel=2)
     return history
 
 
@@ -93,7 +102,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     """doc_id, n_tokens, p (by domain, in the order of targets), rate, copies.
 
     copies is the rate's whole part, plus one with the chance of its fraction, decided by a hash of doc_id. With keep_all
-    rates are scaled so that a document that is wholly of the least wanted domain is kept just once, and none goes.
+    rates are scaled so that a document that is wholly of the least wanted domain is kept just once, and none is below 1, so none goes.
     """
     if not targets or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError("targets need nonnegative weights, one of them positive")
@@ -110,7 +119,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
                 r = max(0.0, r + e[k])
             pure.append(r)
         scale = 1.0 / min((r for r in pure if r > 0), default=1.0)
-    rates = members.withColumn("rate", rate(history) * scale)
+    fitted = rate(history) * scale
+    rates = members.withColumn("rate", F.greatest(fitted, F.lit(1.0)) if keep_all else fitted)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     return rates.select("doc_id", "n_tokens", "p", "rate", (whole + (chance < F.col("rate") - whole).cast("long")).alias("copies"))

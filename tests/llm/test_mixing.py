@@ -90,3 +90,13 @@ def test_empty_and_unlabelled(spark, nothing, docs):
     none = spark.createDataFrame([], "doc_id long, domain string")
     assert mixing.mix(nothing, none, TARGETS).count() == 0
     assert all(np.allclose(r.p, 1 / 3) for r in mixing.mix(docs, none, TARGETS).collect())
+
+
+def test_a_domain_out_of_reach_takes_no_document_away(spark):
+    words = {"en": "the of and", "fr": "le de et", "de": "der und zu"}
+    rows = [(i, " ".join([words[k]] * (1 + i % 7)), k) for i, k in enumerate(["en"] * 60 + ["fr"] * 30 + ["de"] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    more = TARGETS | {"es": 0.4}
+    got = mixing.mix(docs, docs.selectExpr("doc_id", "lang as domain"), more, keep_all=True).collect()
+    total = sum(np.array(r.p) * r.n_tokens * r.rate for r in got)
+    assert len(got) == 100 and min(r.copies for r in got) >= 1 and np.allclose(total[:3] / total[:3].sum(), list(TARGETS.values()), atol=1e-2)
