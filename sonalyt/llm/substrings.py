@@ -7,11 +7,12 @@ others the documents give the stretches of words around them, and a shard's task
 automaton of an anchor's stretches; each document streams through the automaton of those before it, and maximal
 matches of WINDOW or more words are removed. Words are compared as such, hashes only bring them together.
 
-An anchor with more than HOT documents is split: its windows travel one by one under their own hash, as 128-bit digests, so a passage
-that very many documents share, each within its own context, is dealt over all tasks and an automaton's size stays bounded.
+An anchor with more than HOT documents is dealt out: its windows travel one by one under their own hash, so a passage that very many documents
+share, each within its own context, spreads over all tasks and an automaton's size stays bounded. Shards of either kind are matched alike, on words.
 
 Nulls: a null text has no words. A row without doc_id is neither reference nor judged. Repeated rows of one doc_id are one
-document and get the same result each. Empty table: empty result.
+document and get the same result each. Ties: of equal grams of a window the leftmost is its anchor; of documents with a passage the smallest doc_id
+keeps it. Very long texts are cut whole, some million bytes at a time. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from .common import map_batches, pieces, table, texts
 
 WINDOW, GRAM = 13, 6
 HOT = 1000  # documents of an anchor above which its windows are dealt out one by one
-DIGEST = 16  # bytes of a window's digest; a stretch of words is longer
 _REMEMBERED = 400_000
 
 
@@ -243,7 +243,7 @@ def _cut(window: int, gram: int):
                         out["key"].append(keys[stretch])
                         out["doc_id"].append(doc[i])
                         out["starts"].append(starts)
-                        out["words"].append(xxhash.xxh3_128_digest(stretch) if single else stretch)
+                        out["words"].append(stretch)
             key = np.array(out["key"], np.uint64).view(np.int64)
             yield {"key": key, "doc_id": pa.array(out["doc_id"], pa.int64()), "starts": pa.array(out["starts"], pa.list_(pa.int32())), "words": pa.array(out["words"], pa.binary())}
 
@@ -270,12 +270,12 @@ def _match(window: int):
                     waiting += own
                     own = {}
                 if words in known:
-                    spans = [(0, window if len(words) == DIGEST else words.count(b" ") + 1)]
+                    spans = [(0, words.count(b" ") + 1)]
                 elif words in own:
                     spans = own[words]
                 else:
                     spans = []
-                    if known and len(words) != DIGEST:
+                    if known:
                         automaton = automaton or Automaton()
                         for x in waiting:
                             automaton.add(x.split(b" "))
