@@ -33,7 +33,7 @@ from .common import components, cut, lowest, map_batches, pieces, runs, table, t
 SHINGLE, BITS, SEED = 4, 4, 42
 WINDOWS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS, KEYED = 16, 8  # reference fingerprints; those whose distances make the keys
-BANDS, ROWS, FAR = 16, 5, 28  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks
+BANDS, ROWS, FAR, PART = 16, 5, 28, 1024  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks, texts of a key in one part
 SMALL, HOT = 48, 8192  # a run up to SMALL is compared by shifts; one above HOT is dealt out again
 
 
@@ -273,7 +273,7 @@ def _candidates(similarity: float):
     return fn
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = PART) -> DataFrame:
     """doc_id, component_id for rows with a doc_id: linked are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
     So wide a link leaves about ten of a fingerprint's 64 bits different, more than windows of bits can find. Candidates therefore meet where the
@@ -297,8 +297,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
     used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", *kind), "rep")
 
     def whole(c):
-        found = [np.unique(hashes(t, shingle)) for _, part in pieces(c["text"]) for t in part]
-        return {"rep": c["doc_id"], "total": c["total"], "own": pa.array([int(u.sum(dtype=np.uint64).view(np.int64)) for u in found]), "members": pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))}
+        for at, part in pieces(c["text"], 1_000_000):
+            found = [np.unique(hashes(t, shingle)) for t in part]
+            own = np.array([u.sum(dtype=np.uint64) for u in found], np.uint64).view(np.int64)
+            yield {"rep": c["doc_id"].slice(at, len(part)), "total": c["total"].slice(at, len(part)), "own": own, "members": pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))}
 
     sets = texts(docs).join(used.select(F.col("rep").alias("doc_id"), "total"), "doc_id")
     sets = cut(map_batches(sets, whole, "rep long, total long, own long, members array<long>").where("own = total").groupBy("rep").agg(F.first("members").alias("members")))
