@@ -12,7 +12,8 @@ proportion to its vectors. Searching every shard makes the searches of one label
 the method; labels keep it small.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components, and rows without label link with nothing. Vectors of different
-length never link. Repeated vec_ids are vectors of their own. Empty table: empty result.
+length never link. Repeated vec_ids are vectors of their own. Ties: a cosine of just the limit links; a component has its smallest vec_id.
+Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ reassembles packets from the lacing values, keeps the logical streams apart and
 
 Nulls: a null text is the empty payload. A damaged page (bad checksum, cut off, wrong version) is counted and skipped, and
 the packets that it touched are dropped; nothing raises. Equal payloads give equal bytes: serial numbers come from the payload.
+Repeated rows give repeated rows, in any order of ties. Very long texts are stored whole, one text at a time. Empty table: empty result. Other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -128,6 +130,18 @@ def read(data: bytes) -> dict:
     return {"streams": streams, "pages": pages, "bad": bad}
 
 
+def times(stream: dict) -> list[float]:
+    """Seconds at which each packet of samples ends: the last one of a page at the page's granule position, those before it earlier by what
+    follows them (a stream has every other frame, so its bytes count twice)."""
+    out: list[float] = []
+    at = 0
+    for k in range(len(stream["packets"]) - 1, 0, -1):
+        same = k + 1 < len(stream["packets"]) and stream["granules"][k] == stream["granules"][k + 1]
+        at = at - 2 * len(stream["packets"][k + 1]) if same else stream["granules"][k]
+        out.append(at / RATE)
+    return out[::-1]
+
+
 def payload(found: dict) -> bytes:
     """The samples, put together again from both logical streams; empty if either is not whole."""
     halves = {}
@@ -143,9 +157,10 @@ def payload(found: dict) -> bytes:
 
 
 def feature(found: dict, samples: bytes) -> str:
-    """Pages, packets of either stream, seconds by granule position, mean and deviation of the samples, and how many fall in each of 16 bands of values."""
+    """Pages, packets of either stream, the ends of the first and last packet by granule positions, mean and deviation of the samples, and how many fall in each of 16 bands of values."""
     counts = "/".join(str(len(s["packets"])) for s in found["streams"].values())
-    seconds = max((g for s in found["streams"].values() for g in s["granules"]), default=0) / RATE
+    stamps = [t for s in found["streams"].values() for t in times(s)]
+    seconds, first = max(stamps, default=0.0), min(stamps, default=0.0)
     x = np.frombuffer(samples, np.uint8)
     if not len(x):
         return f"pages={found['pages']};packets={counts};seconds={seconds:.6f}"
@@ -154,7 +169,7 @@ def feature(found: dict, samples: bytes) -> str:
     mean = float((counts256 * values).sum()) / len(x)
     deviation = float((counts256 * (values - mean) ** 2).sum() / len(x)) ** 0.5
     bands = ",".join(str(int(v)) for v in counts256.reshape(16, 16).sum(axis=1))
-    return f"pages={found['pages']};bad={found['bad']};packets={counts};seconds={seconds:.6f};mean={mean:.4f};sd={deviation:.4f};bands={bands}"
+    return f"pages={found['pages']};bad={found['bad']};packets={counts};first={first:.6f};seconds={seconds:.6f};mean={mean:.4f};sd={deviation:.4f};bands={bands}"
 
 
 def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:

@@ -6,7 +6,9 @@ left, and the combination is taken as often as the counts allow, which is what o
 themselves stay in Spark: each gets its rank among those of its length, counted in salted groups, and the plan turns a
 rank into a sequence and an offset. A plan has a few thousand rows whatever the input, so it is broadcast.
 
-Nulls: a null or empty text is one piece that holds the end mark alone. Repeated rows are packed each. Empty table: empty result.
+Nulls: a null or empty text is one piece that holds the end mark alone. Repeated rows are packed each. Ties: pieces of one length are
+alike and go in order of doc_id, piece, start within a salt; which of them shares a bin with which others is of no account. Very long texts are
+tokenised whole. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ kinds: iban (mod-97) and secret (a long hexadecimal string), whose score, moved
 All spans have a score; offsets are code points, ends are exclusive.
 
 Nulls: a null text is empty and has no spans. Long runs of letters or digits cost no more than their length: candidates grow
-from the rare character that they need ("@", "+", a digit), and repeated parts never give back what they took.
+from the rare character that they need ("@", "+", a digit), and repeated parts never give back what they took. Spans of different kinds may
+overlap; within a kind the leftmost wins, so there are no ties. Repeated rows give repeated rows. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import map_batches, pieces, table, texts
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
 FLOOR = 0.6
-#: score of a span whose check passed, without words nearby; words that raise it and words that lower it, within REACH characters before
+#: score of a span whose check passed, without words nearby; words that raise it and words that lower it, within REACH characters on either side
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.4}
 RAISE = {
     "email": ("mail", "contact", "write", "address"),
@@ -102,7 +103,17 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    """The longest run of whole groups that passes mod-97, so words in capitals or digits after a number don't spoil it."""
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 2
+        for end in [m.end(), *(m.start() + i for i in range(m.end() - m.start() - 1, 14, -1) if m[0][i] == " ")]:
+            number = text[m.start() : end].replace(" ", "")
+            if len(number) >= 15 and mod97(number):
+                out.append((m.start(), end))
+                at = end
+                break
+    return out
 
 
 def secrets(text: str) -> list[tuple[int, int]]:
@@ -112,10 +123,10 @@ def secrets(text: str) -> list[tuple[int, int]]:
 FINDERS = dict(zip(KINDS, (emails, ips, cards, phones, ibans, secrets), strict=True))
 
 
-def score(kind: str, text: str, start: int) -> float:
-    before = set(re.findall(r"[a-z0-9]+", text[max(0, start - REACH) : start].lower()))
-    up = any(w in before for w in RAISE[kind])
-    down = any(w in before for w in LOWER.get(kind, ()))
+def score(kind: str, text: str, start: int, end: int) -> float:
+    near = set(re.findall(r"[a-z0-9]+", f"{text[max(0, start - REACH) : start]}|{text[end : end + REACH]}".lower()))
+    up = any(w in near for w in RAISE[kind])
+    down = any(w in near for w in LOWER.get(kind, ()))
     return round(min(1.0, max(0.0, SCORES[kind] + UP * up - DOWN * down)), 3)
 
 
@@ -126,7 +137,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     for kind in KINDS:
         if digit or kind == "email" or kind == "secret":  # the other kinds need a digit
             for start, end in FINDERS[kind](text):
-                s = score(kind, text, start)
+                s = score(kind, text, start, end)
                 if kind in BASE or s >= FLOOR:
                     out.append((kind, start, end, s))
     return out

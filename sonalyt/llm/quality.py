@@ -8,7 +8,9 @@ The model is fitted on the driver from the features, not the texts, of at most S
 once: the features of all documents are materialised, which training and scoring share.
 
 Nulls: a null or empty text has features of zero and is scored by them. Rows with a null label aren't learned from. Repeated
-rows are learned from once and scored each. Without labelled rows, or with one class alone, the score is the smoothed share of label 1.
+rows are learned from once and scored each. Ties: a doc_id with several labels has the largest; equal gains go to the first cut. Very long texts
+are measured whole, some million bytes at a time. Without labelled rows, or with one class alone, the score is the smoothed share of label 1.
+Empty table: empty result. Other columns aren't read; keep_good() returns them as they are.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,3 +67,14 @@ def test_columns(docs, rows):
 
 def test_empty(nothing):
     assert ogg.media_columns(nothing).count() == 0
+
+
+def test_packets_have_times_of_their_own():
+    for frames in (1, 2, 3, 40, 41, 77, 4000):
+        found = ogg.read(ogg.write(bytes(frames * ogg.FRAME)))
+        ends = {}
+        for s in found["streams"].values():
+            stream, step = s["packets"][0][15], ogg.PACKET * ogg.FRAME
+            own = (frames + 1 - stream) // 2
+            ends[stream] = [((min(k + ogg.PACKET, own) - 1) * 2 + stream + 1) * ogg.FRAME / ogg.RATE for k in range(0, own, ogg.PACKET)]
+            assert np.allclose(ogg.times(s), ends[stream]) and all(len(p) <= step for p in s["packets"])

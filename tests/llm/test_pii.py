@@ -37,9 +37,12 @@ def test_checksums_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
     kinds = lambda t: [x[0] for x in pii.find(t)]
     assert kinds("pay to GB82 WEST 1234 5698 7654 32 now") == ["iban"]
+    for tail in (" BIC COBADEFF", " I", " 12/05", ".", ""):
+        text = f"to DE89 3704 0044 0532 0130 00{tail}"
+        assert [text[a:b] for k, a, b, _ in pii.find(text) if k == "iban"] == ["DE89 3704 0044 0532 0130 00"], tail
     hexes = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     assert kinds(f'token = "{hexes}"') == ["secret"] and kinds(f"sha1 {hexes}") == [] and kinds(hexes) == []
-    assert pii.score("card", "my card 4111", 8) > pii.score("card", "order 4111", 6)
+    assert pii.score("card", "my card 4111", 8, 12) > pii.score("card", "order 4111", 6, 10) and pii.score("card", "4111 is my card", 0, 4) > pii.score("card", "4111 is mine", 0, 4)
 
 
 def test_long_runs_are_linear():
