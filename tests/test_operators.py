@@ -354,3 +354,17 @@ def test_kappa_interval_by_resampling(spark):
 
     draws = [kappa([r.choice(pairs) for _ in pairs]) for _ in range(1000)]
     assert got.n == 150 and abs(got.kappa - kappa(pairs)) < 1e-9 and abs(got.low - np.percentile(draws, 2.5)) < 0.03 and abs(got.high - np.percentile(draws, 97.5)) < 0.03
+
+
+def test_entities_by_rule():
+    from sonalyt.functions import entities as E
+
+    cases = {
+        ("en", "pay $42 or five dollars, now"): "pay <currency>$42</currency> or <currency>five dollars</currency>, now", ("en", "we may go in may 3"): "we may go in <date>may 3</date>", ("en", "He met Ann Lee today"): "He met <name>Ann Lee</name> today",
+        ("en", "ref 12ab, 12345678"): "ref <id>12ab</id>, <id>12345678</id>", ("en", "in 1999 on 1/2/03"): "in <date>1999</date> on <date>1/2/03</date>", ("en", "nine one seven three"): "<number>nine one seven three</number>", ("en", ""): "",
+        ("de", "am 3 mai für zwanzig euro, ein Haus"): "am <date>3 mai</date> für <currency>zwanzig euro</currency>, ein Haus", ("fr", "le mars bleu, deux cafés"): "le mars bleu, <number>deux</number> cafés", ("ko", "삼월 사이 세 시"): "<date>삼월</date> 사이 <number>세 시</number>",
+    }
+    for (language, text), want in cases.items():
+        assert E.tag(text, language) == want
+    assert E.tag_slots("[date : next week] call [song_name : Blue] and [person : ann] two", "en") == "<date>next week</date> call <name>Blue</name> and <name>ann</name> <number>two</number>"
+    assert E.best([(0, 5, "number"), (3, 9, "id"), (9, 9, "date"), (10, 12, "name"), (10, 12, "number")]) == [(3, 9, "id"), (10, 12, "number")]
