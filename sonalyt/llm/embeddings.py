@@ -3,8 +3,8 @@
 Equal vectors become one, with the number of its copies. A label's vectors are dealt into shards of about SHARD; each shard gets a graph (Malkov and
 Yashunin, 2016): every layer links a vector to near ones that are not nearer to each other, a layer above holds one in
 M of those below. Every shard's vectors search every shard of their label, a block of queries at a time. A query whose beam is filled with
-hits is searched again with a beam twice as wide, until it isn't; an audit of AUDIT queries against all vectors of the shard
-widens the beam for the block until RECALL is reached, and queries whose beam of WIDEST is still filled are compared with the shard in full.
+hits is searched again with a beam twice as wide, until it isn't; an audit of AUDIT queries against all vectors of the shard, which asks for what
+is near enough and for the nearest vector whatever its cosine, widens the beam for the block until RECALL is reached, and queries whose beam of WIDEST is still filled are compared with the shard in full.
 What is found is verified by cosine in double precision.
 
 A block returns each vector's number of links and a star of links, never its pairs, so a group of thousands of near copies costs rows in
@@ -172,13 +172,17 @@ def hits(queries: np.ndarray, x: np.ndarray, graph: Graph, cosine: float) -> np.
     n, edge = len(x), cosine - 1e-4
     found = np.zeros((len(queries), n), bool)
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[audit] @ x.T >= cosine
+    cosines = queries[audit] @ x.T
+    truth, nearest = cosines >= cosine, cosines.argmax(axis=1)
+    reached = np.zeros(len(audit), bool)  # audited queries whose nearest vector the walk came to, whatever its cosine
     todo, beam = np.arange(len(queries)), min(BEAM, n)
     while len(todo):
         again = []
         for at in range(0, len(todo), _BLOCK):
             own = todo[at : at + _BLOCK]
             ids, sim = graph.search(x32, q32[own], beam)
+            mine = np.isin(audit, own)
+            reached[mine] |= (ids[np.searchsorted(own, audit[mine])] == nearest[mine, None]).any(axis=1)
             ok = sim >= edge
             a, b = np.nonzero(ok)
             i, j = own[a], ids[a, b]
@@ -188,7 +192,7 @@ def hits(queries: np.ndarray, x: np.ndarray, graph: Graph, cosine: float) -> np.
                 found[u[exact], v[exact]] = True
             again.append(own[ok.all(axis=1)])
         full = np.concatenate(again)
-        recall = (found[audit] & truth).sum() / max(1, truth.sum())
+        recall = ((found[audit] & truth).sum() + reached.sum()) / (truth.sum() + len(audit))
         if beam >= n or beam >= WIDEST:
             if recall < RECALL:  # parts of the graph that no beam reaches
                 full = np.arange(len(queries))

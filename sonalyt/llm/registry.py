@@ -21,4 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lines": lines.op10_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": """with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
+  s as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w), n as (select doc_id, i, array_to_string(words[i:i + 12], ' ') as said from s), f as (select said, min(doc_id) as first from n group by said),
+  g as (select distinct doc_id, unnest(range(i, i + 13)) as place from n join f using (said) where first < doc_id), e as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from w),
+  k as (select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n from e anti join g using (doc_id, place) group by doc_id)
+  select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)""",
+    "op4_embeddings": """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  u as (select *, sqrt(list_dot_product(e, e)) as norm from v where list_dot_product(e, e) > 0), l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+  r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), n as (select a, count(*) as n from l group by a), m as (select a, min(b) as b from r group by a)
+  select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(m.b, vec_id)) as component_id, vec_id <= coalesce(m.b, vec_id) as kept from embeddings left join n on n.a = vec_id left join m on m.a = vec_id""",
+}

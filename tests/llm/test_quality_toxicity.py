@@ -90,6 +90,32 @@ def test_additive_score_is_the_sum_of_its_tables():
     assert np.isclose(m.score(x[7:8])[0], 1 / (1 + np.exp(-total)))
 
 
+def test_quality_by_plain_loops(spark):
+    docs, labels, told = labelled(spark, 400)
+    texts_, marks = {r.doc_id: r.text or "" for r in docs.collect()}, {d: q for d, q, _ in told if d is not None and q is not None}
+    learned = sorted(d for d in marks if d in texts_ and zlib.crc32(str(d).encode()) % 5)
+    model = quality.train(quality.features([texts_[d] for d in learned]), np.array([marks[d] for d in learned], float))
+    want = dict(zip(texts_, model.score(quality.features(list(texts_.values()))), strict=True))
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in quality.quality(docs, labels).collect())
+
+
+def test_toxicity_by_plain_loops(spark):
+    docs, labels, told = labelled(spark, 400)
+    machines = toxicity.learn(docs, labels, "toxic", quality.held_out(3, 1))
+    got = {r.doc_id: r.x for r in toxicity.values(docs, machines).collect()}
+    for r in docs.collect():
+        own = sorted({u for u, _ in toxicity.units(r.text or "")})
+        top = sorted(machines[-1].values(own).tolist() if own else [], reverse=True)[: toxicity.TOP]
+        assert np.allclose(got[r.doc_id], [*top, *[toxicity.FLOOR] * (toxicity.TOP - len(top)), np.log1p(len(set((r.text or "").lower().split())))], atol=1e-5)
+    known = sorted({d for d, _, t in told if d is not None and t is not None and zlib.crc32(str(d).encode()) % 3 != 1})
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", toxicity.fold().alias("f")).collect()}
+    by = {t: {r.doc_id: r.x for r in toxicity.values(docs, {-1: m}).collect()} for t, m in machines.items() if t >= 0}
+    y = {d: t for d, _, t in told}
+    weights = toxicity.calibrate(np.array([by.get(fold[d], got)[d] for d in known]), np.array([y[d] for d in known], float))
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert abs(r.score - 1 / (1 + np.exp(-(np.dot(got[r.doc_id], weights[:-1]) + weights[-1])))) < 1e-6
+
+
 def brute_kernel(s, t):
     """The mean over sizes of normalised sums of gap-weighted subsequences, the norm over summed features."""
 
