@@ -506,7 +506,7 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with g as (select user_id, ts, event_id, value, case when ts - lag(ts) over w <= interval '6 hours' then 0 else 1 end as new from events where ts is not null window w as (partition by user_id order by ts, event_id)),
   s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
-  select user_id, cast(min(ts) as varchar) as began, count(*) as events, round(sum(value), 4) as total from s group by user_id, k having max(ts) + interval '6 hours' <= (select max(ts) - interval '10 minutes' from events)"""
+  select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as began, count(*) as events, round(sum(value), 4) as total from s group by user_id, k having max(ts) + interval '6 hours' <= (select max(ts) - interval '10 minutes' from events)"""
 )
 def timed_out_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions as a stream: one ends when its user has been silent for six hours, is given out when the watermark is past that, and leaves the state."""
