@@ -175,8 +175,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # under a key that Spark doesn't take for the grouping's own, so the join has a shuffle on both sides and adaptive execution can split a hub's rows
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.bitwise_not(F.bitwise_not("u")).alias("k"), "m")
+        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.where("u != v").distinct())
