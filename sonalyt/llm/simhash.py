@@ -33,7 +33,7 @@ from .common import components, cut, lowest, map_batches, pieces, runs, table, t
 SHINGLE, BITS, SEED = 4, 4, 42
 WINDOWS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS, KEYED = 16, 8  # reference fingerprints; those whose distances make the keys
-BANDS, ROWS, FAR, PART = 16, 5, 28, 1024  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks, texts of a key in one part
+BANDS, ROWS, FAR, PART = 16, 5, 28, 256  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks, texts of a key in one part
 SMALL, HOT = 48, 8192  # a run up to SMALL is compared by shifts; one above HOT is dealt out again
 
 
