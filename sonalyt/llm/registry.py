@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, lines, mixing, ogg, packing, pii, quality, simhash, substrings, toxicity
+from . import decontamination, embeddings, lines, mixing, ogg, packing, pii, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_lines": lines.op10_lines,
+    "op11_decontamination": decontamination.op11_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +32,10 @@ ORACLE_SQL: dict[str, str] = {
   u as (select *, sqrt(list_dot_product(e, e)) as norm from v where list_dot_product(e, e) > 0), l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
   r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), n as (select a, count(*) as n from l group by a), m as (select a, min(b) as b from r group by a)
   select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(m.b, vec_id)) as component_id, vec_id <= coalesce(m.b, vec_id) as kept from embeddings left join n on n.a = vec_id left join m on m.a = vec_id""",
+    "op11_decontamination": r"""with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+  iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+  i as (select item_id, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as k from iw where len(w) > 0), j as (select distinct item_id, size, array_to_string(w[k:k + size - 1], ' ') as said from i),
+  d as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from dw, (select distinct size from j)), h as (select doc_id, k, size, item_id from (select doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') as said from d) join j using (said, size)),
+  p as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(k, k + size)) as place from h) group by doc_id), n as (select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from h) group by doc_id)
+  select doc_id, cast(len(w) as bigint) as n_words, coalesce(p.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(p.n, 0) > 0 as contaminated from dw left join p using (doc_id) left join n using (doc_id)""",
 }
