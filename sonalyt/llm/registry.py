@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, lines, mixing, ogg, packing, pii, quality, simhash, substrings, toxicity
+from . import decontamination, embeddings, lines, manifest, mixing, ogg, packing, pii, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_lines": lines.op10_lines,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_manifest": manifest.op12_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,4 +39,19 @@ ORACLE_SQL: dict[str, str] = {
   d as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from dw, (select distinct size from j)), h as (select doc_id, k, size, item_id from (select doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') as said from d) join j using (said, size)),
   p as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(k, k + size)) as place from h) group by doc_id), n as (select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from h) group by doc_id)
   select doc_id, cast(len(w) as bigint) as n_words, coalesce(p.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(p.n, 0) > 0 as contaminated from dw left join p using (doc_id) left join n using (doc_id)""",
+    "op12_manifest": r"""with recursive e as (select *, case when doc_id is not null and n_chars is not null and xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, strlen(cast(doc_id as varchar)) + 1), lambda k: list_prepend(256 + ord(cast(doc_id as varchar)[k]), [0, 0, 0, 0, 0, 0, 0, 0])))),
+    lambda c, s: case when s > 0 then xor(c, s - 256) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end), 4294967295) % 7 = 0 then 1 else 0 end as more from documents),
+  f as (select doc_id, lang, more, [cast(doc_id as varchar), source, lang, cast(n_chars as varchar), text] as own, [cast(doc_id as varchar), source, lang, cast(n_chars + more as varchar), text] as other from e),
+  g as (select doc_id, lang, sha256(array_to_string(list_transform(own, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) as leaf, sha256(array_to_string(list_transform(other, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) as other from f),
+  h as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from g),
+  t(lang, level, hs) as (select lang, 0, list(leaf order by i) from h group by lang union all select lang, level + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda x: sha256(hs[2 * x + 1] || coalesce(hs[2 * x + 2], ''))) from t where len(hs) > 1),
+  s as (select lang, hs[1] as subroot, row_number() over (order by lang nulls first) - 1 as g from t where len(hs) = 1),
+  u(level, hs) as (select 0, list(subroot order by g) from s union all select level + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda x: sha256(hs[2 * x + 1] || coalesce(hs[2 * x + 2], ''))) from u where len(hs) > 1),
+  r as (select hs[1] as root from u where len(hs) = 1),
+  p as (select doc_id, leaf, 0 as top, level, case when xor(i >> level, 1) >= len(hs) then 'S' when (i >> level) & 1 = 1 then 'L' || hs[xor(i >> level, 1) + 1] else 'R' || hs[xor(i >> level, 1) + 1] end as step from h join t on t.lang is not distinct from h.lang where len(hs) > 1
+    union all select doc_id, leaf, 1, level, case when xor(g >> level, 1) >= len(hs) then 'S' when (g >> level) & 1 = 1 then 'L' || hs[xor(g >> level, 1) + 1] else 'R' || hs[xor(g >> level, 1) + 1] end from h join s on s.lang is not distinct from h.lang, u where len(hs) > 1),
+  w as (select doc_id, leaf, list(step order by top, level) as way from p group by doc_id, leaf),
+  a as (select h.doc_id, h.leaf, subroot, root, sha256(array_to_string(list_transform(coalesce(way, []), lambda x: x[2:]), '')) as proof_sha256,
+    list_reduce(list_prepend(h.other, coalesce(way, [])), lambda c, x: case x[1] when 'S' then sha256(c) when 'L' then sha256(x[2:] || c) else sha256(c || x[2:]) end) as folded_root from h join s on s.lang is not distinct from h.lang left join w on w.doc_id is not distinct from h.doc_id and w.leaf = h.leaf, r)
+  select *, folded_root = root as verified from a""",
 }
