@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, lines, manifest, mixing, ogg, packing, pii, quality, simhash, substrings, toxicity
+from . import decontamination, embeddings, lines, manifest, mixing, ogg, packing, pii, quality, search, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lines": lines.op10_lines,
     "op11_decontamination": decontamination.op11_decontamination,
     "op12_manifest": manifest.op12_manifest,
+    "op13_search": search.op13_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -54,4 +55,11 @@ ORACLE_SQL: dict[str, str] = {
   a as (select h.doc_id, h.leaf, subroot, root, sha256(array_to_string(list_transform(coalesce(way, []), lambda x: x[2:]), '')) as proof_sha256,
     list_reduce(list_prepend(h.other, coalesce(way, [])), lambda c, x: case x[1] when 'S' then sha256(c) when 'L' then sha256(x[2:] || c) else sha256(c || x[2:]) end) as folded_root from h join s on s.lang is not distinct from h.lang left join w on w.doc_id is not distinct from h.doc_id and w.leaf = h.leaf, r)
   select *, folded_root = root as verified from a""",
+    "op13_search": r"""with t as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+  q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+  d as (select doc_id, cast(count(*) as bigint) as n from t group by doc_id), s as (select cast(count(*) as bigint) as nn, cast(sum(n) as bigint) as ll from d), f as (select doc_id, term, cast(count(*) as bigint) as tf from t where term in (select term from q) group by doc_id, term),
+  w as (select term, cast(floor(1000 * ln(cast(2 * any_value(nn) + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from f, s group by term),
+  i as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) as part from f join d using (doc_id) join w using (term), s),
+  c as (select item_id, doc_id, cast(sum(part) as bigint) as score from q join i using (term) group by item_id, doc_id having sum(part) > 0), r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from c)
+  select * from r where rank <= 50""",
 }
