@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .align import edit_counts
+
 #: categories that punctuation stripping drops; currency signs and other symbols stay
 PUNCTUATION = r"[\p{Pc}\p{Pd}\p{Pe}\p{Pf}\p{Pi}\p{Po}\p{Ps}\p{Sm}\p{Sk}]"
 #: fixed values: primary language subtags that are scored by characters
@@ -50,43 +52,26 @@ def characters(text: Column) -> Column:
 
 
 def token_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edits between two arrays of tokens, with Spark's own levenshtein(): each distinct token becomes one character of a private code.
+    """Edits between two arrays of tokens, with Spark's own levenshtein(): of the letters as they are, else each distinct token becomes one character of a private code.
 
     Up to 60,000 distinct tokens in a pair have codes of their own, from U+0100 on without the surrogates; a pair with more is no utterance and fails the job.
     """
+    letters, others = F.array_join(reference, ""), F.array_join(hypothesis, "")
+    single = (F.length(letters) == F.size(reference)) & (F.length(others) == F.size(hypothesis))
     both = F.array_distinct(F.concat(reference, hypothesis))
-    known = F.when(F.size(both) <= 60_000, both).otherwise(F.raise_error(F.lit("more than 60,000 distinct tokens in a pair")))
+    known = F.when(F.size(both) > 60_000, F.raise_error(F.lit("more than 60,000 distinct tokens in a pair"))).otherwise(both)
 
-    def coded(tokens: Column) -> Column:
-        place = F.transform(tokens, lambda t: F.array_position(known, t))
+    def coded(tokens: Column, codes: Column) -> Column:
+        place = F.transform(tokens, lambda t: F.array_position(codes, t))
         return F.decode(F.unhex(F.array_join(F.transform(place, lambda p: F.lpad(F.hex(p + F.when(p >= 0xD700, 0x900).otherwise(0x100)), 4, "0")), "")), "UTF-16BE")
 
-    return F.levenshtein(coded(reference), coded(hypothesis))
+    once = F.transform(F.array(known), lambda codes: F.levenshtein(coded(reference, codes), coded(hypothesis, codes)))  # a variable of a lambda is worked out once a pair
+    return F.when(single, F.levenshtein(letters, others)).otherwise(F.get(once, F.lit(0)))
 
 
 EDITS = T.StructType([T.StructField(c, T.LongType()) for c in ("substitutions", "deletions", "insertions", "reference_length")])
 
 
-def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a least-cost alignment, substitution before deletion before insertion."""
-    m = len(hypothesis)
-    row = [(j, 0, 0, j) for j in range(m + 1)]  # cost, substitutions, deletions, insertions
-    for i, r in enumerate(reference, 1):
-        new = [(i, 0, i, 0)]
-        for j, h in enumerate(hypothesis, 1):
-            c, s, d, n = row[j - 1]
-            best = (c, s, d, n) if r == h else (c + 1, s + 1, d, n)
-            c, s, d, n = row[j]
-            if c + 1 < best[0]:
-                best = (c + 1, s, d + 1, n)
-            c, s, d, n = new[-1]
-            if c + 1 < best[0]:
-                best = (c + 1, s, d, n + 1)
-            new.append(best)
-        row = new
-    return row[-1][1:]
-
-
 @F.pandas_udf(EDITS)
 def edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """Edit counts by kind between arrays of tokens."""

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from ..functions import languages, tags
 from ..functions.align import spans
 from ..functions.labels import condition
-from ..functions.text import by_character, token_distance
+from ..functions.text import by_character, edits, token_distance
 from .lanes import LANE, rate
 
 FABRICATED, WORD_LOOP, CHARACTER_LOOP = 3, 5, 20  # inserted tokens in a row that are a fabrication; longest n-grams of loops
@@ -23,15 +23,34 @@ def _tokens(text: Column, language: Column) -> Column:
     return languages.tokens(languages.normalize(text, language), language)
 
 
-def with_edits(rows: DataFrame) -> DataFrame:
-    """rows with errors and reference_length, in the unit of the language: words, or characters. Each different pair of texts is compared once."""
+def _different(rows: DataFrame) -> DataFrame:
+    """Each different pair of texts once, with a key (pair) and their tokens (r, h)."""
     keys = ["language", "reference", "text"]
-    pairs = rows.select(*keys).distinct()
-    told = pairs.withColumn("r", _tokens(F.col("reference"), F.col("language"))).withColumn("h", _tokens(F.col("text"), F.col("language")))
+    pairs = rows.select(F.sha2(F.to_json(F.struct(*keys)), 256).alias("pair"), *keys).dropDuplicates(["pair"])
+    return pairs.select("pair", _tokens(F.col("reference"), F.col("language")).alias("r"), _tokens(F.col("text"), F.col("language")).alias("h"))
+
+
+def _with_pairs(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    return rows.withColumn("pair", F.sha2(F.to_json(F.struct("language", "reference", "text")), 256)).join(counted, "pair", "left").drop("pair")
+
+
+def with_edits(rows: DataFrame) -> DataFrame:
+    """rows with errors and reference_length, in the unit of the language: words, or characters. Each different pair of texts is compared once and found by its SHA-256."""
     errors = F.when(F.col("r") == F.col("h"), F.lit(0)).otherwise(token_distance(F.col("r"), F.col("h")))
-    counted = told.select(*[F.col(k).alias(f"pair_{k}") for k in keys], errors.cast("long").alias("errors"), F.size("r").cast("long").alias("reference_length"))
-    same = [F.col(k).eqNullSafe(F.col(f"pair_{k}")) for k in keys]
-    return rows.join(counted, same[0] & same[1] & same[2], "left").drop(*[f"pair_{k}" for k in keys])
+    return _with_pairs(rows, _different(rows).select("pair", errors.cast("long").alias("errors"), F.size("r").cast("long").alias("reference_length")))
+
+
+def with_edit_kinds(rows: DataFrame) -> DataFrame:
+    """rows with substitutions, deletions, insertions and reference_length of a least-cost alignment."""
+    return _with_pairs(rows, _different(rows).select("pair", edits("r", "h").alias("e")).select("pair", "e.*"))
+
+
+KINDS = ("substitutions", "deletions", "insertions", "reference_length")
+
+
+def edit_kinds(rows: DataFrame) -> DataFrame:
+    """Pooled counts by lane and language."""
+    return with_edit_kinds(rows).groupBy(*LANE, "language").agg(F.count("*").alias("clips"), *[F.sum(k).alias(k) for k in KINDS])
 
 
 def accuracy(rows: DataFrame, fallback: str = "en-US") -> DataFrame:
@@ -83,20 +102,31 @@ def hallucinations(rows: DataFrame) -> DataFrame:
 
 
 def agreement(rows: DataFrame) -> DataFrame:
-    """Pairs of lanes over the clips that both have, by language: edits between their tokens over the mean length. rows: lane, clip_id, language, text, error.
+    """Pairs of lanes over the clips that both have, by language and over all languages ("all"): edits between their tokens over the mean length. rows: lane, clip_id, language, text, error.
 
-    A clip's lanes are gathered, so texts are shuffled once; the last usable row of a lane counts. Lanes that disagree on a clip's language fail the job;
-    a clip without one is und. Pairs without a clip in common are in the result with null."""
+    A clip's lanes are gathered, so texts are shuffled once; the last usable row of a lane counts. Pairs of one text count without being compared. Lanes that disagree on a
+    clip's language fail the job; a clip without one is und. Pairs without a clip in common are in the result with null."""
     usable = rows.where("error is null and trim(text) != ''").groupBy("clip_id", "lane").agg(F.max_by(F.struct("language", "text"), "seq").alias("u"))
     languages_ = F.array_compact(F.collect_set("u.language"))
     clips = usable.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("lane", F.col("u.text").alias("text")))).alias("said"), languages_.alias("named"))
     one = F.when(F.size("named") > 1, F.raise_error(F.concat(F.lit("lanes disagree on the language of "), "clip_id"))).otherwise(F.coalesce(F.get("named", F.lit(0)), F.lit("und")))
-    told = clips.withColumn("language", one).select("clip_id", "language", F.explode("said").alias("s")).select("clip_id", "language", "s.lane", _tokens(F.col("s.text"), F.col("language")).alias("tokens"))
-    both = told.groupBy("clip_id", "language").agg(F.array_sort(F.collect_list(F.struct("lane", "tokens"))).alias("t"))
-    pairs = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: a.lane < b.lane), lambda b: F.struct(a.lane.alias("lane_a"), b.lane.alias("lane_b"), a.tokens.alias("x"), b.tokens.alias("y")))))
+    texts = F.array_distinct(F.col("said.text"))
+    told = clips.withColumn("language", one).select("clip_id", "language", "said", F.posexplode(texts).alias("at", "text")).select("clip_id", "language", "said", "text", _tokens(F.col("text"), F.col("language")).alias("tokens"))
+    both = told.groupBy("clip_id", "language").agg(F.first("said").alias("said"), F.map_from_entries(F.collect_list(F.struct("text", "tokens"))).alias("t"))
+    pairs = F.flatten(F.transform("said", lambda a: F.transform(F.filter("said", lambda b: a.lane < b.lane), lambda b: F.struct(a.lane.alias("lane_a"), b.lane.alias("lane_b"), (a.text == b.text).alias("same"), F.element_at("t", a.text).alias("x"), F.element_at("t", b.text).alias("y")))))
     each = both.select("language", F.explode(pairs).alias("p")).select("language", "p.*")
-    distance = F.when(F.col("x") == F.col("y"), F.lit(0)).otherwise(token_distance(F.col("x"), F.col("y")))
-    found = each.select("language", "lane_a", "lane_b", distance.alias("e"), (F.size("x") + F.size("y")).alias("n")).groupBy("lane_a", "lane_b", "language").agg(F.count("*").alias("clips"), F.sum("e").alias("edits"), F.sum("n").alias("tokens"))
-    names = [r["lane"] for r in rows.select("lane").distinct().orderBy("lane").collect()]  # lanes: a few
-    skeleton = rows.sparkSession.createDataFrame([(a, b) for a in names for b in names if a < b], "lane_a string, lane_b string")
+    distance = F.when(F.col("same") | (F.col("x") == F.col("y")), F.lit(0)).otherwise(token_distance(F.col("x"), F.col("y")))
+    counted = each.select("language", "lane_a", "lane_b", distance.alias("e"), (F.size("x") + F.size("y")).alias("n"))
+    sums = F.count("*").alias("clips"), F.sum("e").alias("edits"), F.sum("n").alias("tokens")
+    found = counted.groupingSets([["lane_a", "lane_b", "language"], ["lane_a", "lane_b"]], "lane_a", "lane_b", "language").agg(*sums, F.grouping("language").alias("pooled"))
+    found = found.withColumn("language", F.when(F.col("pooled") == 1, "all").otherwise(F.col("language"))).drop("pooled")
+    lanes = rows.select("lane").distinct()
+    skeleton = lanes.select(F.col("lane").alias("lane_a")).join(lanes.select(F.col("lane").alias("lane_b")), F.col("lane_a") < F.col("lane_b"))
     return skeleton.join(found, ["lane_a", "lane_b"], "left").withColumn("disagreement", 2 * F.col("edits") / F.nullif(F.col("tokens"), F.lit(0)))
+
+
+def agreement_matrix(cells: DataFrame, language: str = "all") -> DataFrame:
+    """The disagreements of one language as a symmetric matrix: a row and a column for each lane, null on the diagonal and where lanes share no clip."""
+    chosen = cells.where((F.col("language") == language) | F.col("language").isNull()).select("lane_a", "lane_b", "disagreement")
+    both = chosen.union(chosen.select("lane_b", "lane_a", "disagreement"))
+    return both.groupBy(F.col("lane_a").alias("lane")).pivot("lane_b").agg(F.first("disagreement"))

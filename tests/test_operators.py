@@ -317,7 +317,7 @@ def test_records_refuse_what_they_must(spark):
     said = "lane string, clip_id string, language string, text string, error string, seq long"
     fails(lambda: transcripts.agreement(spark.createDataFrame([("a", "c", "en", "x", None, 1), ("b", "c", "ja", "x", None, 1)], said)))
     got = transcripts.agreement(spark.createDataFrame([("a", "c", None, "x y", None, 1), ("b", "c", None, "x z", None, 1), ("d", "e", "en", "x", None, 1)], said)).collect()
-    assert sorted((r.lane_a, r.lane_b, r.language, r.disagreement) for r in got if r.clips) == [("a", "b", "und", 0.5)] and len(got) == 3
+    assert sorted((r.lane_a, r.lane_b, r.language, r.disagreement) for r in got if r.clips) == [("a", "b", "all", 0.5), ("a", "b", "und", 0.5)] and len(got) == 4
 
 
 def test_no_machine_local_folder_on_a_cluster():
