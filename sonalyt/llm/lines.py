@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from math import isqrt
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ from .common import cut, fresh, map_batches, pieces, table, texts
 
 WORDS = 4
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")  # Thai, Lao, Burmese, Khmer, kana, Han
-PAIRS = 200_000  # of repeated lines' places, up to which every pair is looked at
 STEP = 8  # holders that a line left over is held against in the first round; each round takes as many times more
 
 
@@ -124,17 +125,59 @@ def _increasing(values: list[int]) -> list[int]:
 
 
 def _repeated(lines: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
-    """Pairs of lines of which none stands once on both sides: the longest run of pairs in order, or, of more than PAIRS pairs, each in order takes the next free place."""
-    if sum(len(a) * len(b) for a, b in lines) <= PAIRS:
-        pairs = sorted((y, -x) for a, b in lines for y in b for x in a)  # of pairs with one later place the last earlier one comes first, so one is taken
-        return [(-pairs[i][1], pairs[i][0]) for i in _increasing([-x for _, x in pairs])]
-    out, place = [], -1
-    for y, a in sorted((y, a) for a, b in lines for y in b):
-        k = bisect_right(a, place)
-        if k < len(a):
-            place = a[k]
-            out.append((place, y))
-    return out
+    """A longest run of pairs in order between lines of which none stands once on both sides; of several the one that ends on the smallest places.
+
+    A row of the table of run lengths is the bits of one integer (a bit is 0 where the length grows), so no pair of places is listed. Every so manyth row is
+    kept and the rows between two of those are worked out again on the way back: memory grows with the places of one document times the root of the other's."""
+    xs, ys = sorted({x for a, _ in lines for x in a}), sorted({y for _, b in lines for y in b})
+    place = {x: k for k, x in enumerate(xs)}
+    said: dict[int, list[int]] = {}
+    for k, (_, b) in enumerate(lines):
+        for y in b:
+            said.setdefault(y, []).append(k)
+    full, every = (1 << len(xs)) - 1, isqrt(len(ys)) + 1
+
+    @lru_cache(max(16, (1 << 26) // (len(xs) + 8)))
+    def mask(k: int) -> int:
+        bits = bytearray(len(xs) // 8 + 1)
+        for x in lines[k][0]:
+            bits[place[x] >> 3] |= 1 << (place[x] & 7)
+        return int.from_bytes(bits, "little")
+
+    def rows(first: int, row: int) -> list[int]:
+        """The rows after line `first` of the later document and the lines that follow it up to the next one kept."""
+        out = []
+        for y in ys[first : first + every]:
+            hit = reduce(or_, map(mask, said[y]))
+            row = (row + (row & hit) | row & ~hit) & full
+            out.append(row)
+        return out
+
+    kept = [full]
+    for first in range(0, len(ys), every):
+        kept.append(rows(first, kept[-1])[-1])
+    out, i, j, first, block = [], len(xs), len(ys), len(ys), []
+
+    def row(j: int) -> int:
+        nonlocal first, block
+        if not j:
+            return full
+        if not first <= j - 1 < first + len(block):
+            first = (j - 1) // every * every
+            block = rows(first, kept[first // every])
+        return block[j - 1 - first]
+
+    while j:
+        grown = ~row(j) & ((1 << i) - 1)
+        if not grown:
+            break
+        i = grown.bit_length()
+        low, length = (1 << i) - 1, grown.bit_count()
+        while (~row(j - 1) & low).bit_count() == length:
+            j -= 1
+        i, j = i - 1, j - 1
+        out.append((xs[i], ys[j]))
+    return out[::-1]
 
 
 def align(lines: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:

@@ -107,3 +107,25 @@ def test_copies_leave_nothing(spark):
 
 def test_empty(nothing):
     assert lines.remove_lines(nothing).count() == 0 and lines.aligned_lines(nothing).count() == 0
+
+
+def test_repeated_lines_in_full():
+    """Many repeated lines align in full, whatever their number."""
+    once, often = "one line of five words", "another line of five words"
+    first, second = [once] * 500 + [often] * 2, [often] * 2 + [once] * 500
+    places = [([k for k, x in enumerate(first) if x == line], [k for k, x in enumerate(second) if x == line]) for line in (once, often)]
+    assert len(lines.align(places)) == 500
+    assert len(lines.align([(list(range(3000)), list(range(3000)))])) == 3000
+
+
+def test_repeated_lines_against_a_table():
+    r = random.Random(6)
+    for _ in range(300):
+        v = r.choice((1, 2, 4))
+        a, b = ([r.randrange(v) for _ in range(r.randrange(2, 25))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        found = lines._repeated([([k for k, x in enumerate(a) if x == t], [k for k, x in enumerate(b) if x == t]) for t in range(v) if t in a and t in b] or [([], [])])
+        assert len(found) == best[-1][-1] and all(a[x] == b[y] for x, y in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
