@@ -34,7 +34,7 @@ SHINGLE, BITS, SEED = 4, 4, 42
 WINDOWS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS, KEYED = 16, 8  # reference fingerprints; those whose distances make the keys
 BANDS, ROWS, FAR, PART = 16, 5, 28, 256  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks, texts of a key in one part
-SMALL, HOT = 48, 8192  # a run up to SMALL is compared by shifts; one above HOT is dealt out again
+SMALL, HOT, CROWD = 48, 8192, 1024  # a run up to SMALL is compared by shifts; one above HOT is dealt out again; rows of a crowded key that are compared pair by pair at a time
 
 
 def pivots() -> list[int]:
@@ -230,39 +230,51 @@ def _sketch(shingle: int):
     return one
 
 
-def _candidates(similarity: float):
-    """Of runs of fingerprints and sketches that share a band: pairs that survive the pivots' table and whose sketches agree enough.
-
-    Up to SMALL rows every pair is looked at. In a longer run a row is held against the leaders so far, and leads itself if it is like none."""
+def _alike(similarity: float):
+    """How much the sketches of pairs agree, 0 for those that the pivots' table or the fingerprints discard; and from where on a pair is a candidate."""
     refs = np.array(pivots(), np.uint64)
     enough = similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
-    words = [f"s{i}" for i in range(BANDS * ROWS // 8)]
 
-    def alike(sketch, fp, distances, i, j):
-        ok = np.abs(distances[i].astype(np.int16) - distances[j]).max(axis=1) <= FAR
-        ok &= np.bitwise_count(fp[i] ^ fp[j]) <= FAR
+    def alike(sketch: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(fp[i] ^ fp[j]) <= FAR
+        far = np.abs(np.bitwise_count(fp[i[ok], None] ^ refs).astype(np.int16) - np.bitwise_count(fp[j[ok], None] ^ refs)).max(axis=1)
+        ok[ok] = far <= FAR
         same = np.zeros(len(i))
         same[ok] = (sketch[i[ok]] == sketch[j[ok]]).mean(axis=1)
         return same
 
+    return alike, enough
+
+
+SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 8)]
+
+
+def _sketches(cols: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([cols[w] for w in SKETCH], axis=1).view(np.uint8)
+
+
+def _candidates(similarity: float):
+    """Of runs of fingerprints and sketches that share a band: pairs that survive the pivots' table and whose sketches agree enough.
+
+    Up to SMALL rows every pair is looked at. In a longer run a row is held against the leaders so far, and leads itself if it is like none; what that leaves out _across() looks at."""
+    alike, enough = _alike(similarity)
+
     def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
         n = len(starts)
         size = np.diff(np.append(starts, len(cols["rep"])))
-        fp, rep = cols["fp"].view(np.uint64), cols["rep"]
-        sketch = np.stack([cols[w] for w in words], axis=1).view(np.uint8)
-        distances = np.bitwise_count(fp[:, None] ^ refs)
+        fp, rep, sketch = cols["fp"].view(np.uint64), cols["rep"], _sketches(cols)
         run, sizes = np.repeat(np.arange(n), size), np.repeat(size, size)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=1)))):
             i = np.flatnonzero((run[d:] == run[:-d]) & (sizes[d:] <= SMALL))
-            i = i[alike(sketch, fp, distances, i, i + d) >= enough]
+            i = i[alike(sketch, fp, i, i + d) >= enough]
             a.append(i)
             b.append(i + d)
         for s in starts[size > SMALL]:
             rest = np.arange(s, s + sizes[s])
             while len(rest) > 1:
                 lead, others = rest[0], rest[1:]
-                same = alike(sketch, fp, distances, np.full(len(others), lead), others)
+                same = alike(sketch, fp, np.full(len(others), lead), others)
                 near = others[same >= enough]
                 a.append(np.full(len(near), lead))
                 b.append(near)
@@ -273,14 +285,37 @@ def _candidates(similarity: float):
     return fn
 
 
+def _across(similarity: float):
+    """Of runs of rows of one band: every pair of unlike components that survives the pivots' table and whose sketches agree enough."""
+    alike, enough = _alike(similarity)
+
+    def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
+        fp, rep, comp, sketch = cols["fp"].view(np.uint64), cols["rep"], cols["comp"], _sketches(cols)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(starts, np.append(starts[1:], len(rep)), strict=True):
+            for d in range(1, e - s):
+                i = np.arange(s, e - d)
+                i = i[comp[i] != comp[i + d]]
+                i = i[alike(sketch, fp, i, i + d) >= enough]
+                a.append(i)
+                b.append(i + d)
+        i, j = np.concatenate(a), np.concatenate(b)
+        return {"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}
+
+    return fn
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = PART) -> DataFrame:
     """doc_id, component_id for rows with a doc_id: linked are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
     So wide a link leaves about ten of a fingerprint's 64 bits different, more than windows of bits can find. Candidates therefore meet where the
-    least hashes of their shingles agree (BANDS keys of ROWS hashes each: 0.998 of pairs at 0.8, more above), a key with over `hot` texts in salted
-    parts that share its smallest doc_id. The pivots' table discards pairs of fingerprints more than FAR bits apart, a sketch of least hashes those
-    far below the similarity, and what is left is verified on the whole sets. Equal sets are one text before all this.
+    least hashes of their shingles agree (BANDS keys of ROWS hashes each: 0.998 of pairs at 0.8, more above). The pivots' table discards pairs of
+    fingerprints more than FAR bits apart, a sketch of least hashes those far below the similarity, and what is left is verified on the whole sets.
+    A key with over SMALL texts is first held against leaders, in salted parts of about `hot` texts that share its smallest doc_id. Once those links are verified, its texts that are
+    still in unlike components are compared pair by pair, dealt out as pairs of blocks: a group of copies costs no more than its leader, and no pair is lost for the key's size.
+    Equal sets are one text before all this.
     """
+    spark = docs.sparkSession
     each = map_batches(texts(docs).where("doc_id is not null"), _sketch(shingle), "doc_id long, n long, total long, mix long, fp long, keys array<long>, sketch array<long>")
     kind = ["n", "total", "mix"]
     each = cut(each)
@@ -288,13 +323,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
     keys = reps.select("rep", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("lead")).where("many > 1"))
     met = cut(keys.join(shared, "key"))
-    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * ROWS // 8)]
-    rows = met.join(reps.select("rep", "fp", *words), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / hot)).cast("long"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = reps.select("rep", "fp", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = met.join(known, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / hot)).cast("long"))
     dealt = rows.drop("many", "lead").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "rep")
-    pairs = dealt.mapInArrow(runs(["key", "salt"], ["rep", "fp", *(f"s{i}" for i in range(BANDS * ROWS // 8))], _candidates(similarity)), "a long, b long")
+    pairs = dealt.mapInArrow(runs(["key", "salt"], ["rep", "fp", *SKETCH], _candidates(similarity)), "a long, b long")
     pairs = cut(pairs.union(met.where(f"many > {hot} and rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct())
-    used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", *kind), "rep")
 
     def whole(c):
         for at, part in pieces(c["text"], 1_000_000):
@@ -302,12 +336,29 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
             own = np.array([u.sum(dtype=np.uint64) for u in found], np.uint64).view(np.int64)
             yield {"rep": c["doc_id"].slice(at, len(part)), "total": c["total"].slice(at, len(part)), "own": own, "members": pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))}
 
-    sets = texts(docs).join(used.select(F.col("rep").alias("doc_id"), "total"), "doc_id")
-    sets = cut(map_batches(sets, whole, "rep long, total long, own long, members array<long>").where("own = total").groupBy("rep").agg(F.first("members").alias("members")))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-12)).select("a", "b")
-    named = reps.join(components(links), F.col("rep") == F.col("node"), "left").select(*kind, F.coalesce("root", "rep").alias("component_id"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", *kind), "rep")
+        sets = texts(docs).join(used.select(F.col("rep").alias("doc_id"), "total"), "doc_id")
+        sets = cut(map_batches(sets, whole, "rep long, total long, own long, members array<long>").where("own = total").groupBy("rep").agg(F.first("members").alias("members")))
+        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+        both = both.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * (similarity - 1e-12))
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-12)).select("a", "b")
+
+    links = cut(verified(pairs))
+    roots = components(links)
+    crowd = met.where(f"many > {SMALL}").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    mixed = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") * 2 / CROWD).cast("long").alias("g")).where("least < most").select("key", "g")
+    crowd = cut(crowd.join(mixed, "key"))
+    if not crowd.isEmpty():
+        block = F.pmod(F.xxhash64("rep"), F.col("g"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
+        blocks = crowd.join(known, "rep").withColumn("own", block).withColumn("other", other).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+        by = ["key", "x", "y"]
+        blocks = blocks.select(*by, "rep", "comp", "fp", *SKETCH).repartition(parts, *by).sortWithinPartitions(*by, "rep")
+        more = blocks.mapInArrow(runs(by, ["rep", "comp", "fp", *SKETCH], _across(similarity), most=CROWD), "a long, b long")
+        roots = components(links.union(verified(cut(more.distinct()))))
+    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(*kind, F.coalesce("root", "rep").alias("component_id"))
     return each.join(named, kind).select("doc_id", "component_id")
 
 

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from sonalyt.llm import simhash
@@ -147,3 +148,28 @@ def test_a_large_group_of_near_copies_is_one(spark):
     df = spark.createDataFrame([(*x, "en", "s", 0) for x in rows], SCHEMA)
     assert {x.component_id for x in simhash.near_copies(df).collect()} == {0}
     assert [x.doc_id for x in simhash.keep_one(df).collect()] == [0]
+
+
+def boilerplate(n, seed):
+    """Texts of one boilerplate: unlike ones at about 0.7, twins of some above 0.8."""
+    r = random.Random(seed)
+    base, out = [f"b{k}" for k in range(100)], []
+    while len(out) < n:
+        if out and r.random() < 0.3:
+            own = list(r.choice(out))
+            own[-r.randrange(1, 4)] = f"t{r.randrange(10**9)}"
+        else:
+            own = base[:82] + [f"o{r.randrange(10**9)}" for _ in range(18)]
+        out.append(own)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("n", [49, 300])
+def test_crowded_keys_lose_no_link(spark, n):
+    said = boilerplate(n, n)
+    sets = [set(simhash.hashes(t, 5).tolist()) for t in said]
+    links = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame, hot=64).collect()}
+    want = simhash.lowest(n, *(np.array(x) for x in zip(*links, strict=True)))
+    assert len(links) > n / 3 and got == dict(enumerate(want.tolist()))
