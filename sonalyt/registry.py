@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import entities, records, reports, sources, texts, timings  # noqa: F401  register their queries
+from .plans import deadlines, entities, records, reports, sources, texts, timings  # noqa: F401  register their queries
 from .plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
