@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -65,6 +66,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let_go() -> None:
+    """Gives memory that a task has freed back to the system: a worker waits for its next task beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict[str, object] | Iterator[dict[str, object]]], schema: str) -> DataFrame:
     """fn gets the columns of each Arrow batch and returns the columns of the output, in the order of the schema, or an iterator of such parts."""
 
@@ -74,6 +84,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict[str, obj
                 out = fn(dict(zip(b.schema.names, b.columns, strict=True)))
                 for part in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_pydict(part)
+        let_go()
 
     return df.mapInArrow(run, schema)
 
@@ -140,6 +151,8 @@ def runs(keys: list[str], numbers: list[str], fn: Callable[[np.ndarray, dict[str
                 held, n = [], 0
         if held:
             yield from flush({k: np.concatenate([h[k] for h in held]) for k in held[0]})
+        held.clear()
+        let_go()
 
     return run
 

@@ -327,7 +327,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = met.join(known, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / hot)).cast("long"))
     dealt = rows.drop("many", "lead").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "rep")
-    pairs = dealt.mapInArrow(runs(["key", "salt"], ["rep", "fp", *SKETCH], _candidates(similarity)), "a long, b long")
+    pairs = dealt.mapInArrow(runs(["key", "salt"], ["rep", "fp", *SKETCH], _candidates(similarity), most=1 << 16), "a long, b long")
     pairs = cut(pairs.union(met.where(f"many > {hot} and rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct())
 
     def whole(c):
