@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from itertools import permutations
 
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def average_rank(rows: DataFrame, groups: list[str], score: str, *, descending: bool = False, name: str = "rank") -> DataFrame:
@@ -71,6 +73,49 @@ def round_robin(rows: DataFrame, count: int, strata: list[str], key: str, seed:
     return rows.withColumn("turn", turn).orderBy("turn", *strata, key).limit(count)
 
 
+def quota_take(rows: DataFrame, count: int, strata: list[str], key: str, session: str, seed: int, cap: int = 2, quota: str | None = None, quotas: dict[str, int] | None = None, tier: str | None = None, most: int = 1_000_000) -> DataFrame:
+    """rows chosen in turn, with `place` from 1: one from each stratum, in random order within it, until there are `count` or none is left.
+
+    At most `cap` rows of a session over all strata, and of each value of `quota` as many as `quotas` says (values it doesn't name: none). With `tier`, lower tiers are used up first;
+    sessions and quotas count across tiers. Strata take turns in the order of their values, nulls first; rows of one draw go by key.
+
+    The rule is sequential, but few rows can matter. Of a session's rows in one stratum only the first `cap` can be taken: after those it is full. The chosen rows fill at
+    most count / cap sessions, so a stratum passes over at most `count` rows for full sessions and takes at most `count`. The first 2 x count rows of each stratum after that cut are all
+    the rule can reach, and Spark brings those together; more than `most` fail the job. Null sessions are one session.
+    """
+    if count < 0 or cap < 1:
+        raise ValueError("count can't be negative, cap has to be positive")
+    if quota and quota not in strata:
+        raise ValueError("a quota's column has to be one of the strata")
+    tiers = [F.col(tier)] if tier else [F.lit(0)]
+    drawn = rows.select(*[c.alias(f"__t{k}") for k, c in enumerate(tiers)], *[F.col(c).alias(f"__s{k}") for k, c in enumerate(strata)], F.col(key).alias("__key"), F.col(session).alias("__session"), (F.col(quota) if quota else F.lit(None)).alias("__quota"), draw(seed, session, key).alias("__d"))
+    stratum = ["__t0", *[f"__s{k}" for k in range(len(strata))]]
+    few = drawn.withColumn("__n", F.row_number().over(Window.partitionBy(*stratum, "__session").orderBy("__d", "__key"))).where(F.col("__n") <= cap)
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(*stratum).orderBy("__d", "__key"))).where(F.col("__n") <= 2 * count).limit(most + 1)
+    waiting: dict[tuple, list] = {}
+    for k, r in enumerate(few.orderBy(*stratum, "__n").collect()):
+        if k == most:
+            raise ValueError(f"more than {most} rows can be reached")
+        waiting.setdefault((r["__t0"], *[r[c] for c in stratum[1:]]), []).append(r)
+    chosen, of_session, of_quota = [], Counter(), Counter()
+    for level in dict.fromkeys(t for t, *_ in waiting):
+        open_ = [iter(v) for (t, *_), v in waiting.items() if t == level]
+        while open_ and len(chosen) < count:
+            taken = []
+            for stream in open_:
+                if len(chosen) == count:
+                    break
+                found = next((r for r in stream if of_session[r["__session"]] < cap and (quotas is None or of_quota[r["__quota"]] < quotas.get(r["__quota"], 0))), None)
+                if found is not None:
+                    chosen.append(found["__key"])
+                    of_session[found["__session"]] += 1
+                    of_quota[found["__quota"]] += 1
+                    taken.append(stream)
+            open_ = taken
+    places = rows.sparkSession.createDataFrame([(k, n) for n, k in enumerate(chosen, 1)], T.StructType([T.StructField("__key", rows.schema[key].dataType), T.StructField("place", T.IntegerType())]))
+    return rows.join(F.broadcast(places), F.col(key) == F.col("__key")).drop("__key")
+
+
 def majority(votes: DataFrame, item: list[str], label: str, severity: list[str]) -> DataFrame:
     """The most frequent label; of equals the one first in severity."""
     place = F.coalesce(reduce(lambda a, x: a.when(F.col(label) == x[1], x[0]), enumerate(severity), F.when(F.lit(False), -1)), F.lit(len(severity)))
@@ -153,31 +198,76 @@ def strengths(won: np.ndarray, rounds: int = 1000, close: float = 1e-10) -> np.n
     return p
 
 
-def bradley_terry(verdicts: DataFrame, replicates: int = 200, seed: int = 0, most: int = 1000) -> DataFrame:
-    """system, strength, low, high: intervals from replicates that weight each prompt by a Poisson(1) draw on a hash of it.
+CLUSTER = 1024  # prompts of a block
+
+
+def draws(total: int, sizes: np.ndarray, block: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each of a block's prompts is drawn in each replicate, when every replicate draws `total` prompts out of all blocks (sizes: prompts of each) with replacement.
 
-    A replicate's matrix of wins is an aggregate, one row for each ordered pair of systems; replicates are fitted in parallel.
+    A replicate's draws are split down a tree of block ranges by binomial draws with the ranges' shares, then among the block's prompts; each node's generator is seeded by
+    the replicate and the node, so blocks agree on what they share without seeing each other, and all counts of a replicate add up to `total`."""
+    upto = np.append(0, np.cumsum(sizes))
+    out = np.zeros((replicates, int(sizes[block])), np.int64)
+    for r in range(replicates):
+        low, high, n = 0, len(sizes), total
+        while high - low > 1:
+            middle = (low + high) // 2
+            left = np.random.default_rng([seed, r, low, high]).binomial(n, (upto[middle] - upto[low]) / max(1, upto[high] - upto[low]))
+            low, high, n = (low, middle, left) if block < middle else (middle, high, n - left)
+        if sizes[block]:
+            out[r] = np.random.default_rng([seed, r, block]).multinomial(n, np.full(int(sizes[block]), 1 / sizes[block]))
+    return out
+
+
+def bradley_terry(verdicts: DataFrame, replicates: int = 200, seed: int = 0, most: int = 1000, most_blocks: int = 1_000_000) -> DataFrame:
+    """system, strength, low, high, wins (a tie is half a one), games: intervals from replicates that draw as many prompts as there are, with replacement.
+
+    Prompts are dealt out into blocks of about CLUSTER by hash; a block's matrices of wins, one for each replicate, are made where its verdicts are and summed by Spark, and replicates are fitted in
+    parallel. Nothing is known about all prompts in one place but the blocks' sizes. Rows without winner or prompt_id don't count; equal rows count each.
     """
-    usable = verdicts.where("winner is not null")
+    usable = verdicts.where("winner is not null and prompt_id is not null")
     systems = [r[0] for r in usable.select(F.explode(F.array("first", "second")).alias("s")).distinct().orderBy("s").limit(most + 1).collect()]
     if len(systems) > most:
         raise ValueError(f"more than {most} systems")
-    by_prompt = wins_by(usable, ["prompt_id"])
-    u = F.pmod(F.xxhash64("prompt_id", "replicate", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    steps = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) if k else np.exp(-1.0) for k in range(8)])
-    weight = reduce(lambda a, k: a + (u >= float(k)).cast("double"), steps, F.lit(0.0))
-    weighted = by_prompt.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("w", F.when(F.col("replicate") < 0, 1.0).otherwise(weight))
-    matrices = weighted.groupBy("replicate", "system", "other").agg(F.sum(F.col("w") * F.col("wins")).alias("wins"))
-    place = {s: i for i, s in enumerate(systems)}
+    prompts = usable.select("prompt_id").distinct()
+    total = prompts.count()
+    if total > most_blocks * CLUSTER:
+        raise ValueError(f"more than {most_blocks} blocks of prompts")
+    blocks = max(1, -(-total // CLUSTER))
+    of = F.pmod(F.xxhash64("prompt_id"), F.lit(blocks)).cast("int").alias("block")
+    sizes = np.zeros(blocks, np.int64)
+    for block, n in prompts.groupBy(of).count().collect():
+        sizes[block] = n
+    place, n = {s: i for i, s in enumerate(systems)}, len(systems)
+
+    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        counts = np.vstack([np.ones(int(sizes[block]), np.int64), draws(total, sizes, block, replicates, seed)])
+        prompt = pd.factorize(pdf["prompt_id"], sort=True)[0]
+        pair = (pdf["system"].map(place) * n + pdf["other"].map(place)).to_numpy()
+        used, at = np.unique(pair, return_inverse=True)
+        own = np.zeros((counts.shape[1], len(used)))
+        np.add.at(own, (prompt, at), pdf["wins"].to_numpy())
+        summed = counts @ own
+        replicate = np.repeat(np.arange(-1, replicates), len(used))
+        return pd.DataFrame({"replicate": replicate, "pair": np.tile(used, replicates + 1), "wins": summed.ravel()})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((len(place), len(place)))
-        m[pdf["system"].map(place), pdf["other"].map(place)] = pdf["wins"]
-        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "system": list(place), "strength": strengths(m)})
+        m = np.zeros(n * n)
+        m[pdf["pair"]] = pdf["wins"]
+        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "system": list(place), "strength": strengths(m.reshape(n, n))})
 
-    fitted = matrices.groupBy("replicate").applyInPandas(fit, "replicate int, system string, strength double")
+    by_prompt = wins_by(usable, ["prompt_id"])
+    summed = by_prompt.select(of, "*").groupBy("block").applyInPandas(matrices, "replicate int, pair long, wins double").groupBy("replicate", "pair").agg(F.sum("wins").alias("wins"))
+    fitted = summed.groupBy("replicate").applyInPandas(fit, "replicate int, system string, strength double")
     drawn = F.when(F.col("replicate") >= 0, F.col("strength"))
-    return fitted.groupBy("system").agg(F.max(F.when(F.col("replicate") < 0, F.col("strength"))).alias("strength"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high")).orderBy(F.desc("strength"), "system")
+    table = fitted.groupBy("system").agg(F.max(F.when(F.col("replicate") < 0, F.col("strength"))).alias("strength"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+    return table.join(records(usable), "system", "left").orderBy(F.desc("strength"), "system")
+
+
+def records(verdicts: DataFrame) -> DataFrame:
+    """system, wins (a tie is half a one), games."""
+    return wins_by(verdicts.where("winner is not null"), []).groupBy("system").agg(F.sum("wins").alias("wins"), F.sum("games").alias("games"))
 
 
 def separated(scores: DataFrame) -> DataFrame:

@@ -179,3 +179,13 @@ def listed_videos(lines: DataFrame) -> DataFrame:
     rows = lines.select(parts.alias("p")).where(F.col("p")[0].rlike("^[0-9]+$"))
     rows = rows.select(F.get(F.filter("p", lambda x: x.rlike(r"^[a-z0-9]+://.*\.mp4$")), 0).alias("uri"), F.col("p")[0].cast("long").alias("size")).where("uri is not null")
     return rows.select(session_id(F.col("uri")).alias("session_id"), F.element_at(F.split("uri", "/"), -1).alias("filename"), "uri", "size").orderBy("session_id", "filename", "uri")
+
+
+def pilot_rows(chosen: DataFrame, folder: str, stem: Column | None = None) -> DataFrame:
+    """Lines of a pilot manifest, in the order of `place`: id of session and file, as files of several sessions share names; the clip by its path from `folder` where it lies within it.
+
+    chosen: session_id, clip_path, language, duration, source, place. stem: what names a file, else its name without ending."""
+    name = F.regexp_extract("clip_path", r"([^/]*?)(\.[^./]*)?$", 1) if stem is None else stem
+    prefix = F.lit(folder.rstrip("/") + "/")
+    clip = F.when(F.startswith(F.col("clip_path"), prefix), F.substr("clip_path", F.length(prefix) + 1)).otherwise(F.col("clip_path"))
+    return chosen.orderBy("place").select(F.concat_ws("-", "session_id", name).alias("id"), clip.alias("clip"), F.col("session_id").alias("session"), "language", F.col("duration").alias("duration_s"), "source")

@@ -52,9 +52,9 @@ _ORDER = """concat('call me at ', {amount}, ' on may ', {inside}, day, ' about r
 _PLAIN = {"amount": "concat('$', 100 + amount)", "inside": "''", "id": "concat(' x', item, 'y')"}
 _LANES = {"a": _PLAIN, "b": _PLAIN | {"amount": "concat('$', 100 + amount + case when day % 2 = 0 then 1 else 0 end)"}, "c": _PLAIN | {"inside": "case when day % 3 = 1 then 'um ' else '' end", "id": "case when k % 3 = 0 then '' else concat(' x', item, 'y') end"}}
 _MARKS = {"currency": "[cast(100 + amount as varchar), 'dollars']", "date": "['may', cast(day as varchar)]", "id": "[concat('x', item, 'y')]", "number": "[cast(3000 + lots as varchar)]"}
-_ORDERS = " union all ".join(f"select '{lane}' as provider, k, day, item, lots, amount, {_ORDER.format(**said)} as text from ({_CALLS.format(customer='customer')}) as t" for lane, said in _LANES.items())
+ORDERS = " union all ".join(f"select '{lane}' as provider, k, day, item, lots, amount, {_ORDER.format(**said)} as text, {_ORDER.format(**_PLAIN)} as reference from ({_CALLS.format(customer='customer')}) as t" for lane, said in _LANES.items())
 #: tokens of a reference are all different here, so a token that isn't heard is an error of its class: a deletion if fewer words were heard than said
-_SCORED = f"""with o as ({_ORDERS}), h as (select *, string_split(regexp_replace(text, '[$]([0-9]+)', '\\1 dollars'), ' ') as w from o where k % 5 <> 0),
+SCORED = f"""with o as ({ORDERS}), h as (select *, string_split(regexp_replace(text, '[$]([0-9]+)', '\\1 dollars'), ' ') as w from o where k % 5 <> 0),
   c as ({" union all ".join(f"select provider, '{c}' as class, w, {m} as m, k, day from h" for c, m in _MARKS.items())}),
   e as (select provider, class, k, day, len(list_filter(m, lambda x: not list_contains(w, x))) as gone, len(m) as tokens, case when len(m) = 2 and list_contains(w, m[1]) and list_contains(w, m[2]) then list_position(w, m[2]) - list_position(w, m[1]) - 1 else 0 end as put_in from c)"""
 
@@ -67,7 +67,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_SCORED} select provider, 'stream' as mode, 'en-US' as language, class, count(*) as occurrences, count(*) filter (where gone = 0 and put_in = 0) as exact, cast(coalesce(sum(gone) filter (where class <> 'id'), 0) as bigint) as substitutions, cast(coalesce(sum(gone) filter (where class = 'id'), 0) as bigint) as deletions,
+    f"""{SCORED} select provider, 'stream' as mode, 'en-US' as language, class, count(*) as occurrences, count(*) filter (where gone = 0 and put_in = 0) as exact, cast(coalesce(sum(gone) filter (where class <> 'id'), 0) as bigint) as substitutions, cast(coalesce(sum(gone) filter (where class = 'id'), 0) as bigint) as deletions,
   cast(sum(put_in) as bigint) as insertions, cast(sum(tokens) as bigint) as tokens, round(sum(gone + put_in) / sum(tokens), 6) as error_rate, round(count(*) filter (where gone = 0 and put_in = 0) / count(*), 6) as exact_rate from e group by provider, class"""
 )
 def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.by_class(scores.with_scores(orders(spark, sf_dir))))
 
 
-@query(f"{_SCORED}, f as (select provider, k, day, bool_or(gone > 0 or put_in > 0) as damaged from e group by all) select provider, damaged, count(*) as clips from f group by all union all select provider, null, count(*) from o where k % 5 = 0 group by provider")
+@query(f"{SCORED}, f as (select provider, k, day, bool_or(gone > 0 or put_in > 0) as damaged from e group by all) select provider, damaged, count(*) as clips from f group by all union all select provider, null, count(*) from o where k % 5 = 0 group by provider")
 def entity_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a clip's entities came through, by lane; null for clips that failed."""
     told = scores.with_scores(orders(spark, sf_dir))
@@ -83,7 +83,7 @@ def entity_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_SCORED}, t as (select provider, class, sum(gone + put_in) / sum(tokens) as err, count(*) filter (where gone = 0 and put_in = 0) / count(*) as exact from e group by all)
+    f"""{SCORED}, t as (select provider, class, sum(gone + put_in) / sum(tokens) as err, count(*) filter (where gone = 0 and put_in = 0) / count(*) as exact from e group by all)
   select provider, 'stream' as mode, 'en-US' as language, {", ".join(f"round(max({k}) filter (where class = '{c}'), 6) as \"ent_{k}[{c}]\"" for c in _MARKS for k in ("err", "exact"))} from t group by provider"""
 )
 def entity_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
