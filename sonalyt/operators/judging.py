@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import languages
+from ..functions.align import alignment
+from ..functions.similarity import cosine
 from .ranking import majority
 
 
@@ -61,3 +64,21 @@ def mean_score_alerts(scores: DataFrame, baseline: DataFrame, drop: float = 0.3)
     now = scores.groupBy("provider").agg(F.count("*").alias("clips"), F.avg("score").alias("mean"))
     both = now.join(baseline.select("provider", F.col("mean").alias("baseline")), "provider", "left").withColumn("delta", F.col("mean") - F.col("baseline"))
     return both.withColumn("alert", F.coalesce(F.col("delta") < -drop, F.lit(False)))
+
+
+def segment_similarity(rows: DataFrame, vectors: DataFrame, key: list[str]) -> DataFrame:
+    """key and similarity in [0, 1]: segments of the alignment weighted by their longer side; equal ones count 1, deleted and inserted ones 0, substituted ones the cosine of their two texts' vectors.
+
+    rows: key, reference, text, language; vectors: text (tokens joined by a space), vector. Two empty texts are alike (1), an empty one and another aren't (0). A segment whose vector is missing, null or
+    zero counts 0, and so does a negative cosine. Vectors are joined by text, so encoders stay outside."""
+    tokens = [languages.tokens(languages.normalize(F.coalesce(c, F.lit("")), F.col("language")), F.col("language")) for c in ("reference", "text")]
+    told = rows.select(*key, tokens[0].alias("r"), tokens[1].alias("h"))
+    each = told.select(*key, "r", "h", F.explode_outer(alignment("r", "h")).alias("s"))
+    side = lambda t, a, b: F.array_join(F.slice(t, F.col(f"s.{a}") + 1, F.col(f"s.{b}") - F.col(f"s.{a}")), " ")
+    weight = F.greatest(F.col("s.ref_to") - F.col("s.ref_from"), F.col("s.hyp_to") - F.col("s.hyp_from"))
+    swapped = F.col("s.kind") == "substitute"
+    parts = each.select(*key, F.col("s.kind").alias("kind"), weight.alias("weight"), F.when(swapped, side("r", "ref_from", "ref_to")).alias("left_text"), F.when(swapped, side("h", "hyp_from", "hyp_to")).alias("right_text"))
+    known = vectors.dropDuplicates(["text"])
+    both = parts.join(known.select(F.col("text").alias("left_text"), F.col("vector").alias("x")), "left_text", "left").join(known.select(F.col("text").alias("right_text"), F.col("vector").alias("y")), "right_text", "left")
+    score = F.when(F.col("kind") == "equal", 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("x"), F.col("y")))), F.lit(0.0)))
+    return both.groupBy(*key).agg(F.coalesce(F.sum(F.col("weight") * score) / F.sum("weight"), F.lit(1.0)).alias("similarity"))

@@ -307,3 +307,10 @@ def gate(rows: DataFrame, system: str, a: str, b: str, threshold: float = 0.8, m
     verdict = "pending" if len(got) < 3 else "uncomputable" if rho is None else "pass" if rho >= threshold else "fail"
     p = None if rho is None else permutation_p(x, y)
     return rows.sparkSession.createDataFrame([(len(got), rho, p, verdict)], "systems long, rho double, p double, verdict string")
+
+
+def divergence(rows: DataFrame, system: str, a: str, b: str) -> DataFrame:
+    """Where two rankings of systems part: system, both scores with their average ranks (a: higher is better, b: lower; nulls last), and the difference, the largest first."""
+    keyed = rows.select(F.col(system).alias("system"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(0).alias("__g"))
+    ranked = average_rank(average_rank(keyed, ["__g"], "a", descending=True, name="rank_a"), ["__g"], "b", name="rank_b")
+    return ranked.select("system", "a", "b", "rank_a", "rank_b", (F.col("rank_a") - F.col("rank_b")).alias("delta")).orderBy(F.desc(F.abs("delta")), "system")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
+from ..functions.slots import extracted
 from .lanes import LANE, keep_last
 
 
@@ -97,6 +98,13 @@ def task_success(turns: DataFrame, results: DataFrame, correct: Column) -> DataF
     return both.groupBy("provider", "entity").agg(F.count("*").alias("scorable"), F.count(F.when(good, 1)).alias("correct"), F.count("error").alias("failures"), F.avg(good.cast("double")).alias("success"))
 
 
+def slot_success(turns: DataFrame, results: DataFrame) -> DataFrame:
+    """task_success() of slots: turns (clip_id, entity, written, language) whose value a lane's text (provider, clip_id, text, error) has."""
+    both = results.join(turns.select("clip_id", "written", "language", F.col("entity").alias("class")), "clip_id")
+    found = both.withColumn("value", extracted(F.col("class"), F.col("written"), F.col("text"), F.col("language"))).select("provider", "clip_id", "error", "value")
+    return task_success(turns.select("clip_id", "entity"), found, F.col("value").isNotNull())
+
+
 def arena_pairs(prompts: DataFrame, systems: DataFrame, aspects: list[str], missing: DataFrame) -> DataFrame:
     """What judges are asked: each pair of systems for each prompt and aspect, in both orders, unless a recording is missing (prompt_id, system).
 

@@ -171,3 +171,45 @@ def wav_headers(files: DataFrame) -> DataFrame:
     return files.withColumns(kept).withColumn("seconds", F.col("data_bytes") / (F.col("sample_rate") * F.col("channels") * F.col("bits") / 8)).drop("content")
 
 
+
+
+SUITE = "prompt_id string, text string, language string, category string, license string, source string, annotated string, entity_class string"
+
+
+def read_suite(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts of a suite with their origin (JSON lines); a line that isn't JSON or lacks one of the first six fields fails the job."""
+    rows = spark.read.schema(SUITE).option("mode", "FAILFAST").json(path)
+    for name in SUITE.split(", ")[:6]:
+        name = name.split()[0]
+        rows = rows.withColumn(name, F.coalesce(name, F.raise_error(F.lit(f"{path}: a prompt without {name}")).cast("string")))
+    return rows
+
+
+def write_suite(rows: DataFrame, path: str) -> None:
+    """Lines with every field, nulls too."""
+    rows.select(*[x.split()[0] for x in SUITE.split(", ")]).write.option("ignoreNullFields", False).json(path)
+
+
+def write_prompt_text(rows: DataFrame, path: str, order: str = "prompt_id") -> None:
+    """The texts alone, one on each line in order, blank ones left out; in parts that follow each other by name."""
+    rows.where(F.trim("text") != "").repartitionByRange(order).sortWithinPartitions(order).select(F.trim(F.regexp_replace("text", r"\s*\R\s*", " ")).alias("value")).write.text(path)
+
+
+#: kinds of slots and the class that each has unless it names another (fixed values)
+SLOT_KINDS = {"person": "name", "company": "name", "phone": "number", "small_count": "number", "amount": "currency", "date": "date", "code": "id"}
+SCENARIO = "id string, language string, description string, slots array<struct<name: string, kind: string, entity: string, question: string>>"
+
+
+def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """Scenarios (JSON documents) as a row for each slot: scenario_id, language, description, place, name, kind, entity, question.
+
+    A scenario without id or slots, a slot without name or question, an unknown kind or class fails the job."""
+    rows = spark.read.schema(SCENARIO).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    said = F.coalesce("id", F.lit("?"))
+    named = F.when((F.coalesce("id", F.lit("")) == "") | (F.coalesce(F.size("slots"), F.lit(0)) < 1), F.raise_error(F.concat(F.lit("a scenario needs an id and slots: "), said)).cast("string")).otherwise(F.col("id"))
+    each = rows.select(named.alias("scenario_id"), F.coalesce("language", F.lit("en-US")).alias("language"), F.coalesce("description", F.lit("")).alias("description"), F.posexplode_outer("slots").alias("place", "s"))
+    default = F.element_at(F.create_map(*[F.lit(x) for pair in SLOT_KINDS.items() for x in pair]), F.col("s.kind"))
+    entity = F.coalesce(F.nullif("s.entity", F.lit("")), default)
+    bad = default.isNull() | ~F.coalesce(entity.isin(*dict.fromkeys(SLOT_KINDS.values())), F.lit(False)) | (F.coalesce("s.name", F.lit("")) == "") | (F.coalesce("s.question", F.lit("")) == "")
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not a slot: "), F.to_json("s"))).cast("string")).otherwise(entity)
+    return each.select("scenario_id", "language", "description", "place", "s.name", "s.kind", checked.alias("entity"), "s.question")
