@@ -9,6 +9,7 @@ from ..functions import languages
 from ..functions.align import alignment
 from ..functions.similarity import cosine
 from .ranking import majority
+from .transcripts import KINDS, with_edit_kinds
 
 
 def cross_family_rate(rows: DataFrame, families: DataFrame, threshold: float = 0.02) -> DataFrame:
@@ -82,3 +83,30 @@ def segment_similarity(rows: DataFrame, vectors: DataFrame, key: list[str]) -> D
     both = parts.join(known.select(F.col("text").alias("left_text"), F.col("vector").alias("x")), "left_text", "left").join(known.select(F.col("text").alias("right_text"), F.col("vector").alias("y")), "right_text", "left")
     score = F.when(F.col("kind") == "equal", 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("x"), F.col("y")))), F.lit(0.0)))
     return both.groupBy(*key).agg(F.coalesce(F.sum(F.col("weight") * score) / F.sum("weight"), F.lit(1.0)).alias("similarity"))
+
+
+def judge_counts(rows: DataFrame) -> DataFrame:
+    """provider, mode, judge and edits by kind of what judges heard, over warm runs without an error that a judge answered.
+
+    rows: provider, mode, language, reference, error, cold, roundtrip (array of provider, text, error). A null roundtrip is none; a null text of a judge without an error is an empty one."""
+    warm = rows.where("error is null and not coalesce(cold, false)").select("provider", "mode", "language", "reference", F.explode("roundtrip").alias("j"))
+    heard = warm.where("j.error is null and j.provider is not null").select("provider", "mode", "language", "reference", F.col("j.provider").alias("judge"), F.coalesce("j.text", F.lit("")).alias("text"))
+    return with_edit_kinds(heard).groupBy("provider", "mode", "judge").agg(F.count("*").alias("clips"), *[F.sum(k).alias(k) for k in KINDS])
+
+
+def roundtrip_table(counts: DataFrame, families: DataFrame, threshold: float = 0.02) -> DataFrame:
+    """One row per provider and mode: the rate pooled over judges of other families, whether judges' rates lie further apart than threshold, and for each judge in the data its
+    rate and whether it is of the provider's own family. families: key, family; a key without one is its own."""
+    own = families.select(F.col("key").alias("provider"), F.col("family").alias("of"))
+    theirs = families.select(F.col("key").alias("judge"), F.col("family").alias("judge_of"))
+    told = counts.join(own, "provider", "left").join(theirs, "judge", "left").withColumn("same", F.coalesce("of", "provider") == F.coalesce("judge_of", "judge"))
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    told = told.withColumn("errors", errors).withColumn("rate", F.col("errors") / F.nullif(F.col("reference_length"), F.lit(0)))
+    pooled = F.sum(F.when(~F.col("same"), F.col("errors"))) / F.nullif(F.sum(F.when(~F.col("same"), F.col("reference_length"))), F.lit(0))
+    apart = (F.count("rate") >= 2) & (F.max("rate") - F.min("rate") > threshold)
+    ranked = told.groupBy("provider", "mode").agg(pooled.alias("roundtrip_error_rate"), apart.alias("diverged"))
+    judges = [r[0] for r in counts.select("judge").distinct().orderBy("judge").limit(1001).collect()]
+    if len(judges) > 1000:
+        raise ValueError("more than 1000 judges can't be columns")
+    cells = told.groupBy("provider", "mode").pivot("judge", judges).agg(F.first("rate").alias("rate"), F.first("same").alias("same"))
+    return ranked.join(cells.select("provider", "mode", *[F.col(f"`{j}_{k}`").alias(f"rt[{j}]" if k == "rate" else f"rt_own[{j}]") for j in judges for k in ("rate", "same")]), ["provider", "mode"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ..operators import judging
 from ..operators.report import SECTIONS, TEXT_SECTIONS, report, text_report
 from ..sources import runs as R
 from .entities import ORDERS, SCORED, orders
@@ -64,3 +65,21 @@ _OF = {"entities": "class", "hallucinations": "condition"}
 def text_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a run from its texts and events in one job."""
     return rounded(text_report(calls(spark, sf_dir), (0.35, 0.65)), 4)
+
+
+_FAMILY = {"tts0": "x", "tts1": "y", "ja": "x", "jb": "y"}
+_JUDGED = f"""with o as ({ORDERS}), p as (select concat('tts', cast(k % 3 as string)) as provider, concat('j', provider) as judge, k, reference, text from o)"""
+
+
+@query(
+    f"""{_JUDGED.replace("as string", "as varchar")}, w as (select *, string_split(regexp_replace(text, '[$]([0-9]+)', '\\1 dollars'), ' ') as h, string_split(regexp_replace(reference, '[$]([0-9]+)', '\\1 dollars'), ' ') as r from p where k % 5 <> 0 and k % 11 <> 0 and not (judge = 'jc' and k % 2 = 0)),
+  c as (select provider, judge, sum((c // {_S}) % 16384 + (c // {_D}) % 16384 + c % 16384) as e, sum(n) as n, any_value(provider = 'tts0' and judge = 'ja' or provider = 'tts1' and judge = 'jb') as same from (select *, {kinds("r", "h")} as c, len(r) as n from w) group by all)
+  select provider, 'batch' as mode, round(sum(e) filter (where not same) / sum(n) filter (where not same), 6) as roundtrip_error_rate, max(e / n) - min(e / n) > 0.02 as diverged, {", ".join(f'round(max(e / n) filter (where judge = {j!r}), 6) as "rt[{j}]", bool_or(same) filter (where judge = {j!r}) as "rt_own[{j}]"' for j in ("ja", "jb", "jc"))} from c group by provider"""
+)
+def roundtrip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What judges heard of synthesised prompts: pooled over other families, with a column for each judge that the data has."""
+    said = orders(spark, sf_dir).withColumns({"judge": F.concat(F.lit("j"), "provider"), "provider": F.concat(F.lit("tts"), (F.col("k") % 3).cast("string"))}).where("not (judge = 'jc' and k % 2 = 0)")
+    runs = said.groupBy("provider", "language", "reference", "error", "k").agg(F.collect_list(F.struct(F.col("judge").alias("provider"), "text", F.lit(None).cast("string").alias("error"))).alias("roundtrip"))
+    runs = runs.select("*", F.lit("batch").alias("mode"), (F.col("k") % 11 == 0).alias("cold"))
+    families = spark.createDataFrame(list(_FAMILY.items()), "key string, family string")
+    return rounded(judging.roundtrip_table(judging.judge_counts(runs), families))
