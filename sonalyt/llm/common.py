@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,17 +23,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Where it is unset one is made if all run on this machine, as in tests; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, without lineage."""
     shared_folder(df.sparkSession)
