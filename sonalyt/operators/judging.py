@@ -110,3 +110,10 @@ def roundtrip_table(counts: DataFrame, families: DataFrame, threshold: float = 0
         raise ValueError("more than 1000 judges can't be columns")
     cells = told.groupBy("provider", "mode").pivot("judge", judges).agg(F.first("rate").alias("rate"), F.first("same").alias("same"))
     return ranked.join(cells.select("provider", "mode", *[F.col(f"`{j}_{k}`").alias(f"rt[{j}]" if k == "rate" else f"rt_own[{j}]") for j in judges for k in ("rate", "same")]), ["provider", "mode"])
+
+
+def compared_in_full(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """compare() of two tables that have to hold the same keys; a key that only one has fails the job."""
+    told = compare(left, right, keys, value)
+    off = F.when(F.col("one_sided") > 0, F.raise_error(F.concat(F.lit("keys that only one of the two tables has: "), F.col("one_sided").cast("string"))).cast("long")).otherwise(F.col("one_sided"))
+    return told.withColumn("one_sided", off)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tags
+
 LANE = ("provider", "mode")
 
 
@@ -110,3 +112,35 @@ def snr_curve(rows: DataFrame) -> DataFrame:
         F.count("*").alias("levels"), F.sum("failures").alias("failures"), F.when(F.count("*") >= 2, F.sum("area") / F.nullif(F.max("snr_level") - F.min("snr_level"), F.lit(0))).alias("auc"),
         (F.min_by("finalize_p50", "snr_level") - F.max_by("finalize_p50", "snr_level")).alias("degradation_s"),
     ).orderBy(*LANE)
+
+
+def judgeable(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows that a judge can be asked about: no error, a reference that isn't blank and was checked; the last of each lane's clip by `order`. A null gold_status counts as checked."""
+    blank = F.trim(F.coalesce("reference", F.lit(""))) == ""
+    return keep_last(rows.where(scored(rows) & ~blank), ["provider", "mode", "clip_id"], order)
+
+
+def snr_summary(rows: DataFrame, fallback: str = "en-US") -> DataFrame:
+    """By lane and language, of clips at a noise level (snr+05-...) and over a telephone line (tel8k-...): levels, failures, area under the error rates, change of finalisation, and the line's error rate.
+
+    rows: provider, mode, language, clip_id, error, substitutions, deletions, insertions, reference_length, finalize_s (counts null without a reference). Failures on the line don't count; other clips aren't
+    looked at. A lane with one level has no area."""
+    named = rows.withColumns({"language": F.coalesce(F.nullif("language", F.lit("")), F.lit(fallback)), "level": tags.snr_level(F.col("clip_id")), "line": F.startswith(F.col("clip_id"), F.lit("tel8k-"))})
+    keys = [*LANE, "language"]
+    ok, errors = F.col("error").isNull(), F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    told = named.where("level is not null or line")
+    by_level = told.where(~F.col("line")).groupBy(*keys, "level").agg(
+        rate(F.when(ok, errors), F.when(ok, F.col("reference_length"))).alias("error_rate"), exact(F.when(ok, F.col("finalize_s")), 0.5).alias("finalize_p50"), F.count(F.when(~ok, 1)).alias("failures"), F.count(F.when(ok, F.col("reference_length"))).alias("n")
+    )
+    w = Window.partitionBy(*keys).orderBy("level")
+    known = by_level.where("error_rate is not null").withColumn("area", (F.col("error_rate") + F.lead("error_rate").over(w)) / 2 * (F.lead("level").over(w) - F.col("level")))
+    curve = known.groupBy(*keys).agg(F.count("*").alias("levels"), F.when(F.count("*") >= 2, F.sum("area") / (F.max("level") - F.min("level"))).alias("auc"))
+    timed = by_level.groupBy(*keys).agg(
+        F.sum("failures").alias("failures"),
+        (F.min_by("finalize_p50", F.when(F.col("finalize_p50").isNotNull(), F.col("level"))) - F.max_by("finalize_p50", F.when(F.col("finalize_p50").isNotNull(), F.col("level")))).alias("finalize_change_s"),
+    )
+    line = told.where("line").groupBy(*keys).agg(F.count("*").alias("line_clips"), rate(F.when(ok, errors), F.when(ok, F.col("reference_length"))).alias("line_error_rate"))
+    out = told.select(*keys).distinct()
+    for part in (timed, curve, line):
+        out = out.join(part, keys, "left")
+    return out.fillna(0, ["levels", "failures", "line_clips"]).orderBy("language", *LANE)

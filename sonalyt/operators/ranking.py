@@ -314,3 +314,8 @@ def divergence(rows: DataFrame, system: str, a: str, b: str) -> DataFrame:
     keyed = rows.select(F.col(system).alias("system"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(0).alias("__g"))
     ranked = average_rank(average_rank(keyed, ["__g"], "a", descending=True, name="rank_a"), ["__g"], "b", name="rank_b")
     return ranked.select("system", "a", "b", "rank_a", "rank_b", (F.col("rank_a") - F.col("rank_b")).alias("delta")).orderBy(F.desc(F.abs("delta")), "system")
+
+
+def mean_agreement(pairs: DataFrame) -> DataFrame:
+    """One row: pairs of raters, the mean of their shares of equal labels and of their kappas, each pair counting alike; null without a pair. pairs: rater_a, rater_b, observed, kappa."""
+    return pairs.agg(F.count("*").alias("pairs"), F.avg("observed").alias("observed"), F.avg("kappa").alias("kappa"))

@@ -6,9 +6,11 @@ hundred bytes each, so a recording is never in one task as a whole once it is cu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,3 +62,19 @@ def rate_changed(cut: DataFrame, key: list[str], rate: int, new_rate: int) -> Da
 def telephone(cut: DataFrame, key: list[str], rate: int) -> DataFrame:
     """Recordings as a telephone line leaves them: to 8,000 samples a second and back."""
     return cut if rate == TELEPHONE else rate_changed(rate_changed(cut, key, rate, TELEPHONE), key, TELEPHONE, rate)
+
+
+def pair_audio(first: str, second: str, rate: int, gap_s: float = 0.8) -> Column:
+    """Two recordings in a row with silence between, null if either is."""
+    silence = F.unhex(F.repeat(F.lit("0000"), F.lit(int(rate * gap_s))))
+    return F.when(F.col(first).isNotNull() & F.col(second).isNotNull(), F.concat(F.col(first), silence, F.col(second)))
+
+
+def with_score(files: DataFrame, content: str, score: Callable[[bytes], float | None], name: str = "score") -> DataFrame:
+    """files with what a function of a recording's bytes says of it; it runs on Arrow batches beside the data. A null recording has no score."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else score(bytes(b)) for b in batch], dtype=float)
+
+    return files.withColumn(name, run(content))

@@ -130,3 +130,24 @@ def agreement_matrix(cells: DataFrame, language: str = "all") -> DataFrame:
     chosen = cells.where((F.col("language") == language) | F.col("language").isNull()).select("lane_a", "lane_b", "disagreement")
     both = chosen.union(chosen.select("lane_b", "lane_a", "disagreement"))
     return both.groupBy(F.col("lane_a").alias("lane")).pivot("lane_b").agg(F.first("disagreement"))
+
+
+def kept_sentences(lines: DataFrame, text: str, order: list[str], words: tuple[int, int] = (4, 40), letters: tuple[int, int] = (8, 100)) -> DataFrame:
+    """Distinct trimmed lines of fitting length, the first of each language by `order`: in words, or without spaces in characters where the language is scored so."""
+    said = lines.withColumn(text, F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")))
+    size = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    bare = F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))
+    known = F.coalesce(by_character(F.col("language")), F.lit(False))
+    fits = F.when(known, bare.between(*letters)).otherwise(size.between(*words))
+    return said.where(fits).groupBy("language", text).agg(F.min(F.struct(*order)).alias("__first")).select("language", text, "__first.*")
+
+
+def write_agreement(cells: DataFrame, path: str) -> None:
+    """The cells as JSON lines, and below matrix/ a symmetric matrix for each language, as JSON lines with nulls."""
+    cells.write.option("ignoreNullFields", False).json(f"{path}/pairs")
+    named = cells.where("language is not null").select("language", "lane_a", "lane_b", "disagreement")
+    lanes = cells.select(F.col("lane_a").alias("lane")).union(cells.select("lane_b")).distinct()
+    both = named.union(named.select("language", "lane_b", "lane_a", "disagreement"))
+    full = named.select("language").distinct().join(lanes).select("language", F.col("lane").alias("lane_a"))  # a row for each lane, shared clips or not
+    wide = full.join(both, ["language", "lane_a"], "left").groupBy("language", F.col("lane_a").alias("lane")).pivot("lane_b", [r[0] for r in lanes.orderBy("lane").collect()]).agg(F.first("disagreement"))
+    wide.write.partitionBy("language").option("ignoreNullFields", False).json(f"{path}/matrix")
