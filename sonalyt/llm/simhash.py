@@ -34,7 +34,7 @@ SHINGLE, BITS, SEED = 4, 4, 42
 WINDOWS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS, KEYED = 16, 8  # reference fingerprints; those whose distances make the keys
 BANDS, ROWS, FAR, PART = 16, 5, 28, 256  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks, texts of a key in one part
-SMALL, HOT, CROWD = 48, 8192, 1024  # a run up to SMALL is compared by shifts; one above HOT is dealt out again; rows of a crowded key that are compared pair by pair at a time
+SMALL, HOT, CROWD, HELD, WIDE = 48, 8192, 1024, 1 << 20, 4096  # a run up to SMALL is compared by shifts; one above HOT is dealt out again; texts of a crowded key that are compared at a time, and shingles that they hold; columns at a time
 
 
 def pivots() -> list[int]:
@@ -286,21 +286,28 @@ def _candidates(similarity: float):
 
 
 def _across(similarity: float):
-    """Of runs of rows of one band: every pair of unlike components that survives the pivots' table and whose sketches agree enough."""
-    alike, enough = _alike(similarity)
-
-    def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
-        fp, rep, comp, sketch = cols["fp"].view(np.uint64), cols["rep"], cols["comp"], _sketches(cols)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(starts, np.append(starts[1:], len(rep)), strict=True):
-            for d in range(1, e - s):
-                i = np.arange(s, e - d)
-                i = i[comp[i] != comp[i + d]]
-                i = i[alike(sketch, fp, i, i + d) >= enough]
-                a.append(i)
-                b.append(i + d)
-        i, j = np.concatenate(a), np.concatenate(b)
-        return {"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}
+    """Of a group of texts' sets: links enough to connect those that are similar and not yet in one component."""
+
+    def fn(rows: pa.Table) -> pa.Table:
+        rep, comp = rows["rep"].to_numpy(), rows["comp"].to_numpy()
+        members = rows["members"].combine_chunks()
+        size = np.diff(members.offsets.to_numpy())
+        held = np.repeat(np.arange(len(rep)), size)
+        _, column, many = np.unique(members.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        held, column = held[many[column] > 1], column[many[column] > 1]  # what one text holds alone is in no intersection
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        held, column = held[order], column[order]
+        common = np.zeros((len(rep), len(rep)), np.float32)  # whole numbers, exact up to 2 to the 24
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+            s, e = np.searchsorted(column, [first, first + WIDE])
+            own = np.zeros((len(rep), WIDE), np.float32)
+            own[held[s:e], column[s:e] - first] = 1
+            common += own @ own.T
+        i, j = np.nonzero(np.triu(common >= (size[:, None] + size - common) * (similarity - 1e-9), 1) & (comp[:, None] != comp))
+        low = lowest(len(rep), i, j)
+        linked = np.flatnonzero(low != np.arange(len(rep)))
+        return pa.table({"a": rep[low[linked]], "b": rep[linked]})
 
     return fn
 
@@ -312,7 +319,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
     least hashes of their shingles agree (BANDS keys of ROWS hashes each: 0.998 of pairs at 0.8, more above). The pivots' table discards pairs of
     fingerprints more than FAR bits apart, a sketch of least hashes those far below the similarity, and what is left is verified on the whole sets.
     A key with over SMALL texts is first held against leaders, in salted parts of about `hot` texts that share its smallest doc_id. Once those links are verified, its texts that are
-    still in unlike components are compared pair by pair, dealt out as pairs of blocks: a group of copies costs no more than its leader, and no pair is lost for the key's size.
+    still in unlike components meet with their whole sets, dealt out as pairs of blocks, and what they have in common is counted for all of them at once: only links leave the task, a group of
+    copies costs no more than its leader, and no pair is lost for the key's size.
     Equal sets are one text before all this.
     """
     spark = docs.sparkSession
@@ -336,28 +344,30 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
             own = np.array([u.sum(dtype=np.uint64) for u in found], np.uint64).view(np.int64)
             yield {"rep": c["doc_id"].slice(at, len(part)), "total": c["total"].slice(at, len(part)), "own": own, "members": pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))}
 
+    def sets(used: DataFrame) -> DataFrame:
+        """rep and members: the whole sets of some representatives."""
+        named = used.join(reps.select("rep", *kind), "rep")
+        told = map_batches(texts(docs).join(named.select(F.col("rep").alias("doc_id"), "total"), "doc_id"), whole, "rep long, total long, own long, members array<long>")
+        return cut(told.where("own = total").groupBy("rep").agg(F.first("members").alias("members")))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", *kind), "rep")
-        sets = texts(docs).join(used.select(F.col("rep").alias("doc_id"), "total"), "doc_id")
-        sets = cut(map_batches(sets, whole, "rep long, total long, own long, members array<long>").where("own = total").groupBy("rep").agg(F.first("members").alias("members")))
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+        held = sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+        both = pairs.join(held.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
         both = both.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * (similarity - 1e-12))
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-12)).select("a", "b")
 
     links = cut(verified(pairs))
     roots = components(links)
-    crowd = met.where(f"many > {SMALL}").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-    mixed = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") * 2 / CROWD).cast("long").alias("g")).where("least < most").select("key", "g")
+    crowd = met.where(f"many > {SMALL}").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")).join(reps.select("rep", "n"), "rep")
+    weight = F.greatest(F.count("*") * 2 / CROWD, F.sum("n") * 2 / HELD)
+    mixed = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(weight).cast("long").alias("g")).where("least < most").select("key", "g")
     crowd = cut(crowd.join(mixed, "key"))
     if not crowd.isEmpty():
-        block = F.pmod(F.xxhash64("rep"), F.col("g"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
-        blocks = crowd.join(known, "rep").withColumn("own", block).withColumn("other", other).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-        by = ["key", "x", "y"]
-        blocks = blocks.select(*by, "rep", "comp", "fp", *SKETCH).repartition(parts, *by).sortWithinPartitions(*by, "rep")
-        more = blocks.mapInArrow(runs(by, ["rep", "comp", "fp", *SKETCH], _across(similarity), most=CROWD), "a long, b long")
-        roots = components(links.union(verified(cut(more.distinct()))))
+        own = crowd.join(sets(crowd.select("rep").distinct()), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
+        blocks = own.select("key", "rep", "comp", "members", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", "members")
+        more = blocks.groupBy("key", "x", "y").applyInArrow(_across(similarity), "a long, b long")
+        roots = components(links.union(cut(more.distinct())))
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(*kind, F.coalesce("root", "rep").alias("component_id"))
     return each.join(named, kind).select("doc_id", "component_id")
 
