@@ -286,28 +286,28 @@ def _candidates(similarity: float):
 
 
 def _across(similarity: float):
-    """Of a group of texts' sets: links enough to connect those that are similar and not yet in one component."""
+    """Of a group of texts' sets: links between components, enough to connect those that hold similar texts."""
 
     def fn(rows: pa.Table) -> pa.Table:
-        rep, comp = rows["rep"].to_numpy(), rows["comp"].to_numpy()
+        comp = rows["comp"].to_numpy()
         members = rows["members"].combine_chunks()
         size = np.diff(members.offsets.to_numpy())
-        held = np.repeat(np.arange(len(rep)), size)
+        held = np.repeat(np.arange(len(comp)), size)
         _, column, many = np.unique(members.flatten().to_numpy(), return_inverse=True, return_counts=True)
         held, column = held[many[column] > 1], column[many[column] > 1]  # what one text holds alone is in no intersection
         _, column = np.unique(column, return_inverse=True)
         order = np.argsort(column, kind="stable")
         held, column = held[order], column[order]
-        common = np.zeros((len(rep), len(rep)), np.float32)  # whole numbers, exact up to 2 to the 24
+        common = np.zeros((len(comp), len(comp)), np.float32)  # whole numbers, exact up to 2 to the 24
         for first in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
             s, e = np.searchsorted(column, [first, first + WIDE])
-            own = np.zeros((len(rep), WIDE), np.float32)
+            own = np.zeros((len(comp), WIDE), np.float32)
             own[held[s:e], column[s:e] - first] = 1
             common += own @ own.T
         i, j = np.nonzero(np.triu(common >= (size[:, None] + size - common) * (similarity - 1e-9), 1) & (comp[:, None] != comp))
-        low = lowest(len(rep), i, j)
-        linked = np.flatnonzero(low != np.arange(len(rep)))
-        return pa.table({"a": rep[low[linked]], "b": rep[linked]})
+        low = lowest(len(comp), i, j)
+        linked = np.flatnonzero(low != np.arange(len(comp)))
+        return pa.table({"a": comp[low[linked]], "b": comp[linked]})
 
     return fn
 
@@ -357,19 +357,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-12)).select("a", "b")
 
-    links = cut(verified(pairs))
-    roots = components(links)
-    crowd = met.where(f"many > {SMALL}").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")).join(reps.select("rep", "n"), "rep")
+    roots = components(verified(pairs)).withColumnRenamed("node", "rep")
+    named = reps.join(roots, "rep", "left").select("rep", *kind, F.coalesce("root", "rep").alias("component_id"))
+    crowd = met.where(f"many > {SMALL}").select("key", "rep").join(named.select("rep", "n", F.col("component_id").alias("comp")), "rep")
     weight = F.greatest(F.count("*") * 2 / CROWD, F.sum("n") * 2 / HELD)
     mixed = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(weight).cast("long").alias("g")).where("least < most").select("key", "g")
     crowd = cut(crowd.join(mixed, "key"))
     if not crowd.isEmpty():
         own = crowd.join(sets(crowd.select("rep").distinct()), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
-        blocks = own.select("key", "rep", "comp", "members", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", "members")
-        more = blocks.groupBy("key", "x", "y").applyInArrow(_across(similarity), "a long, b long")
-        roots = components(links.union(cut(more.distinct())))
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(*kind, F.coalesce("root", "rep").alias("component_id"))
-    return each.join(named, kind).select("doc_id", "component_id")
+        blocks = own.select("key", "comp", "members", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "comp", "members")
+        more = cut(blocks.groupBy("key", "x", "y").applyInArrow(_across(similarity), "a long, b long").distinct())
+        if not more.isEmpty():
+            higher = components(more).select(F.col("node").alias("component_id"), "root")
+            named = named.join(higher, "component_id", "left").select(*kind, F.coalesce("root", "component_id").alias("component_id"))
+    return each.join(named.select(*kind, "component_id"), kind).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
