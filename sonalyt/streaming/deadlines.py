@@ -7,7 +7,7 @@ gives the session out and leaves a mark that it is closed; at the last deadline
 
 Timers run on event time: they fire when the watermark is past them, so rows that come late by no more than `late` count whatever the cut into
 micro-batches. A session's rows of one micro-batch are put in order together; the trigger's limits bound them.
-Nulls: rows without session, ts or kind are left out; a null text is none; a session without began or clip_s can't have a deadline and is left out. Ties in seq go by ts.
+Nulls: rows without session, ts or kind are left out; a null text is none; a session without began or clip_s can't have a deadline and is left out. Ties in seq go by ts, kind and text.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class Deadlines(StatefulProcessor):
         s = dict(zip(_FIELDS, self.state.get(), strict=True)) if self.state.exists() else None
         known = s is not None
         before = s and s["deadline_us"]
-        for row in pd.concat(list(rows)).sort_values(["seq", "ts"]).itertuples():
+        for row in pd.concat(list(rows)).sort_values(["seq", "ts", "kind", "text"]).itertuples():
             now = _us(row.ts)
             s = s or self._new(row)
             if s["closed"] or now > s["deadline_us"]:

@@ -33,3 +33,18 @@ def test_ends_and_state(spark, cuts):
 
 def test_nothing(spark):
     assert deadlines.replayed(spark.createDataFrame([], deadlines.IN), 5.0, cuts=1)[0].count() == 0
+
+
+def test_halves_of_a_millisecond_against_sql(spark, tmp_path):
+    """A session four times five days after the first one, whose end lies half a millisecond after a whole one; two copies of each event under other ids."""
+    import duckdb
+
+    from sonalyt.plans import deadlines as plan
+
+    at = [(0, 4 * 432000 + 54243.0, 212, "error"), (1, 4 * 432000 + 54243.8035, 212, "signup"), (2, 29 * 86400.0, 1, "view")]
+    rows = [(k + copy * 100, T0 + timedelta(microseconds=round(s * 1e6)), user, kind, 3.0 + copy) for k, s, user, kind in at for copy in (0, 1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(plan.SQL).fetchall()
+    assert [tuple(r) for r in plan.session_deadlines(spark, str(tmp_path)).collect()] == want == [(1700, "audio", 75843.804, 2, 0, 0, 2, 0, None)]
