@@ -40,7 +40,7 @@ def manifest_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curated_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A curated manifest, of which some sources can't be fetched and some rows have their times in the id alone."""
     start = F.col("doc_id") * 2.0
-    coded = F.concat(F.lit("v"), "doc_id", F.lit("-00000-"), F.lpad((start * 100).cast("long").cast("string"), 8, "0"), F.lit("-"), F.lpad(((start + 5) * 100).cast("long").cast("string"), 8, "0"))
+    coded = F.concat(F.lit("v"), "doc_id", F.lit("-00000-"), F.format_string("%08d", (start * 100).cast("long")), F.lit("-"), F.format_string("%08d", ((start + 5) * 100).cast("long")))  # longer times keep all their digits
     rows = documents(spark, sf_dir).select(
         F.when(F.col("doc_id") % 4 == 0, "elsewhere").otherwise("yodas2").alias("source"), F.col("lang").alias("subset"), F.lit("00000000").alias("shard"), coded.alias("utt_id"), F.substring("text", 1, 20).alias("text"),
         F.when(F.col("doc_id") % 3 == 0, start).alias("start_s"), F.when(F.col("doc_id") % 3 == 0, start + 5).alias("end_s"),

@@ -76,9 +76,9 @@ CURATED = "source string, subset string, shard string, utt_id string, text strin
 
 
 def read_curated(spark: SparkSession, path: str, fetchable: tuple[str, ...], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, skipped): rows of sources that can't be fetched are skipped, not an error; limit counts kept rows only. Times that a row lacks are read from its id (hundredths of a second)."""
+    """(kept, skipped): rows of sources that can't be fetched are skipped, not an error; limit counts kept rows only. Times that a row lacks are read from its id (hundredths of a second, eight digits or, from a million seconds on, more)."""
     rows = spark.read.schema(CURATED).option("mode", "FAILFAST").json(path)
-    coded = [(F.regexp_extract("utt_id", r"-(\d{8})-(\d{8})$", i).try_cast("double") / 100) for i in (1, 2)]
+    coded = [(F.regexp_extract("utt_id", r"-(\d{8,})-(\d{8,})$", i).try_cast("double") / 100) for i in (1, 2)]
     timed = rows.withColumns({"start_s": F.coalesce("start_s", coded[0]), "end_s": F.coalesce("end_s", coded[1])})
     known = F.col("source").isin(*fetchable) & F.col("start_s").isNotNull() & F.col("end_s").isNotNull()
     kept = timed.where(F.coalesce(known, F.lit(False)))

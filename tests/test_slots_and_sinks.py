@@ -82,3 +82,11 @@ def test_lanes_survive_a_batch_that_ends_before_its_mark(spark, tmp_path):
     assert len(clips()) == 4  # the second batch's rows are there, but not marked
     lanes.sink(stream, out).awaitTermination()
     assert clips() == sorted(10 * k + i for k in range(3) for i in range(4))
+
+
+def test_curated_times_of_a_million_seconds(spark, tmp_path):
+    """A time in an id has eight digits at least; a longer one is read whole."""
+    ids = ["v1-00000-00000150-00000650", "v2-00000-99999900-100000400", "v3-00000-100000000-100000500", "v4-00000-0000015-00000650"]
+    (tmp_path / "m.json").write_text("".join(json.dumps({"source": "yodas2", "subset": "en", "shard": "00000000", "utt_id": i}) + "\n" for i in ids))
+    kept, skipped = corpus.read_curated(spark, str(tmp_path / "m.json"), ("yodas2",))
+    assert sorted((r.start_s, r.end_s) for r in kept.collect()) == [(1.5, 6.5), (999999.0, 1000004.0), (1000000.0, 1000005.0)] and skipped.count() == 1
