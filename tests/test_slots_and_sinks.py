@@ -90,3 +90,19 @@ def test_curated_times_of_a_million_seconds(spark, tmp_path):
     (tmp_path / "m.json").write_text("".join(json.dumps({"source": "yodas2", "subset": "en", "shard": "00000000", "utt_id": i}) + "\n" for i in ids))
     kept, skipped = corpus.read_curated(spark, str(tmp_path / "m.json"), ("yodas2",))
     assert sorted((r.start_s, r.end_s) for r in kept.collect()) == [(1.5, 6.5), (999999.0, 1000004.0), (1000000.0, 1000005.0)] and skipped.count() == 1
+
+
+def test_long_ids_and_repeated_customers_against_sql(spark, tmp_path):
+    """Tokens of more than eight letters are in no id, as SQL says too; a key that comes twice counts twice, not four times."""
+    import duckdb
+
+    from sonalyt.plans import slots as plan
+
+    keys = [1, 2, 2, 9, 39_999, 40_000, 69_999, 70_000, 99_899, 99_900, 99_901, 900_005]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    from sonalyt.plans.queries import ORACLE_SQL
+
+    want = sorted(con.execute(ORACLE_SQL["slot_success"]).fetchall())
+    assert sorted(tuple(r) for r in plan.slot_success(spark, str(tmp_path)).collect()) == want
