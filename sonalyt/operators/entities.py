@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.align import SCORE
 from ..functions.entities import entity_scores, tagged_by_rule
 from ..functions.text import subtag
+from ..sources.folders import kept
 from .lanes import LANE
 
 COUNTS = SCORE.names[1:]
@@ -24,8 +25,8 @@ def with_scores(rows: DataFrame) -> DataFrame:
     once = keyed.where("entity_key is not null").select("entity_key", "language", "reference", "annotated", "text").dropDuplicates(["entity_key"])
     once = once.withColumn("said_key", F.when(F.col("annotated").isNull(), F.sha2(F.to_json(F.struct("language", "reference")), 256)))
     said = once.where("said_key is not null").dropDuplicates(["said_key"]).select("said_key", tagged_by_rule(F.col("reference"), F.col("language")).alias("tagged"))  # lanes share references
-    told = once.join(said, "said_key", "left").select("entity_key", entity_scores(F.coalesce("annotated", "tagged"), F.col("text"), F.coalesce(subtag(F.col("language")), F.lit(""))).alias("entities"))
-    return keyed.join(told, "entity_key", "left").drop("entity_key")
+    told = once.join(said.hint("merge"), "said_key", "left").select("entity_key", entity_scores(F.coalesce("annotated", "tagged"), F.col("text"), F.coalesce(subtag(F.col("language")), F.lit(""))).alias("entities"))
+    return keyed.join(told.hint("merge"), "entity_key", "left").drop("entity_key")  # grows with the rows, so it never goes to the driver to be broadcast
 
 
 def damaged(entities: Column) -> Column:
@@ -49,6 +50,7 @@ def as_map(classes: DataFrame) -> DataFrame:
 
 def wide(classes: DataFrame) -> DataFrame:
     """One row per lane and language with columns ent_err[class] and ent_exact[class] for the classes that occur (at most a few, found from the data)."""
+    classes = kept(classes, "classes")
     found = [r[0] for r in classes.select("class").distinct().orderBy("class").collect()]
     pivoted = classes.groupBy(*LANE, "language").pivot("class", found).agg(F.first("error_rate").alias("err"), F.first("exact_rate").alias("exact"))
     return pivoted.select(*LANE, "language", *[F.col(f"{c}_{k}").alias(f"ent_{k}[{c}]") for c in found for k in ("err", "exact")])

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +25,13 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows as a table that is worked out once, for what reads them more than once."""
+    path = new_path(rows.sparkSession, kind)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def run_folder(base: str, now: datetime | None = None) -> str:
     """A run's folder under base, named by the time it began."""
     return f"{base.rstrip('/')}/{(now or datetime.now(timezone.utc)).strftime('%Y%m%dT%H%M%SZ')}"

@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sonalyt.operators import entities, judging, records, transcripts
 from sonalyt.plans import entities as plan
 
 
@@ -22,3 +23,35 @@ def test_a_text_of_many_clips_is_tagged_once(spark):
     run, seen = counted(spark, "string")
     got = plan._tagged(spark.range(1000).select(F.lit("two cats").alias("said")), run(F.col("said"))).collect()
     assert [tuple(r) for r in got] == [("two cats", 1000)] and seen.value == 1
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+ROWS = [("a", "stream", "en-US", "pay two dollars", None, "pay two dollars", None), ("b", "stream", "en-US", "pay two dollars", None, "pay dollars", None)]
+COLUMNS = "provider string, mode string, language string, reference string, annotated string, text string, error string"
+
+
+def test_scores_and_edits_are_not_broadcast(spark):
+    rows = spark.createDataFrame(ROWS, COLUMNS)
+    for df in (entities.with_scores(rows), transcripts.with_edit_kinds(rows)):
+        assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_columns_found_in_the_data_cost_no_second_run(spark):
+    run, seen = counted(spark, "double")
+    classes = spark.createDataFrame([("a", "stream", "en", "date", 0.5, 1.0), ("a", "stream", "en", "id", 0.0, 1.0)], "provider string, mode string, language string, class string, error_rate double, exact_rate double").coalesce(1)
+    assert [tuple(r) for r in entities.wide(classes.withColumn("error_rate", run("error_rate"))).collect()] == [("a", "stream", "en", 0.5, 1.0, 0.0, 1.0)] and seen.value == 2
+    run, seen = counted(spark, "long")
+    counts = spark.createDataFrame([("t", "batch", "j", 1, 1, 0, 0, 4)], "provider string, mode string, judge string, clips long, substitutions long, deletions long, insertions long, reference_length long").coalesce(1)
+    got = judging.roundtrip_table(counts.withColumn("insertions", run("insertions")), spark.createDataFrame([("t", "x")], "key string, family string")).collect()
+    assert [tuple(r) for r in got] == [("t", "batch", 0.25, False, 0.25, False)] and seen.value == 1
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"utt_id": "u", "text": "long enough to be kept", "duration": 4.0}',), ('{"utt_id": "u", "te',), (None,)], "value string")
+    got = records.tolerant_candidates(lines, "s")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [tuple(r) for r in got.collect()] == [("u", "", "s", 0.0, 4.0, "long enough to be kept")]
