@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import languages
 from ..functions.align import alignment
 from ..functions.similarity import cosine
+from ..sources.folders import kept
 from .ranking import majority
 from .transcripts import KINDS, with_edit_kinds
 
@@ -97,6 +98,7 @@ def judge_counts(rows: DataFrame) -> DataFrame:
 def roundtrip_table(counts: DataFrame, families: DataFrame, threshold: float = 0.02) -> DataFrame:
     """One row per provider and mode: the rate pooled over judges of other families, whether judges' rates lie further apart than threshold, and for each judge in the data its
     rate and whether it is of the provider's own family. families: key, family; a key without one is its own."""
+    counts = kept(counts, "judge-counts")
     own = families.select(F.col("key").alias("provider"), F.col("family").alias("of"))
     theirs = families.select(F.col("key").alias("judge"), F.col("family").alias("judge_of"))
     told = counts.join(own, "provider", "left").join(theirs, "judge", "left").withColumn("same", F.coalesce("of", "provider") == F.coalesce("judge_of", "judge"))

@@ -31,7 +31,7 @@ def _different(rows: DataFrame) -> DataFrame:
 
 
 def _with_pairs(rows: DataFrame, counted: DataFrame) -> DataFrame:
-    return rows.withColumn("pair", F.sha2(F.to_json(F.struct("language", "reference", "text")), 256)).join(counted, "pair", "left").drop("pair")
+    return rows.withColumn("pair", F.sha2(F.to_json(F.struct("language", "reference", "text")), 256)).join(counted.hint("merge"), "pair", "left").drop("pair")  # grows with the rows, so it never goes to the driver to be broadcast
 
 
 def with_edits(rows: DataFrame) -> DataFrame:
