@@ -8,7 +8,8 @@ distances to all pivots, is above 4 (triangle inequality), and what survives is
 Distances to whole pivots alone cannot deal pairs out: between unlike fingerprints they differ by 4 or less more often than
 not, so every pair would have to meet. With the windows no pair within the limit is lost and few others meet.
 
-near_copies(), which the pipeline's stage uses, links by the similarity of whole texts instead (five-word shingles, Jaccard 0.8 or more); see there.
+near_copies(), which the pipeline's stage uses, links by the similarity of whole texts instead (five-word shingles, Jaccard 0.8 or more). Its candidates
+come from wider fingerprints by a table of the same kind; see there.
 
 Copies are gone before this: a fingerprint is one row, whatever the number of its documents. A key with very many
 fingerprints is dealt out again as pairs of blocks, and each task returns a star of links, not its pairs.
@@ -33,7 +34,7 @@ from .common import components, cut, lowest, map_batches, pieces, runs, table, t
 SHINGLE, BITS, SEED = 4, 4, 42
 WINDOWS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS, KEYED = 16, 8  # reference fingerprints; those whose distances make the keys
-BANDS, ROWS, FAR, PART = 16, 5, 28, 256  # of near_copies(): keys of a text, least hashes in a key, bits within which it looks, texts of a key in one part
+WORDS, REFERENCES, NARROW_PIVOTS, MISSED, FEW, PART = 8, 10, 4, 0.002, 7, 256  # of near_copies(): words of a fingerprint, pivots whose distances make a key, pivots within bytes, pairs at the similarity that may agree in no window, members of a small set, texts of a key in one part
 SMALL, HOT, CROWD, HELD, WIDE = 48, 8192, 1024, 1 << 20, 4096  # a run up to SMALL is compared by shifts; one above HOT is dealt out again; texts of a crowded key that are compared at a time, and shingles that they hold; columns at a time
 
 
@@ -201,86 +202,214 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, h
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _odd(n: int) -> np.ndarray:
+    return (np.random.default_rng(SEED).integers(1, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
+
+
+def wide(sets: list[np.ndarray]) -> np.ndarray:
+    """A fingerprint of WORDS times 64 bits for each set of hashes, a row of words: a bit is 1 if it is set in over half of the set's members.
+
+    Members are counted in bytes, eight bits of a word at a time, so a part of a set has at most 255 of them and a block 256 parts."""
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    size = np.array([len(u) for u in sets], np.int64)
+    if not size.sum():
+        return out
+    factors, ones = _odd(WORDS), np.uint64(0x0101010101010101)
+    members, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), -(-size // 255))
+    begin = np.concatenate([np.arange(0, n, 255) + at for n, at in zip(size, np.cumsum(size) - size, strict=True)])
+    counts = np.zeros((len(sets), WORDS * 64), np.int32)
+    for at in range(0, len(begin), 256):
+        part = begin[at : at + 256]
+        v = members[part[0] : begin[at + 256] if at + 256 < len(begin) else len(members)]
+        v = (v ^ v >> np.uint64(29)) * factors
+        v ^= v >> np.uint64(32)
+        lanes = np.stack([np.add.reduceat(v >> np.uint64(bit) & ones, part - part[0], axis=1) for bit in range(8)], axis=-1)  # word, part, bit of a byte
+        found = lanes.view(np.uint8).reshape(WORDS, len(part), 8, 8).transpose(1, 0, 3, 2).reshape(len(part), -1)  # part; word, byte, bit
+        own = of[at : at + 256]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        counts[own[first]] += np.add.reduceat(found, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view(np.uint64)
+
+
 def _sketch(shingle: int):
-    """For each text: what tells its set of shingles from others, fingerprint, keys of bands of least hashes, and those hashes' lowest bytes."""
-    factors = (np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
-    names = ("n", "total", "mix", "fp")
+    """For each text: what tells its set of shingles from others, and the set's wide fingerprint."""
 
     def one(c):
-        out: dict[str, list] = {k: [] for k in (*names, "keys", "sketch")}
-        for _, part in pieces(c["text"]):
-            for text in part:
-                found = hashes(text, shingle)
-                u = np.unique(found)
-                v = u ^ u >> np.uint64(29)
-                least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
-                for at in range(0, len(v), 4096):
-                    np.minimum(least, (v[None, at : at + 4096] * factors).min(axis=1), out=least)
-                key = np.arange(BANDS, dtype=np.uint64)
-                for row in least.reshape(ROWS, BANDS):
-                    key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(32)
-                values = (len(u), u.sum(dtype=np.uint64), np.bitwise_xor.reduce(v * np.uint64(0xBF58476D1CE4E5B9), initial=np.uint64(0)), np.uint64(_majority(found)))
-                for k, x in zip(names, values, strict=True):
+        out: dict[str, list] = {k: [] for k in ("n", "total", "mix")}
+        fps = []
+        for _, part in pieces(c["text"], 1_000_000):
+            sets = [np.unique(hashes(t, shingle)) for t in part]
+            for u in sets:
+                mix = np.bitwise_xor.reduce((u ^ u >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9), initial=np.uint64(0))
+                for k, x in zip(out, (len(u), u.sum(dtype=np.uint64), mix), strict=True):
                     out[k].append(int(np.uint64(x).view(np.int64)))
-                out["keys"].append(key.view(np.int64) if len(u) else [])
-                out["sketch"].append(least.astype(np.uint8).view(np.int64))
-        return {"doc_id": c["doc_id"]} | {k: pa.array(out[k], pa.list_(pa.int64()) if k in ("keys", "sketch") else pa.int64()) for k in out}
+            fps.append(wide(sets))
+        return {"doc_id": c["doc_id"]} | {k: pa.array(v, pa.int64()) for k, v in out.items()} | {"words": _lists(np.concatenate(fps).view(np.int64))}
 
     return one
 
 
-def _alike(similarity: float):
-    """How much the sketches of pairs agree, 0 for those that the pivots' table or the fingerprints discard; and from where on a pair is a candidate."""
-    refs = np.array(pivots(), np.uint64)
-    enough = similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def apart(similarity: float) -> float:
+    """The share of bits in which fingerprints of equally large sets with that Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _within(similarity: float, bits: int, deviations: float) -> int:
+    """A number of differing bits that fingerprints of similar sets don't exceed, but for that many standard deviations."""
+    p = apart(similarity)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
-    def alike(sketch: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(fp[i] ^ fp[j]) <= FAR
-        far = np.abs(np.bitwise_count(fp[i[ok], None] ^ refs).astype(np.int16) - np.bitwise_count(fp[j[ok], None] ^ refs)).max(axis=1)
-        ok[ok] = far <= FAR
-        same = np.zeros(len(i))
-        same[ok] = (sketch[i[ok]] == sketch[j[ok]]).mean(axis=1)
-        return same
 
-    return alike, enough
+def table_of_windows(n: int, similarity: float) -> tuple[list[np.ndarray], int]:
+    """The windows of the pivots' table for n fingerprints, and how many of them a set needs that has more than FEW members.
 
+    Each window is some bits of the wide fingerprint, all windows are as wide.
 
-SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 8)]
+    A window has about log2(n) bits, less five, so that some 32 unlike fingerprints agree in it however many there are; there are as many windows as
+    it takes for all but MISSED of the pairs at the similarity to agree in one. Their number grows with about the fourth root of n.
+    Sets of four and five members may differ in 19 % of their bits instead of 15 %, so small ones have three times as many windows."""
+    bits = min(max(8, int(np.ceil(np.log2(max(n, 2)))) - 5), 22)  # five bits hold a distance
+    agree = min((1 - apart(similarity)) ** bits, 0.9)
+    many = int(np.ceil(np.log(MISSED) / np.log1p(-agree)))
+    r, each, most = np.random.default_rng(SEED), WORDS * 64 // bits, 3 * many
+    dealt = [r.permutation(WORDS * 64)[: each * bits].reshape(each, bits) for _ in range(-(-most // each))]
+    return list(np.concatenate(dealt)[:most]), many
 
 
-def _sketches(cols: dict[str, np.ndarray]) -> np.ndarray:
-    return np.stack([cols[w] for w in SKETCH], axis=1).view(np.uint8)
+def _wide_pivots() -> np.ndarray:
+    """Bits of the table's reference fingerprints, a row for each."""
+    words = [[xxhash.xxh64_intdigest(f"pivot {p} word {w}".encode(), SEED) for w in range(WORDS)] for p in range(REFERENCES)]
+    return np.unpackbits(np.array(words, np.uint64).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+
+
+def coordinates(words: np.ndarray, windows: list[np.ndarray], first: int = 0) -> np.ndarray:
+    """The pivots' table, a row for each window: every fingerprint's Hamming distances to all pivots within it, five bits for each distance, after the window's number."""
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    refs, out = _wide_pivots(), np.zeros((len(windows), len(words)), np.int64)
+    for i, window in enumerate(windows):
+        x, ref = bits[:, window], refs[:, window]
+        far = (x.sum(axis=1)[:, None] + ref.sum(axis=1) - 2 * x @ ref.T).astype(np.int64)
+        out[i] = first + i
+        for p in range(REFERENCES):
+            out[i] = out[i] << 5 | far[:, p]
+    return out
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+
+
+def _meet(windows: list[np.ndarray], many: int):
+    """A row for each fingerprint and window: the coordinates on which candidates meet, and the fingerprint's first words."""
+
+    def fn(c):
+        for at in range(0, len(c["rep"]), 2048):
+            part = {k: v.slice(at, 2048) for k, v in c.items()}
+            words, rep, n = _words(part["words"]), part["rep"].to_numpy(zero_copy_only=False), part["n"].to_numpy(zero_copy_only=False)
+            for own, first, last in ((n > 0, 0, many), (n <= FEW, many, len(windows))):
+                if own.any() and last > first:
+                    key = coordinates(words[own], windows[first:last], first)
+                    yield {"key": key.ravel(), "rep": np.tile(rep[own], len(key))} | {w: np.tile(words[own, i].view(np.int64), len(key)) for i, w in enumerate(SHORT)}
+
+    return fn
 
 
-def _candidates(similarity: float):
-    """Of runs of fingerprints and sketches that share a band: pairs that survive the pivots' table and whose sketches agree enough.
+SHORT = ["f0", "f1"]  # the words that meet; the others are asked for pairs only
 
-    Up to SMALL rows every pair is looked at. In a longer run a row is held against the leaders so far, and leads itself if it is like none; what that leaves out _across() looks at."""
-    alike, enough = _alike(similarity)
+
+def _short(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words that meet, and their pivots' table: distances to NARROW_PIVOTS pivots within each byte; pivot, row, byte."""
+    fp = np.stack([cols[w] for w in SHORT], axis=1).view(np.uint64)
+    refs = np.array([[xxhash.xxh64_intdigest(f"narrow {p} word {w}".encode(), SEED) for w in range(len(SHORT))] for p in range(NARROW_PIVOTS)], np.uint64)
+    return fp, np.stack([np.bitwise_count((fp ^ ref).view(np.uint8)) for ref in refs]).view(np.int8)
+
+
+def _distance(fp: np.ndarray, told: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """Differing bits of pairs, or more than limit for those that the pivots' table discards: within each byte a pair differs in no less than its largest difference of coordinates."""
+    out = np.full(len(i), limit + 1, np.int64)
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        least = np.abs(told[0][x] - told[0][y])
+        for t in told[1:]:
+            np.maximum(least, np.abs(t[x] - t[y]), out=least)
+        left = np.flatnonzero(least.sum(axis=1, dtype=np.int16) <= limit)
+        out[at + left] = np.bitwise_count(fp[x[left]] ^ fp[y[left]]).sum(axis=1)
+    return out
+
+
+def _candidates(similarity: float, hot: int | None):
+    """Of runs of fingerprints with equal coordinates: pairs near enough (kind 0), rows of a run above hot, which is dealt out again (1), rows of a crowded run that are near others (2).
+
+    Up to SMALL rows every pair is a candidate that is near enough. In a longer run a row is held against the leaders so far, and leads itself if it is like none; _open() and _across() look at what that leaves out."""
+    limit, sure = _within(similarity, 64 * len(SHORT), 5), _within(similarity, 64 * len(SHORT), 0)
+    small, most = min(SMALL, hot or SMALL), min(hot, CROWD) if hot else None
 
     def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
         n = len(starts)
         size = np.diff(np.append(starts, len(cols["rep"])))
-        fp, rep, sketch = cols["fp"].view(np.uint64), cols["rep"], _sketches(cols)
+        fp, told = _short(cols)
+        rep, key = cols["rep"], cols["key"]
         run, sizes = np.repeat(np.arange(n), size), np.repeat(size, size)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=1)))):
-            i = np.flatnonzero((run[d:] == run[:-d]) & (sizes[d:] <= SMALL))
-            i = i[alike(sketch, fp, i, i + d) >= enough]
+        a, b, crowd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, min(small, int(sizes[sizes <= small].max(initial=1)) - 1) + 1):
+            i = np.flatnonzero((run[d:] == run[:-d]) & (sizes[d:] <= small))
+            i = i[_distance(fp, told, i, i + d, limit) <= limit]
             a.append(i)
             b.append(i + d)
-        for s in starts[size > SMALL]:
-            rest = np.arange(s, s + sizes[s])
+        for s, e in zip(starts, starts + size, strict=True):
+            if e - s <= small or most and e - s > most:
+                continue
+            i, j = np.triu_indices(e - s, 1)
+            far = _distance(fp[s:e], told[:, s:e], i, j, limit)
+            near = far <= limit
+            if not near.any():
+                continue
+            each = np.full((e - s, e - s), limit + 1, np.int64)
+            each[i[near], j[near]] = each[j[near], i[near]] = far[near]
+            rest = np.flatnonzero((each <= limit).any(axis=1))
+            crowd.append(rest + s)
             while len(rest) > 1:
                 lead, others = rest[0], rest[1:]
-                same = alike(sketch, fp, np.full(len(others), lead), others)
-                near = others[same >= enough]
-                a.append(np.full(len(near), lead))
-                b.append(near)
-                rest = others[same < similarity]
-        i, j = np.concatenate(a), np.concatenate(b)
-        return {"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}
+                to = each[lead, others]
+                hit = others[to <= limit]
+                a.append(np.full(len(hit), lead + s))
+                b.append(hit + s)
+                rest = others[to > sure]
+        again = np.flatnonzero(sizes > most) if most else np.zeros(0, np.int64)
+        i, j, crowd = np.concatenate(a), np.concatenate(b), np.concatenate(crowd)
+        one = np.concatenate([i, again, crowd])
+        out = {"kind": np.repeat([0, 1, 2], [len(i), len(again), len(crowd)]), "key": key[one], "a": rep[one], "b": np.concatenate([rep[j], rep[again], rep[crowd]])}
+        low = np.minimum(out["a"], out["b"])
+        return out | {"a": low, "b": np.maximum(out["a"], out["b"])} | {w: cols[w][one] for w in SHORT}
+
+    return fn
+
+
+def _hot(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {"kind": np.ones(len(cols["rep"]), np.int64), "key": cols["key"], "a": cols["rep"], "b": cols["rep"]} | {w: cols[w] for w in SHORT}
+
+
+MET = "kind long, key long, a long, b long, f0 long, f1 long"
+
+
+def _open(similarity: float):
+    """Of a block of a crowded key: its rows that are near a row of another component."""
+    limit = _within(similarity, 64 * len(SHORT), 5)
+
+    def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
+        fp, told = _short(cols)
+        comp, left = cols["comp"], np.zeros(len(cols["rep"]), bool)
+        for s, e in zip(starts, np.append(starts[1:], len(comp)), strict=True):
+            for x in range(s, e - 1):
+                j = np.flatnonzero(comp[x + 1 : e] != comp[x]) + x + 1
+                j = j[np.bitwise_count(fp[j] ^ fp[x]).sum(axis=1) <= limit]
+                left[j] = True
+                left[x] |= len(j) > 0
+        return {k: cols[k][left] for k in ("key", "rep", "comp")}
 
     return fn
 
@@ -315,28 +444,35 @@ def _across(similarity: float):
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = PART) -> DataFrame:
     """doc_id, component_id for rows with a doc_id: linked are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    So wide a link leaves about ten of a fingerprint's 64 bits different, more than windows of bits can find. Candidates therefore meet where the
-    least hashes of their shingles agree (BANDS keys of ROWS hashes each: 0.998 of pairs at 0.8, more above). The pivots' table discards pairs of
-    fingerprints more than FAR bits apart, a sketch of least hashes those far below the similarity, and what is left is verified on the whole sets.
-    A key with over SMALL texts is first held against leaders, in salted parts of about `hot` texts that share its smallest doc_id. Once those links are verified, its texts that are
-    still in unlike components meet with their whole sets, dealt out as pairs of blocks, and what they have in common is counted for all of them at once: only links leave the task, a group of
-    copies costs no more than its leader, and no pair is lost for the key's size.
+    So wide a link leaves about 15 % of a fingerprint's bits different, more than windows of 64 bits can find at scale. Fingerprints therefore have
+    WORDS times 64 bits here, of sets, and the pivots' table has as many windows as it takes (table_of_windows()). Candidates are fingerprints with equal
+    distances to all pivots within a window. The table of distances within bytes discards pairs by the triangle inequality, Hamming distances of
+    two words and then of all words discard those far below the similarity, and what is left is verified on the whole sets.
+    A key with over SMALL fingerprints is first held against leaders, in salted parts of about `hot` if it has more. Once those links are verified, its
+    fingerprints that are near one of another component, looked for in pairs of blocks, meet with their whole sets, and what they have in common is counted
+    for all of them at once: only links leave the task, a group of copies costs no more than its leader, and no pair is lost for the key's size.
     Equal sets are one text before all this.
     """
     spark = docs.sparkSession
-    each = map_batches(texts(docs).where("doc_id is not null"), _sketch(shingle), "doc_id long, n long, total long, mix long, fp long, keys array<long>, sketch array<long>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = map_batches(texts(docs).where("doc_id is not null"), _sketch(shingle), "doc_id long, n long, total long, mix long, words array<long>")
     kind = ["n", "total", "mix"]
     each = cut(each)
-    reps = cut(each.groupBy(*kind).agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    keys = reps.select("rep", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("lead")).where("many > 1"))
-    met = cut(keys.join(shared, "key"))
-    known = reps.select("rep", "fp", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = met.join(known, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / hot)).cast("long"))
-    dealt = rows.drop("many", "lead").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "rep")
-    pairs = dealt.mapInArrow(runs(["key", "salt"], ["rep", "fp", *SKETCH], _candidates(similarity), most=1 << 16), "a long, b long")
-    pairs = cut(pairs.union(met.where(f"many > {hot} and rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct())
+    reps = cut(each.groupBy(*kind).agg(F.min("doc_id").alias("rep"), F.first("words").alias("words")))
+    windows, many = table_of_windows(reps.count(), similarity)
+    keyed = map_batches(reps.where("n > 0").select("rep", "n", "words"), _meet(windows, many), "key long, rep long, f0 long, f1 long")
+    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(runs(["key"], ["rep", *SHORT], _candidates(similarity, hot), _hot, most=1 << 16), MET))
+    pairs = found.where("kind = 0").select("a", "b")
+    again = found.where("kind = 1").select("key", F.col("a").alias("rep"), *SHORT)
+    if not again.isEmpty():
+        sizes = again.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("lead"))
+        rows = again.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / hot)).cast("long"))
+        dealt = rows.drop("many", "lead").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "rep")
+        within = dealt.mapInArrow(runs(["key", "salt"], ["rep", *SHORT], _candidates(similarity, None), most=1 << 16), MET).where("kind = 0")
+        pairs = pairs.union(within.select("a", "b")).union(rows.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    far = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(WORDS))
+    known = pairs.distinct().join(reps.select(F.col("rep").alias("a"), F.col("words").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("words").alias("y")), "b")
+    pairs = cut(known.where(f"{far} <= {_within(similarity, WORDS * 64, 6)}").select("a", "b"))
 
     def whole(c):
         for at, part in pieces(c["text"], 1_000_000):
@@ -359,10 +495,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
 
     roots = components(verified(pairs)).withColumnRenamed("node", "rep")
     named = reps.join(roots, "rep", "left").select("rep", *kind, F.coalesce("root", "rep").alias("component_id"))
-    crowd = met.where(f"many > {SMALL}").select("key", "rep").join(named.select("rep", "n", F.col("component_id").alias("comp")), "rep")
+    crowd = found.where("kind > 0").select("key", F.col("a").alias("rep"), *SHORT).join(named.select("rep", F.col("component_id").alias("comp")), "rep")
+    blocked = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") * 2 / CROWD).cast("long").alias("g")).where("least < most").select("key", "g")
+    blocks = crowd.join(blocked, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    blocks = blocks.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", *SHORT)
+    blocks = blocks.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+    crowd = blocks.mapInArrow(runs(["key", "x", "y"], ["rep", "comp", *SHORT], _open(similarity), most=1 << 16), "key long, rep long, comp long").distinct()
+    crowd = cut(crowd.join(named.select("rep", "n"), "rep"))
     weight = F.greatest(F.count("*") * 2 / CROWD, F.sum("n") * 2 / HELD)
-    mixed = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(weight).cast("long").alias("g")).where("least < most").select("key", "g")
-    crowd = cut(crowd.join(mixed, "key"))
+    mixed = crowd.groupBy("key").agg(F.ceil(weight).cast("long").alias("g"))
+    crowd = crowd.join(mixed, "key")
     if not crowd.isEmpty():
         own = crowd.join(sets(crowd.select("rep").distinct()), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
         blocks = own.select("key", "comp", "members", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "comp", "members")

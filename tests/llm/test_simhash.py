@@ -173,3 +173,57 @@ def test_crowded_keys_lose_no_link(spark, n):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(frame, hot=64).collect()}
     want = simhash.lowest(n, *(np.array(x) for x in zip(*links, strict=True)))
     assert len(links) > n / 3 and got == dict(enumerate(want.tolist()))
+
+
+def test_repeated_phrases_hide_no_link(spark):
+    """Sets of shingles decide; what one text repeats very often doesn't make its fingerprint another's."""
+    r = random.Random(21)
+    rows = []
+    for g in range(12):
+        common = [f"c{g}x{k}" for k in range(100)]
+        rows += [(10 * g + k, " ".join(common + [f"w{r.randrange(10**9)}"] * 1500)) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
+    assert got == jaccard_components(rows) and len(set(got.values())) == 12
+
+
+def similar(r, n, share, many):
+    """Pairs of sets of n hashes with a Jaccard similarity of at least share."""
+    both = int(np.ceil(2 * n * share / (1 + share) - 1e-9))
+    all_ = [r.integers(0, 1 << 63, 2 * n - both, np.uint64) for _ in range(many)]
+    return [np.unique(x[:n]) for x in all_], [np.unique(x[n - both :]) for x in all_]
+
+
+def test_wide_fingerprints_are_majorities():
+    r = np.random.default_rng(31)
+    sets = [np.unique(r.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 255, 0, 256, 70_000, 3)]
+    for u, words in zip(sets, simhash.wide(sets), strict=True):
+        mixed = (u ^ u >> np.uint64(29)) * simhash._odd(simhash.WORDS)
+        mixed ^= mixed >> np.uint64(32)
+        assert [simhash._majority(m) if len(u) else 0 for m in mixed] == words.tolist()
+
+
+@pytest.mark.parametrize("n", [50, 200_000, 12_000_000])
+def test_candidates_meet_on_the_pivots_table(n):
+    r = np.random.default_rng(32)
+    windows, many = simhash.table_of_windows(n, 0.8)
+    for size, share, least in ((300, 0.8, 0.98), (300, 0.9, 0.999), (9, 0.8, 0.98)):
+        x, y = (simhash.wide(s) for s in similar(r, size, share, 500))
+        met = (simhash.coordinates(x, windows[:many]) == simhash.coordinates(y, windows[:many])).any(axis=0)
+        assert met.mean() >= least
+    five = [np.unique(r.integers(0, 1 << 63, 5, np.uint64)) for _ in range(500)]
+    x, y = simhash.wide(five), simhash.wide([u[:4] for u in five])
+    assert (simhash.coordinates(x, windows) == simhash.coordinates(y, windows)).any(axis=0).mean() >= 0.98
+    unlike = (simhash.coordinates(x, windows[:many]) == simhash.coordinates(x[::-1].copy(), windows[:many])).mean()
+    assert unlike < 3 * 2.0 ** -len(windows[0]) + 1e-3
+
+
+def test_the_table_discards_no_near_pair():
+    r = np.random.default_rng(33)
+    x = r.integers(0, 1 << 63, (400, 2), np.uint64)
+    x[200:] = x[:200] ^ (r.integers(0, 1 << 63, (200, 2), np.uint64) & r.integers(0, 1 << 63, (200, 2), np.uint64) & r.integers(0, 1 << 63, (200, 2), np.uint64))
+    fp, told = simhash._short({"f0": x[:, 0].view(np.int64), "f1": x[:, 1].view(np.int64)})
+    i, j = np.triu_indices(400, 1)
+    far = np.bitwise_count(x[i] ^ x[j]).sum(axis=1)
+    got = simhash._distance(fp, told, i, j, 39)
+    assert (got[far <= 39] == far[far <= 39]).all() and (got[far > 39] > 39).all() and (far <= 39).sum() > 100
