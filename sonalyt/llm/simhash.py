@@ -26,7 +26,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, lowest, map_batches, pieces, runs, table, texts
@@ -341,11 +341,30 @@ def _distance(fp: np.ndarray, told: np.ndarray, i: np.ndarray, j: np.ndarray, li
     return out
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links a-b of nodes 0 to n-1 make a spanning forest of least weight (Boruvka); ties go to the earlier link."""
+    order = np.argsort(weight, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    label, kept, left = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.flatnonzero(kept)
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[left]], place[left])
+        np.minimum.at(best, label[b[left]], place[left])
+        chosen = order[np.unique(best[best < len(a)])]
+        kept[chosen] = True
+        label = lowest(n, label[a[chosen]], label[b[chosen]])[label]
+
+
 def _candidates(similarity: float, hot: int | None):
-    """Of runs of fingerprints with equal coordinates: pairs near enough (kind 0), rows of a run above hot, which is dealt out again (1), rows of a crowded run that are near others (2).
+    """Of runs of fingerprints with equal coordinates: pairs (kind 0), rows of a run above hot, which is dealt out again (1), rows of pairs that are near enough but weren't returned (2).
 
-    Up to SMALL rows every pair is a candidate that is near enough. In a longer run a row is held against the leaders so far, and leads itself if it is like none; _open() and _across() look at what that leaves out."""
-    limit, sure = _within(similarity, 64 * len(SHORT), 5), _within(similarity, 64 * len(SHORT), 0)
+    The pairs of a run that are near enough would grow with the square of a group of near copies. So only a spanning forest of least distance leaves the
+    task, less pairs than rows: a chain of near pairs between two texts is there with pairs as near or nearer. _open() and _across() look at what that leaves out."""
+    limit = _within(similarity, 64 * len(SHORT), 5)
     small, most = min(SMALL, hot or SMALL), min(hot, CROWD) if hot else None
 
     def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
@@ -355,30 +374,25 @@ def _candidates(similarity: float, hot: int | None):
         rep, key = cols["rep"], cols["key"]
         run, sizes = np.repeat(np.arange(n), size), np.repeat(size, size)
         a, b, crowd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def put(i, j, far, first, last):
+            forest = spanning(last - first, i - first, j - first, far)
+            a.append(i[forest])
+            b.append(j[forest])
+            crowd.append(np.unique([np.delete(i, forest), np.delete(j, forest)]))
+
+        near = [(np.zeros(0, np.int64),) * 3]
         for d in range(1, min(small, int(sizes[sizes <= small].max(initial=1)) - 1) + 1):
             i = np.flatnonzero((run[d:] == run[:-d]) & (sizes[d:] <= small))
-            i = i[_distance(fp, told, i, i + d, limit) <= limit]
-            a.append(i)
-            b.append(i + d)
+            far = _distance(fp, told, i, i + d, limit)
+            near.append((i[far <= limit], i[far <= limit] + d, far[far <= limit]))
+        put(*(np.concatenate(x) for x in zip(*near, strict=True)), 0, len(rep))
         for s, e in zip(starts, starts + size, strict=True):
             if e - s <= small or most and e - s > most:
                 continue
-            i, j = np.triu_indices(e - s, 1)
-            far = _distance(fp[s:e], told[:, s:e], i, j, limit)
-            near = far <= limit
-            if not near.any():
-                continue
-            each = np.full((e - s, e - s), limit + 1, np.int64)
-            each[i[near], j[near]] = each[j[near], i[near]] = far[near]
-            rest = np.flatnonzero((each <= limit).any(axis=1))
-            crowd.append(rest + s)
-            while len(rest) > 1:
-                lead, others = rest[0], rest[1:]
-                to = each[lead, others]
-                hit = others[to <= limit]
-                a.append(np.full(len(hit), lead + s))
-                b.append(hit + s)
-                rest = others[to > sure]
+            i, j = (x + s for x in np.triu_indices(e - s, 1))
+            far = _distance(fp, told, i, j, limit)
+            put(i[far <= limit], j[far <= limit], far[far <= limit], s, e)
         again = np.flatnonzero(sizes > most) if most else np.zeros(0, np.int64)
         i, j, crowd = np.concatenate(a), np.concatenate(b), np.concatenate(crowd)
         one = np.concatenate([i, again, crowd])
@@ -397,50 +411,70 @@ MET = "kind long, key long, a long, b long, f0 long, f1 long"
 
 
 def _open(similarity: float):
-    """Of a block of a crowded key: its rows that are near a row of another component."""
+    """Of a block of a crowded key: its rows that are near a row of another component whose set isn't too small or large to be similar."""
     limit = _within(similarity, 64 * len(SHORT), 5)
 
     def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
         fp, told = _short(cols)
-        comp, left = cols["comp"], np.zeros(len(cols["rep"]), bool)
+        comp, n, left = cols["comp"], cols["n"], np.zeros(len(cols["rep"]), bool)
         for s, e in zip(starts, np.append(starts[1:], len(comp)), strict=True):
             for x in range(s, e - 1):
-                j = np.flatnonzero(comp[x + 1 : e] != comp[x]) + x + 1
+                j = np.flatnonzero((comp[x + 1 : e] != comp[x]) & (np.minimum(n[x + 1 : e], n[x]) >= np.maximum(n[x + 1 : e], n[x]) * (similarity - 1e-12))) + x + 1
                 j = j[np.bitwise_count(fp[j] ^ fp[x]).sum(axis=1) <= limit]
                 left[j] = True
                 left[x] |= len(j) > 0
-        return {k: cols[k][left] for k in ("key", "rep", "comp")}
+        return {k: cols[k][left] for k in ("key", "rep", "comp", "n")}
 
     return fn
 
 
 def _across(similarity: float):
-    """Of a group of texts' sets: links between components, enough to connect those that hold similar texts."""
+    """Of some blocks of texts' sets: links between components, enough to connect those that hold similar texts of a block."""
 
-    def fn(rows: pa.Table) -> pa.Table:
-        comp = rows["comp"].to_numpy()
-        members = rows["members"].combine_chunks()
-        size = np.diff(members.offsets.to_numpy())
+    def linked(comp: np.ndarray, size: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = np.repeat(np.arange(len(comp)), size)
-        _, column, many = np.unique(members.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        _, column, many = np.unique(members, return_inverse=True, return_counts=True)
         held, column = held[many[column] > 1], column[many[column] > 1]  # what one text holds alone is in no intersection
         _, column = np.unique(column, return_inverse=True)
         order = np.argsort(column, kind="stable")
         held, column = held[order], column[order]
         common = np.zeros((len(comp), len(comp)), np.float32)  # whole numbers, exact up to 2 to the 24
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        columns = int(column[-1]) + 1 if len(column) else 0
+        for first in range(0, columns, WIDE):
             s, e = np.searchsorted(column, [first, first + WIDE])
-            own = np.zeros((len(comp), WIDE), np.float32)
+            own = np.zeros((len(comp), min(WIDE, columns - first)), np.float32)
             own[held[s:e], column[s:e] - first] = 1
             common += own @ own.T
         i, j = np.nonzero(np.triu(common >= (size[:, None] + size - common) * (similarity - 1e-9), 1) & (comp[:, None] != comp))
         low = lowest(len(comp), i, j)
-        linked = np.flatnonzero(low != np.arange(len(comp)))
-        return pa.table({"a": comp[low[linked]], "b": comp[linked]})
+        other = np.flatnonzero(low != np.arange(len(comp)))
+        return comp[low[other]], comp[other]
+
+    def fn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(k, "ascending") for k in ("key", "x", "y")]).combine_chunks()
+        block = np.stack([rows[k].to_numpy() for k in ("key", "x", "y")])
+        starts = np.flatnonzero(np.append(True, (block[:, 1:] != block[:, :-1]).any(axis=0)))
+        comp, lists = rows["comp"].to_numpy(), rows["members"].combine_chunks()
+        at, members = lists.offsets.to_numpy(), lists.values.to_numpy()
+        found = [linked(comp[s:e], np.diff(at[s : e + 1]), members[at[s] : at[e]]) for s, e in zip(starts, np.append(starts[1:], len(comp)), strict=True)]
+        return pa.table({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
 
     return fn
 
 
+def _blocks(crowd: DataFrame, weight: Column) -> DataFrame:
+    """Rows of crowd (key, rep, comp and others) in pairs x-y of blocks of their key, a weight of about one each, so that rows of different components meet.
+
+    Rows of a key's largest component don't meet each other: they are only dealt to the blocks of the others, so a large group beside a few strangers costs
+    its rows, not their square."""
+    each = crowd.groupBy("key", "comp").agg(F.sum(weight).alias("w"))
+    sides = each.groupBy("key").agg(F.max_by("comp", F.struct("w", "comp")).alias("big"), F.ceil(F.max("w")).cast("long").alias("h"), F.ceil(F.sum("w") - F.max("w")).cast("long").alias("g")).where("g > 0")
+    of = F.xxhash64("rep")
+    rows = crowd.join(sides, "key").withColumn("own", F.when(F.col("comp") == F.col("big"), F.col("g") + F.pmod(of, F.col("h"))).otherwise(F.pmod(of, F.col("g"))))
+    last = F.when(F.col("comp") == F.col("big"), F.col("g")).otherwise(F.col("g") + F.col("h")) - 1
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = PART) -> DataFrame:
     """doc_id, component_id for rows with a doc_id: linked are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
@@ -495,20 +529,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
 
     roots = components(verified(pairs)).withColumnRenamed("node", "rep")
     named = reps.join(roots, "rep", "left").select("rep", *kind, F.coalesce("root", "rep").alias("component_id"))
-    crowd = found.where("kind > 0").select("key", F.col("a").alias("rep"), *SHORT).join(named.select("rep", F.col("component_id").alias("comp")), "rep")
-    blocked = crowd.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") * 2 / CROWD).cast("long").alias("g")).where("least < most").select("key", "g")
-    blocks = crowd.join(blocked, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    blocks = blocks.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", *SHORT)
-    blocks = blocks.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
-    crowd = blocks.mapInArrow(runs(["key", "x", "y"], ["rep", "comp", *SHORT], _open(similarity), most=1 << 16), "key long, rep long, comp long").distinct()
-    crowd = cut(crowd.join(named.select("rep", "n"), "rep"))
-    weight = F.greatest(F.count("*") * 2 / CROWD, F.sum("n") * 2 / HELD)
-    mixed = crowd.groupBy("key").agg(F.ceil(weight).cast("long").alias("g"))
-    crowd = crowd.join(mixed, "key")
-    if not crowd.isEmpty():
-        own = crowd.join(sets(crowd.select("rep").distinct()), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
-        blocks = own.select("key", "comp", "members", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "comp", "members")
-        more = cut(blocks.groupBy("key", "x", "y").applyInArrow(_across(similarity), "a long, b long").distinct())
+    crowd = found.where("kind > 0").select("key", F.col("a").alias("rep"), *SHORT).join(named.select("rep", "n", F.col("component_id").alias("comp")), "rep")
+    dealt = _blocks(crowd, F.lit(2 / CROWD)).select("key", "x", "y", "rep", "comp", "n", *SHORT).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+    crowd = dealt.mapInArrow(runs(["key", "x", "y"], ["rep", "comp", "n", *SHORT], _open(similarity), most=1 << 16), "key long, rep long, comp long, n long")
+    crowd = cut(crowd.distinct())
+    own = _blocks(crowd, F.greatest(F.lit(2 / CROWD), F.col("n") * 2 / HELD)).select("key", "x", "y", "rep", "comp", "n")
+    total = own.agg(F.sum("n")).first()[0]
+    if total:
+        lot = F.pmod(F.xxhash64("key", "x", "y"), F.lit(max(4 * parts, -(-total // HELD))))  # blocks are small and many: some go to a task together
+        blocks = own.join(sets(crowd.select("rep").distinct()), "rep").select(lot.alias("lot"), "key", "x", "y", "comp", "members")
+        more = cut(blocks.groupBy("lot").applyInArrow(_across(similarity), "a long, b long").distinct())
         if not more.isEmpty():
             higher = components(more).select(F.col("node").alias("component_id"), "root")
             named = named.join(higher, "component_id", "left").select(*kind, F.coalesce("root", "component_id").alias("component_id"))

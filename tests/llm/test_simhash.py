@@ -227,3 +227,73 @@ def test_the_table_discards_no_near_pair():
     far = np.bitwise_count(x[i] ^ x[j]).sum(axis=1)
     got = simhash._distance(fp, told, i, j, 39)
     assert (got[far <= 39] == far[far <= 39]).all() and (got[far > 39] > 39).all() and (far <= 39).sum() > 100
+
+
+def test_spanning_forests_are_least():
+    r = np.random.default_rng(41)
+    for n, m in ((1, 0), (2, 1), (40, 60), (40, 400), (300, 200)):
+        a, b = np.sort(r.integers(0, n, (2, m)), axis=0) if n > 1 else np.zeros((2, 0), np.int64)
+        a, b = a[a < b], b[a < b]
+        weight = r.integers(0, 9, len(a))
+        low, best = list(range(n)), []
+        for k in np.argsort(weight, kind="stable"):
+            x, y = int(a[k]), int(b[k])
+            while low[x] != x:
+                x = low[x]
+            while low[y] != y:
+                y = low[y]
+            if x != y:
+                low[max(x, y)] = min(x, y)
+                best.append(int(k))
+        assert sorted(best) == simhash.spanning(n, a, b, weight).tolist()
+
+
+@pytest.mark.parametrize("sizes", [(40, 3, 48, 1, 2), (49, 200, 30)])
+def test_candidates_of_a_key_grow_with_its_rows(sizes):
+    """Texts that look alike, similar or not, are no more pairs than rows; what isn't returned as a pair is left to the crowd."""
+    r = np.random.default_rng(42)
+    n = sum(sizes)
+    noise = r.integers(0, 1 << 63, (3, n, 2), np.uint64)
+    fp = r.integers(0, 1 << 63, (1, 2), np.uint64) ^ (noise[0] & noise[1] & noise[2])  # about 28 of 128 bits between two of them
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    cols = {"key": key, "rep": np.arange(n) * 3, "f0": fp[:, 0].copy().view(np.int64), "f1": fp[:, 1].copy().view(np.int64)}
+    out = simhash._candidates(0.8, 256)(np.flatnonzero(np.diff(key, prepend=-1)), cols)
+    pairs = set(zip(out["a"][out["kind"] == 0].tolist(), out["b"][out["kind"] == 0].tolist(), strict=True))
+    crowd = set(out["a"][out["kind"] == 2].tolist())
+    i, j = np.triu_indices(n, 1)
+    near = (key[i] == key[j]) & (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= simhash._within(0.8, 128, 5))
+    assert near.sum() > 5 * n and len(pairs) == (out["kind"] == 0).sum() < n
+    assert all((a, b) in pairs or {a, b} <= crowd for a, b in zip((3 * i[near]).tolist(), (3 * j[near]).tolist(), strict=True))
+
+
+def test_a_large_component_beside_strangers_costs_its_rows(spark):
+    rows = [(1, i, 0) for i in range(2000)] + [(1, 5000 + i, 5000 + i // 2) for i in range(6)] + [(2, i, 7) for i in range(50)] + [(3, i, i % 40) for i in range(120)]
+    got = simhash._blocks(spark.createDataFrame(rows, "key long, rep long, comp long"), simhash.F.lit(0.05)).collect()
+    held = {}
+    for x in got:
+        held.setdefault((x.key, x.x, x.y), set()).add(x.rep)
+    assert sum(x.key == 1 for x in got) < 2 * 2000 and not any(x.key == 2 for x in got)
+    for key in (1, 3):
+        own = [(rep, comp) for k, rep, comp in rows if k == key]
+        meets = {}
+        for (k, *block), reps in held.items():
+            if k == key:
+                for rep in reps:
+                    meets.setdefault(rep, set()).add(tuple(block))
+        assert all(meets[a] & meets[b] for a, x in own for b, y in own if x != y)
+
+
+@pytest.mark.parametrize("hot", [256, 16])
+def test_chains_in_a_crowd_stay_whole(spark, hot):
+    """Each text is similar to the next alone; all look alike enough to be candidates."""
+    r, rows = random.Random(43), []
+    for g in range(3):
+        words = [f"c{k}" for k in range(240)]
+        for i in range(30):
+            rows.append((100 * g + i, " ".join(words)))
+            for k in r.sample(range(240), 4):
+                words[k] = f"g{g}n{i}k{k}"
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame, hot=hot).collect()}
+    assert got == jaccard_components(rows) and len(set(got.values())) < 60
