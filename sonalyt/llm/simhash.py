@@ -411,7 +411,7 @@ MET = "kind long, key long, a long, b long, f0 long, f1 long"
 
 
 def _open(similarity: float):
-    """Of a block of a crowded key: its rows that are near a row of another component whose set isn't too small or large to be similar."""
+    """Of a pair of blocks of a key: its rows that are near a row of another component whose set isn't too small or large to be similar."""
     limit = _within(similarity, 64 * len(SHORT), 5)
 
     def fn(starts: np.ndarray, cols: dict[str, np.ndarray]):
@@ -423,7 +423,7 @@ def _open(similarity: float):
                 j = j[np.bitwise_count(fp[j] ^ fp[x]).sum(axis=1) <= limit]
                 left[j] = True
                 left[x] |= len(j) > 0
-        return {k: cols[k][left] for k in ("key", "rep", "comp", "n")}
+        return {k: cols[k][left] for k in ("key", "x", "y", "rep", "comp")} | {"n": n[left]}
 
     return fn
 
@@ -468,10 +468,11 @@ def _blocks(crowd: DataFrame, weight: Column) -> DataFrame:
     Rows of a key's largest component don't meet each other: they are only dealt to the blocks of the others, so a large group beside a few strangers costs
     its rows, not their square."""
     each = crowd.groupBy("key", "comp").agg(F.sum(weight).alias("w"))
-    sides = each.groupBy("key").agg(F.max_by("comp", F.struct("w", "comp")).alias("big"), F.ceil(F.max("w")).cast("long").alias("h"), F.ceil(F.sum("w") - F.max("w")).cast("long").alias("g")).where("g > 0")
+    sides = each.groupBy("key").agg(F.max_by("comp", F.struct("w", "comp")).alias("big"), F.when(F.sum("w") <= 1, 0).otherwise(F.ceil(F.max("w"))).cast("long").alias("h"), F.ceil(F.sum("w") - F.max("w")).cast("long").alias("g")).where("g > 0")
     of = F.xxhash64("rep")
-    rows = crowd.join(sides, "key").withColumn("own", F.when(F.col("comp") == F.col("big"), F.col("g") + F.pmod(of, F.col("h"))).otherwise(F.pmod(of, F.col("g"))))
-    last = F.when(F.col("comp") == F.col("big"), F.col("g")).otherwise(F.col("g") + F.col("h")) - 1
+    alone = (F.col("comp") == F.col("big")) & (F.col("h") > 0)  # h: blocks of the largest component, none if the whole key is one block
+    rows = crowd.join(sides, "key").withColumn("own", F.when(alone, F.col("g") + F.pmod(of, F.col("h"))).otherwise(F.pmod(of, F.col("g"))))
+    last = F.when(alone, F.col("g")).otherwise(F.col("g") + F.col("h")) - 1
     return rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
 
@@ -529,15 +530,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
 
     roots = components(verified(pairs)).withColumnRenamed("node", "rep")
     named = reps.join(roots, "rep", "left").select("rep", *kind, F.coalesce("root", "rep").alias("component_id"))
-    crowd = found.where("kind > 0").select("key", F.col("a").alias("rep"), *SHORT).join(named.select("rep", "n", F.col("component_id").alias("comp")), "rep")
-    dealt = _blocks(crowd, F.lit(2 / CROWD)).select("key", "x", "y", "rep", "comp", "n", *SHORT).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
-    crowd = dealt.mapInArrow(runs(["key", "x", "y"], ["rep", "comp", "n", *SHORT], _open(similarity), most=1 << 16), "key long, rep long, comp long, n long")
-    crowd = cut(crowd.distinct())
-    own = _blocks(crowd, F.greatest(F.lit(2 / CROWD), F.col("n") * 2 / HELD)).select("key", "x", "y", "rep", "comp", "n")
-    total = own.agg(F.sum("n")).first()[0]
+    crowd = cut(found.where("kind > 0").select("key", F.col("a").alias("rep"), *SHORT).join(named.select("rep", "n", F.col("component_id").alias("comp")), "rep"))
+    dealt = _blocks(crowd, F.greatest(F.lit(2 / CROWD), F.col("n") * 2 / HELD)).select("key", "x", "y", "rep", "comp", "n", *SHORT).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+    crowd = cut(dealt.mapInArrow(runs(["key", "x", "y"], ["rep", "comp", "n", *SHORT], _open(similarity), most=1 << 16), "key long, x long, y long, rep long, comp long, n long"))
+    total = crowd.agg(F.sum("n")).first()[0]
     if total:
         lot = F.pmod(F.xxhash64("key", "x", "y"), F.lit(max(4 * parts, -(-total // HELD))))  # blocks are small and many: some go to a task together
-        blocks = own.join(sets(crowd.select("rep").distinct()), "rep").select(lot.alias("lot"), "key", "x", "y", "comp", "members")
+        blocks = crowd.join(sets(crowd.select("rep").distinct()), "rep").select(lot.alias("lot"), "key", "x", "y", "comp", "members")
         more = cut(blocks.groupBy("lot").applyInArrow(_across(similarity), "a long, b long").distinct())
         if not more.isEmpty():
             higher = components(more).select(F.col("node").alias("component_id"), "root")

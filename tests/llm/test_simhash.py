@@ -297,3 +297,9 @@ def test_chains_in_a_crowd_stay_whole(spark, hot):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {x.doc_id: x.component_id for x in simhash.near_copies(frame, hot=hot).collect()}
     assert got == jaccard_components(rows) and len(set(got.values())) < 60
+
+
+def test_a_key_that_fits_a_block_is_dealt_once(spark):
+    rows = [(1, i, i % 7) for i in range(30)]
+    got = simhash._blocks(spark.createDataFrame(rows, "key long, rep long, comp long"), simhash.F.lit(0.03)).collect()
+    assert sorted((x.x, x.y, x.rep) for x in got) == [(0, 0, i) for i in range(30)]
