@@ -198,14 +198,17 @@ def by_deadline(rows: DataFrame, grace_s: float, late: str = "3 hours", buckets:
 
 @contextmanager
 def state_in_rocksdb(spark: SparkSession):
-    """State of this kind needs the RocksDB provider; what the session had set is put back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, _ROCKS)
+    """State of this kind needs the RocksDB provider, and each part of it costs a worker and a store in each micro-batch, so there are at most two for a core; what the session had set is put back."""
+    parts = "spark.sql.shuffle.partitions"
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, parts: str(min(int(spark.conf.get(parts)), 2 * spark.sparkContext.defaultParallelism))}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def replayed(rows: DataFrame, grace_s: float, cuts: int = 2, late: str = "3 hours") -> tuple[DataFrame, int]:
@@ -213,15 +216,15 @@ def replayed(rows: DataFrame, grace_s: float, cuts: int = 2, late: str = "3 hour
     spark = rows.sparkSession
     out = new_path(spark, "deadlines")
     bounds = rows.approxQuantile("seq", [k / cuts for k in range(1, cuts)], 0.001) if cuts > 1 else []
-    low = None
-    for k, high in enumerate([*bounds, None]):  # one write after the other, so the source takes them in this order
+    low = left = None
+    for k, high in enumerate([*bounds, None]):  # the stream goes on where it was once a cut is written, so each is one micro-batch, of as many files as there are
         part = rows if low is None else rows.where(F.col("seq") > low)
         part = part if high is None else part.where(F.col("seq") <= high)
-        part.select(*[F.col(name).cast(kind).alias(name) for name, kind in (x.split() for x in IN.split(", "))]).coalesce(1).write.parquet(f"{out}/in/{k:04}")
+        part.select(*[F.col(name).cast(kind).alias(name) for name, kind in (x.split() for x in IN.split(", "))]).write.parquet(f"{out}/in/{k:04}")
         low = high
-    with state_in_rocksdb(spark):
-        stream = spark.readStream.schema(IN).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/*")
-        asked = by_deadline(stream, grace_s, late).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows")
-        asked.awaitTermination()
-        progress = [p for p in asked.recentProgress if p.stateOperators]
-    return spark.read.schema(OUT).parquet(f"{out}/rows"), progress[-1].stateOperators[0].numRowsTotal if progress else 0
+        with state_in_rocksdb(spark):
+            stream = spark.readStream.schema(IN).parquet(f"{out}/in/*")
+            asked = by_deadline(stream, grace_s, late).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows")
+            asked.awaitTermination()
+        left = next((p.stateOperators[0].numRowsTotal for p in reversed(asked.recentProgress) if p.stateOperators), left)
+    return spark.read.schema(OUT).parquet(f"{out}/rows"), left or 0
