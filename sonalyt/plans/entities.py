@@ -19,24 +19,24 @@ def _as(text: str, tagged: bool) -> str:
     return text
 
 
-def _tagged(texts: DataFrame, tagger: Column) -> DataFrame:
-    """Tagged texts and how many clips have each: a text that many clips share is tagged once, and the shuffle by text deals the others out, however few files or row groups they come from."""
-    once = texts.groupBy("said").agg(F.count("*").alias("n"))
+def _tagged(rows: DataFrame, tagger: Column, said: Column | None = None) -> DataFrame:
+    """Tagged texts and how many clips have each; rows: the columns that a text is made of, or the text as said. A text that many clips share is tagged once, and the shuffle by those columns, which are shorter than the text, deals the others out, however few files or row groups they come from."""
+    once = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).select((F.col("said") if said is None else said).alias("said"), "n")
     return once.select(tagger.alias("tagged"), "n").groupBy("tagged").agg(F.sum("n").alias("clips"))
 
 
 @query(f"select {_as(_SAID, True)} as tagged, count(*) as clips from lineitem group by 1")
 def tagged_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with dates, amounts, ids, numbers and names, tagged by rule."""
-    said = table(spark, sf_dir, "lineitem").select(F.expr(_as(_SAID, False)).alias("said"))
-    return _tagged(said, entities.tagged_by_rule(F.col("said"), F.lit("en-US")))
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").alias("l_quantity"), "l_partkey", "l_orderkey")
+    return _tagged(rows, entities.tagged_by_rule(F.col("said"), F.lit("en-US")), F.expr(_as(_SAID, False)))
 
 
 @query("select concat('wake me <date>tomorrow ', l_linenumber, '</date> and play rock for <name>Ann ', l_returnflag, '</name> at <currency>five dollars</currency>') as tagged, count(*) as clips from lineitem group by 1")
 def slot_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References whose slots were marked by hand, with the rules over the rest."""
     marked = F.concat(F.lit("wake me [date : tomorrow "), "l_linenumber", F.lit("] and play [music_genre : rock] for [ person : Ann "), "l_returnflag", F.lit(" ] at five dollars"))
-    return _tagged(table(spark, sf_dir, "lineitem").select(marked.alias("said")), entities.tagged_by_slots(F.col("said"), F.lit("en")))
+    return _tagged(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag"), entities.tagged_by_slots(F.col("said"), F.lit("en")), marked)
 
 
 @query("with n as (select distinct cast(l_quantity as int) as n from lineitem) select n, cast(n as varchar) as number, concat('ab', n, 'c') as id, concat('room ', n) as name from n")

@@ -55,3 +55,21 @@ def test_a_line_is_parsed_once(spark):
     got = records.tolerant_candidates(lines, "s")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert [tuple(r) for r in got.collect()] == [("u", "", "s", 0.0, 4.0, "long enough to be kept")]
+
+
+def test_texts_that_differ_in_digits_are_read_once(monkeypatch):
+    """Their spans are those that each text has by itself; years, numbers of another length and other languages are read anew."""
+    from sonalyt.functions import entities as tags
+
+    seen = []
+    monkeypatch.setattr(tags, "candidates", lambda text, primary, read=tags.candidates: seen.append(text) or read(text, primary))
+    for k in range(20):
+        assert tags.tag(f"Met Ann on may {k % 9 + 1} to pay 4{k % 10}$ for ref q{500 + k}z or {3000 + k}", "en").endswith(f" for ref <id>q{500 + k}z</id> or <number>{3000 + k}</number>")
+    assert len(seen) == 1
+    assert tags.tag("in 1987, not in 3987 or 20199", "en") == "in <date>1987</date>, not in <number>3987</number> or <number>20199</number>"
+    assert tags.tag("in 3987, not in 2087 or 40199", "en") == "in <number>3987</number>, not in <date>2087</date> or <number>40199</number>"
+    texts = ["$5 or 12,500 €, 3rd of may 2024; 19:30 a1b2 10000000", "٣ 19 1９99 x2019y 2019. 201 0119 20190 1,999 12/05/19 12/05/2019", "pay 5 - 6 7 dollars, twenty 3 and 4th"]
+    for text in texts:
+        for other in (text, *(text.replace(a, b) for a, b in ("52", "93", "06"))):
+            for primary in ("en", "de", "fr", "es", "ko", "ja", ""):
+                assert list(tags.spans(other, primary)) == tags.best(tags.candidates(other, primary))
